@@ -1,10 +1,14 @@
 """The queries of this subpackage and their SQL, for __spark_entry__.py."""
 
-from . import decontamination, pieces
+from . import decontamination, language, pieces, pii, secrets, toxicity
 
 QUERIES = {
+    "op1_language": language.op1_language,
     "op3_decontamination": decontamination.op3_decontamination,
+    "op4_secrets": secrets.op4_secrets,
+    "op5_pii": pii.op5_pii,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_sentencepiece": pieces.op9_sentencepiece,
 }
 
-SQL = {"op3_decontamination": decontamination.ORACLE}
+SQL = {"op3_decontamination": decontamination.ORACLE, "op4_secrets": secrets.ORACLE}
