@@ -1,24 +1,65 @@
-"""The corpus pipeline: documents in, digests of their tokens out."""
+"""The corpus pipeline: documents in, digests of the kept documents' tokens out.
 
-from gaugeline.llm.common import table
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gaugeline.llm import jaccard, language, lines
+from gaugeline.llm.common import cut, table
 from gaugeline.llm.decontamination import drop_leaks
 from gaugeline.llm.pieces import default_model, digests
 
 
-def decontaminate(spark, docs, sf_dir):
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learned from the table's labels; null and letterless texts go."""
+    return language.identified(docs, language.train(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the lines that repeat no earlier one; those of which no line remains go. n_chars follows the text."""
+    kept = lines.without_repeats(docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id."""
+    return jaccard.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
     return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
-def tokenise(spark, docs, sf_dir):
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document the number and digests of its ids and of what they decode to."""
     return digests(docs, default_model())
 
 
-STAGES = [("benchmark decontamination", decontaminate), ("sentencepiece", tokenise)]
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", jaccard_join),
+    ("benchmark decontamination", decontaminate),
+    ("SentencePiece", tokenise),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; between them Parquet under the session's checkpoint folder."""
+    cut(spark.range(0))  # sets a checkpoint folder where there is none
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs

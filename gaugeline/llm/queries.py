@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL, for __spark_entry__.py."""
 
-from . import decontamination, jaccard, language, pieces, pii, secrets, substrings, toxicity, vectors
+from . import decontamination, jaccard, language, lines, pieces, pii, secrets, substrings, toxicity, vectors
 
 QUERIES = {
     "op1_language": language.op1_language,
+    "op2_lines": lines.op2_lines,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_secrets": secrets.op4_secrets,
     "op5_pii": pii.op5_pii,
@@ -14,4 +15,4 @@ QUERIES = {
     "op10_jaccard": jaccard.op10_jaccard,
 }
 
-SQL = {"op3_decontamination": decontamination.ORACLE, "op4_secrets": secrets.ORACLE, "op6_substrings": substrings.ORACLE, "op8_embeddings": vectors.ORACLE, "op10_jaccard": jaccard.ORACLE}
+SQL = {"op2_lines": lines.ORACLE, "op3_decontamination": decontamination.ORACLE, "op4_secrets": secrets.ORACLE, "op6_substrings": substrings.ORACLE, "op8_embeddings": vectors.ORACLE, "op10_jaccard": jaccard.ORACLE}
