@@ -10,8 +10,8 @@ recall; classes under one trie node are candidates. Candidates' components are v
 larger than a block in pairs of blocks, so no candidate is capped or dropped, and no pair of rows is ever emitted: each
 block returns a count of links for each class and a spanning forest.
 
-Texts that are null or have no word link with nothing. Rows with a null id are left out. Rows that repeat an id with
-the same shingles count once; an id with different texts is one document with the union of their links.
+Texts that are null or have no word link with nothing. Rows with a null id are left out. Rows that repeat an id are one
+document; if their texts differ, the one whose shingle set has the smallest digest counts.
 """
 
 from __future__ import annotations
@@ -42,6 +42,10 @@ def prefix_length(threshold: float, recall: float, trees: int = TREES, depth: in
     return length
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     """id, set_key (digest of the shingle set), nodes (the trie node at this prefix length in each tree)."""
     rng = np.random.default_rng(5)
@@ -55,7 +59,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFr
                     keys.append(None)
                     nodes.append(None)
                     continue
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                keys.append(_digest(s))
                 low = np.full(len(factors), 0xFFFFFFFFFFFFFFFF, np.uint64)
                 for at in range(0, len(s), 2048):
                     np.minimum(low, (s[at : at + 2048, None] * factors).min(0), out=low)
@@ -91,23 +95,32 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row for each document: id, class_id (smallest id reachable by links), n_links (other documents linked directly)."""
-    own = cut(sketches(docs, id_col, text_col, prefix_length(threshold, recall)).groupBy("id", "set_key", "nodes").agg(F.lit(1).alias("_")).drop("_"))
+    own = sketches(docs, id_col, text_col, prefix_length(threshold, recall)).groupBy("id").agg(F.min(F.struct("set_key", "nodes")).alias("s"))
+    own = cut(own.select("id", "s.set_key", "s.nodes"))
     classes = own.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    member = cut(own.filter(F.col("set_key").isNotNull()).select("id", "set_key").join(classes, "set_key").select("id", "rep", "copies"))
+    member = cut(own.filter(F.col("set_key").isNotNull()).select("id", "set_key").join(classes, "set_key").select("id", "rep", "copies", "set_key"))
     reps = own.select("id", "set_key", "nodes").join(classes.select(F.col("rep").alias("id"), "set_key"), ["id", "set_key"]).select("id", F.explode("nodes").alias("node"))
     tops = reps.groupBy("node").agg(F.min("id").alias("top"), F.count("*").alias("n")).filter("n > 1").drop("n")
     near = components(reps.join(tops, "node").filter("id != top").select(F.col("id").alias("a"), F.col("top").alias("b")))
-    copies = member.filter("id = rep").select(F.col("id").alias("node"), "copies")
+    copies = member.filter("id = rep").select(F.col("id").alias("node"), "copies", "set_key")
     todo = blocks(near.join(copies, "node"), "component", "node", BLOCK)
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
 
     def verify(batch: pa.Table) -> pa.Table:
-        nodes, side, copies = (batch.column(c).to_numpy() for c in ("node", "side", "copies"))
         sets = Words(batch.column("text").combine_chunks(), lower=True).shingles()
+        # of rows that repeat an id, one with the shingles that count for it
+        place: dict[int, int] = {}
+        for i, (node, key) in enumerate(zip(batch.column("node").to_pylist(), batch.column("set_key").to_pylist(), strict=True)):
+            if _digest(sets[i]) == key:
+                place.setdefault(node, i)
+        if not place:
+            return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+        batch, sets = batch.take(list(place.values())), [sets[i] for i in place.values()]
+        nodes, side, copies = (batch.column(c).to_numpy() for c in ("node", "side", "copies"))
         match = similar(sets, threshold)
-        # both sides meet only across; a block with itself meets wholly; rows of one id are not linked with each other
+        # both sides meet only across; a block with itself meets wholly; no document is linked with itself
         match &= (side[:, None] == 2) | (side[:, None] != side[None, :])
-        match &= nodes[:, None] != nodes[None, :]
+        np.fill_diagonal(match, False)
         left, right = np.nonzero(np.triu(match))
         return pa.table({"node": nodes, "links": match @ copies.astype(np.int64), "root": forest(nodes, left, right)})
 
