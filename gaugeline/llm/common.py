@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import pyarrow as pa
@@ -18,7 +19,12 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    # without the old plan the cleaner removes the shuffle files that only it needed
+    del df
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
 
 
 def crc_mod(id_col: str, mod: int) -> Column:

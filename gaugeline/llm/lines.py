@@ -5,20 +5,24 @@ lines always stay. A line is removed if an earlier one (by document id, then lin
 at least `threshold` with it, whether that one is itself removed or not.
 
 Lines with the same set form a class, found at its first place; only classes are joined. Words are ordered by rarity:
-all words of all documents are counted in a table of buckets (a power of two near a sixty-fourth of the words, 4 Mi at
+all words of all documents are counted in a table of buckets (a power of two near one for 100 words, 4 Mi at
 most, so about a byte a bucket is all that the tasks get), and a word's number has its bucket's logarithmic count before
 its hash. Two sets that are similar enough share one of the first n - ceil(t n) + 1 words of the longer and of the first
-n - ceil(2 t n / (1 + t)) + 1 of the shorter; pairs that do must also pass the length filter and the positional filter,
-and are then verified on the whole sets. Words are told apart by 56 bits of their hash.
+n - ceil(2 t n / (1 + t)) + 1 of the shorter; pairs that do must also pass the length filter, the positional filter and a
+count of differing bits of two 64-bit parities, and are then verified on the whole sets. As one earlier match is enough,
+lines are first held against the earliest line of each of their prefix words; only lines that this leaves unsettled are
+joined with all earlier ones, so a large group of near copies does not give all its pairs. Words are told apart by 56 bits of their hash.
 
 Null texts have no line and stay null. Rows with a null id are unchanged. Rows that repeat an id count as one document
-(its texts should be the same; a line number removed from one is removed from all). Other columns are kept.
+(its texts should be the same; a line number removed from one is removed from all). Other columns are kept; names
+that begin with __line_ or __n_ are this module's own.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -36,7 +40,7 @@ def _words(text: Column) -> Column:
 def rarity(texts: DataFrame) -> Column:
     """A binary of one byte for each bucket of words: 1 + four times the binary logarithm of their count, 0 if there are none."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 << min(22, max(12, int(size / 6 / 64).bit_length()))
+    buckets = 1 << min(22, max(12, int(size / 6 / 100).bit_length()))
     counts = texts.select(F.explode(_words(F.col("text"))).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(buckets - 1).cast("int").alias("b")).agg(F.count("*").alias("n"))
     got = counts.toArrow()  # one row for each bucket at most
     out = np.zeros(buckets, np.uint8)
@@ -46,9 +50,8 @@ def rarity(texts: DataFrame) -> Column:
 
 def numbers(line: Column, table_: Column, buckets: int) -> Column:
     """A line's set of words as numbers, the rarest word first."""
-    hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
     rank = lambda h: F.ascii(F.substring(table_, h.bitwiseAND(buckets - 1).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(rank(h), 56).bitwiseOR(h.bitwiseAND(_LOW)))))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(_words(line), lambda w: F.xxhash64(w)), lambda h: F.shiftleft(rank(h), 56).bitwiseOR(h.bitwiseAND(_LOW)))))
 
 
 def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
@@ -56,64 +59,100 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return _removed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), threshold, least)
 
 
-def _removed(texts: DataFrame, threshold: float, least: int) -> DataFrame:
-    texts = texts.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    table_, buckets = rarity(texts.select("text"))
-    n, t = F.col("n"), threshold
-    lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("id", "no", numbers(F.col("line"), table_, buckets).alias("set"))
-    lines = lines.select("id", "no", F.size("set").alias("n"), F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), F.reverse("set")).alias("k2"), F.slice("set", F.lit(1), F.size("set") - F.ceil(F.size("set") * t - 1e-9).cast("int") + 1).alias("prefix")).filter(n >= least)
-    classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "no")).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posts = classes.select("at.id", "at.no", "n", F.posexplode("prefix").alias("pos", "word"))
-    posts = posts.select("word", "id", "no", F.shiftleft(n.cast("long"), 31).bitwiseOR(F.col("pos").cast("long")).alias("np"))
-
-    def side(s: str) -> DataFrame:
-        return posts.select("word", F.col("id").alias(f"{s}_id"), F.col("no").alias(f"{s}_no"), F.shiftright("np", 31).cast("int").alias(f"{s}_n"), F.col("np").bitwiseAND((1 << 31) - 1).cast("int").alias(f"{s}_pos"))
-
-    x, y = side("x"), side("y")
-    shared = F.ceil((F.col("x_n") + F.col("y_n")) * (t / (1 + t)) - 1e-9)
-    longer = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & ((F.col("x_id") > F.col("y_id")) | ((F.col("x_id") == F.col("y_id")) & (F.col("x_no") > F.col("y_no")))))
-    indexed = F.col("y_pos") <= F.col("y_n") - F.ceil(F.col("y_n") * (2 * t / (1 + t)) - 1e-9)
-    left = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
-    pairs = x.join(y, (x["word"] == y["word"]) & longer & indexed & (F.col("y_n") >= t * F.col("x_n") - 1e-9) & (left >= shared))
-    pairs = cut(pairs.select("x_id", "x_no", "y_id", "y_no").distinct())
+def _parity(set_: Column) -> Column:
+    """64 bits, each the parity of the number of words that fall to it: two sets differ in at least as many words as bits."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 24).bitwiseAND(63).cast("int"))
+    return F.aggregate(set_, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
+
+
+def _posts(classes: DataFrame, settled: Column) -> DataFrame:
+    """One row for each prefix word of each class; size, place and whether the class is settled share a number."""
+    rows = classes.select("spot", F.shiftleft(F.col("n").cast("long"), 33).bitwiseOR(settled.cast("long")).alias("meta"), "bits", F.posexplode("prefix").alias("pos", "word"))
+    return rows.select("word", "spot.id", "spot.no", F.col("meta").bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).alias("meta"), "bits")
+
+
+def _promising(t: float) -> Column:
+    """The length, positional and parity filters of a pair that shares a prefix word."""
+    size = lambda s: F.shiftright(f"{s}_meta", 33)
+    place = lambda s: F.shiftright(f"{s}_meta", 1).bitwiseAND((1 << 31) - 1)
+    shared = F.ceil((size("x") + size("y")) * (t / (1 + t)) - 1e-9)
+    left = F.least(size("x") - place("x"), size("y") - place("y"))
+    bits = F.bit_count(F.col("x_bits").bitwiseXOR(F.col("y_bits"))) <= size("x") + size("y") - 2 * shared
+    return (F.least(size("x"), size("y")) >= t * F.greatest(size("x"), size("y")) - 1e-9) & (left >= shared) & bits
 
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select("x_id", "x_no", "y_id", "y_no").distinct()
+
+
+def _verified(sound: DataFrame, pairs: DataFrame, table_: Column, buckets: int, t: float) -> DataFrame:
+    """The x lines of pairs (checkpointed) whose whole sets are similar enough."""
     wanted = pairs.select(F.col("x_id").alias("id"), F.col("x_no").alias("no")).unionByName(pairs.select(F.col("y_id").alias("id"), F.col("y_no").alias("no")))
     wanted = wanted.groupBy("id").agg(F.collect_set("no").alias("nos"))  # of one document
-    sets = texts.join(wanted, "id").select("id", F.split("text", "\n").alias("all"), F.explode("nos").alias("no")).select("id", "no", numbers(F.get("all", F.col("no")), table_, buckets).alias("set"))
+    sets = sound.join(wanted, "id").select("id", F.split("text", "\n").alias("all"), F.explode("nos").alias("no")).select("id", "no", numbers(F.get("all", F.col("no")), table_, buckets).alias("set"))
     xs, ys = (sets.select(F.col("id").alias(f"{s}_id"), F.col("no").alias(f"{s}_no"), F.col("set").alias(f"{s}_set")) for s in "xy")
     whole = pairs.join(xs, ["x_id", "x_no"]).join(ys, ["y_id", "y_no"])
     both = F.size(F.array_intersect("x_set", "y_set"))
     whole = whole.filter(both >= t * (F.size("x_set") + F.size("y_set") - both) - 1e-9)
-    later = F.greatest(F.struct(F.col("x_id").alias("id"), F.col("x_no").alias("no")), F.struct(F.col("y_id").alias("id"), F.col("y_no").alias("no")))
-    near = whole.select(later.alias("at")).distinct().select("at", F.lit(True).alias("near"))
+    return cut(whole.select(F.struct(F.col("x_id").alias("id"), F.col("x_no").alias("no")).alias("spot")).distinct())
 
-    firsts = classes.select("k1", "k2", "at").join(near, "at", "left").select("k1", "k2", "at", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("id", "no", "k1", "k2").join(firsts, ["k1", "k2"]).filter(F.col("near") | (F.col("id") != F.col("at.id")) | (F.col("no") != F.col("at.no")))
+
+def _removed(texts: DataFrame, threshold: float, least: int) -> DataFrame:
+    sound = texts.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
+    table_, buckets = rarity(sound.select("text"))
+    t = threshold
+    lines = sound.select("id", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("id", "no", numbers(F.col("line"), table_, buckets).alias("set"))
+    first = F.size("set") - F.ceil(F.size("set") * t - 1e-9).cast("int") + 1
+    # the prefix as 31-bit numbers: words that these take for the same only propose pairs
+    prefix = F.transform(F.slice("set", F.lit(1), first), lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int"))
+    lines = lines.select("id", "no", F.size("set").alias("n"), F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), F.reverse("set")).alias("k2"), _parity(F.col("set")).alias("bits"), prefix.alias("prefix"))
+    lines = cut(lines).filter(F.col("n") >= least)  # filtered after the cut: a filter moved below would work out each set twice
+    classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "no")).alias("spot"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    classes = classes.select("spot", "n", "bits", "prefix")
+
+    # first every line against the earliest one that has the word: that settles most members of a large group
+    posts = _posts(classes, F.lit(0))
+    leader = F.first(F.struct(*posts.columns[1:])).over(W.partitionBy("word").orderBy("id", "no"))
+    led = posts.withColumn("y", leader).select(*[F.col(c).alias(f"x_{c}") for c in posts.columns], *[F.col(f"y.{c}").alias(f"y_{c}") for c in posts.columns[1:]])
+    early = _verified(sound, cut(_pairs(led.filter((F.col("x_id") != F.col("y_id")) | (F.col("x_no") != F.col("y_no"))).filter(_promising(t)))), table_, buckets, t)
+
+    # then the rest: pairs of which the later line is not settled yet
+    posts = _posts(classes.join(early.select("spot", F.lit(1).alias("_settled")), "spot", "left"), F.coalesce("_settled", F.lit(0)))
+    x, y = (posts.select(*[F.col(c).alias(f"{s}_{c}") for c in posts.columns]) for s in "xy")
+    x_later = F.struct("x_id", "x_no") > F.struct("y_id", "y_no")
+    settled = lambda s: F.col(f"{s}_meta").bitwiseAND(1) == 1
+    pairs = x.join(y, (F.col("x_word") == F.col("y_word")) & x_later & ~settled("x") & (F.col("y_meta") >= 0) & _promising(t))
+    late = _verified(sound, cut(_pairs(pairs)), table_, buckets, t)
+    near = early.unionByName(late).distinct().withColumn("near", F.lit(True))
+
+    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "no")).alias("spot")).join(near, "spot", "left").select("k1", "k2", "spot", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = lines.select("id", "no", "k1", "k2").join(firsts, ["k1", "k2"]).filter(F.col("near") | (F.col("id") != F.col("spot.id")) | (F.col("no") != F.col("spot.no")))
     return gone.groupBy("id").agg(F.collect_set("no").alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
-    """All rows and columns with the remaining lines as text; and _n_lines, _n_removed."""
-    gone = removed_lines(docs, id_col=id_col, text_col=text_col, threshold=threshold, least=least).withColumnRenamed("id", "_id").withColumnRenamed("removed", "_removed")
-    joined = docs.join(gone, docs[id_col].cast("long") == gone["_id"], "left")
-    lines = F.split(F.col(text_col).cast("string"), "\n")
-    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
+    """All rows and columns with the remaining lines as text; and __n_lines, __n_removed."""
+    gone = removed_lines(docs, id_col=id_col, text_col=text_col, threshold=threshold, least=least).withColumnRenamed("id", "__line_id").withColumnRenamed("removed", "__line_removed")
+    joined = docs.join(gone, docs[id_col].cast("long") == gone["__line_id"], "left")
+    joined = joined.withColumn("__line_all", F.split(F.col(text_col).cast("string"), "\n"))
+    lines = F.col("__line_all")  # a column of its own: a lambda would split anew for each line
+    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__line_removed"))
     kept = F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n")
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(kept)
+    text = F.when(F.col("__line_removed").isNull(), F.col(text_col)).otherwise(kept)
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    count = F.coalesce(F.size("_removed"), F.lit(0))
-    return joined.withColumn("_n_lines", n_lines).withColumn("_n_removed", F.when(F.col("_removed").isNull(), 0).otherwise(count).cast("long")).withColumn(text_col, text).drop("_id", "_removed")
+    count = F.coalesce(F.size("__line_removed"), F.lit(0))
+    return joined.withColumn("__n_lines", n_lines).withColumn("__n_removed", F.when(F.col("__line_removed").isNull(), 0).otherwise(count).cast("long")).withColumn(text_col, text).drop("__line_id", "__line_removed", "__line_all")
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """The documents with their remaining lines; those of which no line remains are gone."""
     out = dedup_lines(docs, **options)
-    return out.filter((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_lines"))).drop("_n_lines", "_n_removed")
+    return out.filter((F.col("__n_removed") == 0) | (F.col("__n_removed") < F.col("__n_lines"))).drop("__n_lines", "__n_removed")
 
 
 def op2_lines(spark, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 ORACLE = """
