@@ -29,19 +29,23 @@ from .common import cut, table
 
 THRESHOLD = 0.8
 LEAST = 3
-_WORD = "[^ \\t\\r\\f\\x0B\\n]+"
+_SPACE = "\t\r\f\x0b\n"
 _LOW = (1 << 56) - 1
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+    """Lower-cased words, and empty strings among them. Splitting at one character takes no regular expression."""
+    plain = F.lower(text)
+    for c in _SPACE:
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    return F.split(plain, " ")
 
 
 def rarity(texts: DataFrame) -> Column:
     """A binary of one byte for each bucket of words: 1 + four times the binary logarithm of their count, 0 if there are none."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << min(22, max(12, int(size / 6 / 100).bit_length()))
-    counts = texts.select(F.explode(_words(F.col("text"))).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(buckets - 1).cast("int").alias("b")).agg(F.count("*").alias("n"))
+    counts = texts.select(F.explode(_words(F.col("text"))).alias("w")).filter("w <> ''").groupBy(F.xxhash64("w").bitwiseAND(buckets - 1).cast("int").alias("b")).agg(F.count("*").alias("n"))
     got = counts.toArrow()  # one row for each bucket at most
     out = np.zeros(buckets, np.uint8)
     out[got.column("b").to_numpy()] = np.minimum(126, 1 + 3 * np.log2(got.column("n").to_numpy())).astype(np.uint8)
@@ -51,7 +55,7 @@ def rarity(texts: DataFrame) -> Column:
 def numbers(line: Column, table_: Column, buckets: int) -> Column:
     """A line's set of words as numbers, the rarest word first."""
     rank = lambda h: F.ascii(F.substring(table_, h.bitwiseAND(buckets - 1).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
-    return F.sort_array(F.array_distinct(F.transform(F.transform(_words(line), lambda w: F.xxhash64(w)), lambda h: F.shiftleft(rank(h), 56).bitwiseOR(h.bitwiseAND(_LOW)))))
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.transform(_words(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))), lambda h: F.shiftleft(rank(h), 56).bitwiseOR(h.bitwiseAND(_LOW)))))
 
 
 def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
@@ -85,11 +89,22 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select("x_id", "x_no", "y_id", "y_no").distinct()
 
 
+def _marked(wanted: DataFrame) -> Column:
+    """Whether a line (id, no) may be among the wanted ones: a bitmap of 4 MiB at most, one bit for a hash of each."""
+    bits = 1 << min(25, max(12, int(wanted.count() * 8).bit_length()))
+    at = F.xxhash64("id", "no").bitwiseAND(bits - 1)
+    got = wanted.groupBy(F.shiftright(at, 3).cast("int").alias("b")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(7).cast("int"))).alias("m")).toArrow()  # one row for each byte at most
+    out = np.zeros(bits >> 3, np.uint8)
+    out[got.column("b").to_numpy()] = got.column("m").to_numpy()
+    byte = F.conv(F.hex(F.substring(F.lit(bytearray(out.tobytes())), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, at.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+
+
 def _verified(sound: DataFrame, pairs: DataFrame, table_: Column, buckets: int, t: float) -> DataFrame:
     """The x lines of pairs (checkpointed) whose whole sets are similar enough."""
-    wanted = pairs.select(F.col("x_id").alias("id"), F.col("x_no").alias("no")).unionByName(pairs.select(F.col("y_id").alias("id"), F.col("y_no").alias("no")))
-    wanted = wanted.groupBy("id").agg(F.collect_set("no").alias("nos"))  # of one document
-    sets = sound.join(wanted, "id").select("id", F.split("text", "\n").alias("all"), F.explode("nos").alias("no")).select("id", "no", numbers(F.get("all", F.col("no")), table_, buckets).alias("set"))
+    wanted = pairs.select(F.col("x_id").alias("id"), F.col("x_no").alias("no")).unionByName(pairs.select(F.col("y_id").alias("id"), F.col("y_no").alias("no"))).distinct()
+    lines = sound.select("id", F.posexplode(F.split("text", "\n")).alias("no", "line")).filter(_marked(wanted))
+    sets = lines.join(wanted, ["id", "no"]).select("id", "no", numbers(F.col("line"), table_, buckets).alias("set"))
     xs, ys = (sets.select(F.col("id").alias(f"{s}_id"), F.col("no").alias(f"{s}_no"), F.col("set").alias(f"{s}_set")) for s in "xy")
     whole = pairs.join(xs, ["x_id", "x_no"]).join(ys, ["y_id", "y_no"])
     both = F.size(F.array_intersect("x_set", "y_set"))
@@ -120,8 +135,9 @@ def _removed(texts: DataFrame, threshold: float, least: int) -> DataFrame:
     posts = _posts(classes.join(early.select("spot", F.lit(1).alias("_settled")), "spot", "left"), F.coalesce("_settled", F.lit(0)))
     x, y = (posts.select(*[F.col(c).alias(f"{s}_{c}") for c in posts.columns]) for s in "xy")
     x_later = F.struct("x_id", "x_no") > F.struct("y_id", "y_no")
-    settled = lambda s: F.col(f"{s}_meta").bitwiseAND(1) == 1
-    pairs = x.join(y, (F.col("x_word") == F.col("y_word")) & x_later & ~settled("x") & (F.col("y_meta") >= 0) & _promising(t))
+    # a settled later line takes no part; said across both sides, so that these stay alike and share one shuffle
+    open_ = F.when(F.col("x_meta").bitwiseAND(1) == 1, F.lit(None)).otherwise(F.col("y_meta")).isNotNull()
+    pairs = x.join(y, (F.col("x_word") == F.col("y_word")) & x_later & open_ & _promising(t))
     late = _verified(sound, cut(_pairs(pairs)), table_, buckets, t)
     near = early.unionByName(late).distinct().withColumn("near", F.lit(True))
 
