@@ -5,8 +5,8 @@ lines always stay. A line is removed if an earlier one (by document id, then lin
 at least `threshold` with it, whether that one is itself removed or not.
 
 Lines with the same set form a class, found at its first place; only classes are joined. Words are ordered by rarity:
-all words of all documents are counted in a table of buckets (a power of two near one for 100 words, 4 Mi at
-most, so about a byte a bucket is all that the tasks get), and a word's number has its bucket's logarithmic count before
+all words of all documents are counted in a table of buckets (a power of two near one for 100 words, 256 Ki at most,
+as Spark prints the table in every plan; a byte a bucket is all that the tasks get), and a word's number has its bucket's logarithmic count before
 its hash. Two sets that are similar enough share one of the first n - ceil(t n) + 1 words of the longer and of the first
 n - ceil(2 t n / (1 + t)) + 1 of the shorter; pairs that do must also pass the length filter, the positional filter and a
 count of differing bits of two 64-bit parities, and are then verified on the whole sets. As one earlier match is enough,
@@ -42,9 +42,9 @@ def _words(text: Column) -> Column:
 
 
 def rarity(texts: DataFrame) -> Column:
-    """A binary of one byte for each bucket of words: 1 + four times the binary logarithm of their count, 0 if there are none."""
+    """A binary of one byte for each bucket of words: 1 + three times the binary logarithm of their count, 0 if there are none."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 << min(22, max(12, int(size / 6 / 100).bit_length()))
+    buckets = 1 << min(18, max(12, int(size / 6 / 100).bit_length()))
     counts = texts.select(F.explode(_words(F.col("text"))).alias("w")).filter("w <> ''").groupBy(F.xxhash64("w").bitwiseAND(buckets - 1).cast("int").alias("b")).agg(F.count("*").alias("n"))
     got = counts.toArrow()  # one row for each bucket at most
     out = np.zeros(buckets, np.uint8)
@@ -90,8 +90,8 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def _marked(wanted: DataFrame) -> Column:
-    """Whether a line (id, no) may be among the wanted ones: a bitmap of 4 MiB at most, one bit for a hash of each."""
-    bits = 1 << min(25, max(12, int(wanted.count() * 8).bit_length()))
+    """Whether a line (id, no) may be among the wanted ones: a bitmap of 256 KiB at most, one bit for a hash of each."""
+    bits = 1 << min(21, max(12, int(wanted.count() * 8).bit_length()))
     at = F.xxhash64("id", "no").bitwiseAND(bits - 1)
     got = wanted.groupBy(F.shiftright(at, 3).cast("int").alias("b")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(7).cast("int"))).alias("m")).toArrow()  # one row for each byte at most
     out = np.zeros(bits >> 3, np.uint8)
