@@ -22,8 +22,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the lines that repeat no earlier one; those of which no line remains go. n_chars follows the text."""
-    kept = lines.without_repeats(docs)
+    """Documents with the lines that repeat no earlier one; those of which no line remains go. n_chars follows the text.
+
+    Lines of one or two words count too: only blank lines are exempt."""
+    kept = lines.without_repeats(docs, least=1)
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

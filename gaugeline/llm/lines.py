@@ -1,10 +1,12 @@
 """Line dedup: an exact set-similarity join of lines. DataFrame operations only.
 
 A line is the set of its lower-cased words (runs of what is not ASCII white space), at least `least` of them; shorter
-lines always stay. A line is removed if an earlier one (by document id, then line number) has a Jaccard similarity of
+lines always stay (op2_lines keeps the floor of 3 that its SQL has; with 1, as in the pipeline, only blank lines are
+exempt). A line is removed if an earlier one (by document id, then line number) has a Jaccard similarity of
 at least `threshold` with it, whether that one is itself removed or not.
 
-Lines with the same set form a class, found at its first place; only classes are joined. Words are ordered by rarity:
+Lines with the same set form a class, found at its first place; only classes are joined, and of these only the ones
+with enough words for another set to be similar enough (n / (n + 1) is the most that is possible: 4 words at 0.8). Words are ordered by rarity:
 all words of all documents are counted in a table of buckets (a power of two near one for 100 words, 256 Ki at most,
 as Spark prints the table in every plan; a byte a bucket is all that the tasks get), and a word's number has its bucket's logarithmic count before
 its hash. Two sets that are similar enough share one of the first n - ceil(t n) + 1 words of the longer and of the first
@@ -123,7 +125,7 @@ def _removed(texts: DataFrame, threshold: float, least: int) -> DataFrame:
     lines = lines.select("id", "no", F.size("set").alias("n"), F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), F.reverse("set")).alias("k2"), _parity(F.col("set")).alias("bits"), prefix.alias("prefix"))
     lines = cut(lines).filter(F.col("n") >= least)  # filtered after the cut: a filter moved below would work out each set twice
     classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "no")).alias("spot"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    classes = classes.select("spot", "n", "bits", "prefix")
+    classes = classes.filter(F.col("n") >= t * (F.col("n") + 1) - 1e-9).select("spot", "n", "bits", "prefix")  # smaller sets match equal ones only
 
     # first every line against the earliest one that has the word: that settles most members of a large group
     posts = _posts(classes, F.lit(0))

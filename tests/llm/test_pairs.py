@@ -125,6 +125,20 @@ def test_lines(spark, docs):
     assert N.dedup_lines(docs([(1, "p q r"), (1, "p q r")])).filter("text = 'p q r'").count() == 2
 
 
+def test_short_lines(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    rows = [(d, "\n".join(" ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 6))) for _ in range(5))) for d in range(40)]
+    rows += [(100, "Les.\nAnd ornd.\n\nx1 x2 x3 x4"), (101, "les.\nornd. and\n\nword word word\nx1 x2 x3 x4 x5"), (102, "Les.")]
+    gone = brute_lines(rows, least=1)
+    assert {(101, 0), (101, 1), (101, 4), (102, 0)} <= gone and (101, 2) not in gone
+    want = {i: "\n".join(own) for i, t in rows if (own := [x for k, x in enumerate(t.split("\n")) if (i, k) not in gone])}
+    made = docs(rows).selectExpr("doc_id", "text", "lang", "source", "n_chars")
+    got = corpus_pipeline.line_dedup(spark, made, None).collect()
+    assert {r.doc_id: r.text for r in got} == want and 102 not in want
+
+
 def brute_windows(rows, width=13):
     first = {}
     for i, t in rows:
