@@ -43,7 +43,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: at | ?[\[(]at[\])] ?)[A-Za-z0-9-]{1,63}(?:(?: dot | ?[\[(]dot[\])] ?|\.)[A-Za-z0-9-]{1,63}){1,4}", re.I)
 _LOOSE_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{2,5}\)?(?:[ .-][0-9]{2,5}){2,4}(?![0-9])")
 _IDENTITY = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_GATE = r"[0-9@]|[ \[(][dD][oO][tT][ \])]"
+# What every match of some pattern holds: a digit, an @, or the spelled-out at (the separator after that may be a plain dot).
+_GATE = r"[0-9@]| [aA][tT] |[\[(][aA][tT][\])]"
 # Gazetteers.
 _TOP_LEVEL = frozenset("com org net edu gov io de fr es uk it nl eu info biz ch at be us ca".split())
 _CALLING = tuple("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 61 62 63 64 65 66 81 82 84 86 90 91 92 351 352 353 358 420".split())
