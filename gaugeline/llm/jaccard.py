@@ -1,12 +1,12 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes, exact verification decides.
+"""N-gram Jaccard join: MinHash bands propose, exact verification decides.
 
 Shingles are five consecutive lower-cased words; a text of one to four words has one shingle, all its words. Two
 documents are linked if the Jaccard similarity of their shingle sets is at least `threshold`.
 
-Documents with the same shingle set form one class, whose smallest id represents it. Of each class every one of TREES
-trees has a MinHash signature of up to DEPTH values, a path in that tree's prefix trie. Matched prefixes are shortened,
-level by level from the full depth, until a pair at the threshold shares a prefix in some tree with at least the target
-recall; classes under one trie node are candidates. Candidates' components are verified all against all: components
+Documents with the same shingle set form one class, whose smallest id represents it. Classes that share a band (a run of
+MinHash values, hashed into one key) are candidates. This is banding, not an LSH forest: the length of a band is worked
+out from the threshold alone, longer prefixes are not looked at, and there are as many bands as it takes for a pair at
+the threshold to share one with at least the target recall. Candidates' components are verified all against all: components
 larger than a block in pairs of blocks, so no candidate is capped or dropped, and no pair of rows is ever emitted: each
 block returns a count of links for each class and a spanning forest.
 
@@ -28,8 +28,8 @@ from .common import cut, slices, table
 from .groups import blocks, components, forest
 from .words import Words, mix
 
-THRESHOLD, RECALL = 0.8, 0.999
-TREES, DEPTH = 20, 8
+THRESHOLD, RECALL = 0.8, 0.9999995  # of two million pairs at the threshold one is missed
+TREES, DEPTH, FIRST = 20, 8, 0.999
 BLOCK = 512
 _COLUMNS = 4096
 
@@ -42,14 +42,21 @@ def prefix_length(threshold: float, recall: float, trees: int = TREES, depth: in
     return length
 
 
+def bands(threshold: float, recall: float) -> tuple[int, int]:
+    """Length of a band and number of bands: TREES, and more until a pair at the threshold shares one with the target recall."""
+    length = prefix_length(threshold, min(recall, FIRST))
+    met = threshold**length
+    return length, TREES if met >= 1 else max(TREES, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+
+
 def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """id, set_key (digest of the shingle set), nodes (the trie node at this prefix length in each tree)."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, length: int, trees: int) -> DataFrame:
+    """id, set_key (digest of the shingle set), nodes (the key of each of `trees` bands of this length)."""
     rng = np.random.default_rng(5)
-    factors = rng.integers(1, 1 << 63, TREES * length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    factors = rng.integers(1, 1 << 63, trees * length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
         for batch in slices(batches, 128):
@@ -63,8 +70,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFr
                 low = np.full(len(factors), 0xFFFFFFFFFFFFFFFF, np.uint64)
                 for at in range(0, len(s), 2048):
                     np.minimum(low, (s[at : at + 2048, None] * factors).min(0), out=low)
-                path = np.arange(TREES, dtype=np.uint64)
-                for level in low.reshape(length, TREES):
+                path = np.arange(trees, dtype=np.uint64)
+                for level in low.reshape(length, trees):
                     path = mix(path + level)
                 nodes.append(path.view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], ["id", "set_key", "nodes"])
@@ -95,7 +102,7 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row for each document: id, class_id (smallest id reachable by links), n_links (other documents linked directly)."""
-    own = sketches(docs, id_col, text_col, prefix_length(threshold, recall)).groupBy("id").agg(F.min(F.struct("set_key", "nodes")).alias("s"))
+    own = sketches(docs, id_col, text_col, *bands(threshold, recall)).groupBy("id").agg(F.min(F.struct("set_key", "nodes")).alias("s"))
     own = cut(own.select("id", "s.set_key", "s.nodes"))
     classes = own.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     member = cut(own.filter(F.col("set_key").isNotNull()).select("id", "set_key").join(classes, "set_key").select("id", "rep", "copies", "set_key"))

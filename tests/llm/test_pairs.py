@@ -94,6 +94,19 @@ def test_prefix_length():
     assert J.prefix_length(0.8, 0.999) == 5 and J.prefix_length(0.8, 0.9999999999) < 5 and J.prefix_length(1.0, 0.999) == J.DEPTH
 
 
+def test_registered_bands(spark, docs):
+    length, trees = J.bands(J.THRESHOLD, J.RECALL)
+    assert (1 - J.THRESHOLD**length) ** trees < 1e-6
+    assert J.bands(1.0, J.RECALL) == (J.DEPTH, J.TREES)
+    # isolated pairs of 9 shingles each, 8 of them shared: exactly 0.8
+    rows = []
+    for i in range(12000):
+        words = [f"p{i}w{k}" for k in range(13)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:12], "other"]))]
+    got = J.links(docs(rows))
+    assert got.filter("n_links = 1 and class_id = doc_id - doc_id % 2").count() == len(rows)
+
+
 def brute_lines(rows, threshold=0.8, least=3):
     every = [(i, k, frozenset(line.lower().replace("\t", " ").split(" ")) - {""}) for i, t in rows if t is not None and i is not None for k, line in enumerate(t.split("\n"))]
     every = sorted(x for x in every if len(x[2]) >= least)
