@@ -217,3 +217,23 @@ def test_vectors(spark, monkeypatch):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in V.near_duplicates(df, recall=0.9999999).collect()}
     assert got == {i: (links[i], root[i], root[i] == i) for i in root}
     assert V.near_duplicates(df.limit(0)).count() == 0 and V.passes(10**6) > V.passes(10**4) >= V.passes(10)
+
+
+def test_vectors_of_one_direction(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 8)  # so that passes are cheaper than comparing the label wholly
+    rng = np.random.default_rng(4)
+    n, dim, turn = 4000, 64, 2 * np.pi / 360 * 20.7  # cosine 0.935
+    own = rng.standard_normal((n, dim)) / 8 + 2 * np.eye(dim)[0]  # mean cosine 0.8
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    for i in range(0, 800, 2):
+        off = rng.standard_normal(dim)
+        off[0] = 0
+        off -= off @ own[i] * own[i]
+        own[i + 1] = np.cos(turn) * own[i] + np.sin(turn) * off / np.linalg.norm(off)
+    cosine = own @ own.T
+    want = (cosine >= 0.93).sum(1) - 1
+    got = np.zeros(n, int)
+    for r in V.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(own)], "vec_id long, embedding array<double>, label int")).collect():
+        got[r.vec_id] = r.n_links
+    assert want.sum() >= 800 and 0.75 < cosine.mean() < 0.85
+    assert (got != want).sum() <= 2
