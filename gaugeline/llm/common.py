@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,11 +15,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Where none is set, a folder of this machine's in local mode; an error on a cluster."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written as Parquet under the checkpoint folder and read again: smaller than a checkpoint, and columns can be left out."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    """Checkpoint in the folder that spark.checkpoint.dir names."""
+    checkpoint_dir(df.sparkSession)
     out = df.checkpoint()
     # without the old plan the cleaner removes the shuffle files that only it needed
     del df
@@ -39,13 +59,17 @@ def slices(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
+def share(bound: int, n: int) -> int:
+    """The number that a 63-bit hash must stay below for `bound` of n rows to be expected; exact for any n, at least 1."""
+    return max(1, min(1 << 63, (bound << 63) // max(1, n)) - 1)
+
+
 def sample_by_id(df: DataFrame, id_col: str, bound: int, salt: int = 17) -> DataFrame:
-    """About `bound` rows at most, chosen by a hash of the id: the same rows wherever they lie."""
+    """About `bound` rows, all if there are no more: those whose hash of the id is low, the same wherever they lie."""
     n = df.count()
     if n <= bound:
         return df
-    keep = int(bound / n * 1_000_000)
-    return df.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(1_000_000)) < keep)
+    return df.filter(F.xxhash64(F.col(id_col), F.lit(salt)).bitwiseAND((1 << 63) - 1) < F.lit(share(bound, n)))
 
 
 def as_strings(column: pa.Array) -> list[str]:

@@ -1,150 +1,237 @@
-"""Line dedup: an exact set-similarity join of lines. DataFrame operations only.
+"""Line dedup: an exact set-similarity join of lines.
 
 A line is the set of its lower-cased words (runs of what is not ASCII white space), at least `least` of them; shorter
 lines always stay (op2_lines keeps the floor of 3 that its SQL has; with 1, as in the pipeline, only blank lines are
 exempt). A line is removed if an earlier one (by document id, then line number) has a Jaccard similarity of
 at least `threshold` with it, whether that one is itself removed or not.
 
-Lines with the same set form a class, found at its first place; only classes are joined, and of these only the ones
-with enough words for another set to be similar enough (n / (n + 1) is the most that is possible: 4 words at 0.8). Words are ordered by rarity:
-all words of all documents are counted in a table of buckets (a power of two near one for 100 words, 256 Ki at most,
-as Spark prints the table in every plan; a byte a bucket is all that the tasks get), and a word's number has its bucket's logarithmic count before
-its hash. Two sets that are similar enough share one of the first n - ceil(t n) + 1 words of the longer and of the first
-n - ceil(2 t n / (1 + t)) + 1 of the shorter; pairs that do must also pass the length filter, the positional filter and a
-count of differing bits of two 64-bit parities, and are then verified on the whole sets. As one earlier match is enough,
-lines are first held against the earliest line of each of their prefix words; only lines that this leaves unsettled are
-joined with all earlier ones, so a large group of near copies does not give all its pairs. Words are told apart by 56 bits of their hash.
+Lines with the same set (128 bits of word hashes and the number of words) form a class, found at its first place; only
+classes are joined, and of these only the ones with enough words for another set to be similar enough (n / (n + 1) is the
+most that is possible: 4 words at 0.8). Words are ordered by rarity: all words of all documents are counted in TABLE
+buckets of their hashes, at every size of the input, and a word comes by its bucket's logarithmic count before its hash.
+A bucket tells words apart that make up more than a millionth of the input. Rarer ones share ranks, but a line has few of
+them and they all come first; how long its prefix's lists are is decided by the more frequent words behind them.
+
+Two sets that are similar enough share one of the first n - ceil(t n) + 1 words of the longer and of the first
+n - ceil(2 t n / (1 + t)) + 1 of the shorter; pairs that do must also pass the
+length filter, the positional filter and a count of differing bits of two 128-bit parities, and are then verified on the
+words themselves. As one earlier match is enough, each class is first held against the earliest class of each of its LED
+rarest words, and of those that pass the filters verified with the likeliest; only classes that this leaves unsettled are
+joined with all earlier ones, so a large group of near copies does not give all its pairs. The join is by word, which
+adaptive execution splits where a word is hot; the earliest classes are found by partial aggregates.
+
+Words are hashed and ordered in Arrow batches (the native form took twice the time that the check allows, see README);
+classes, posts, joins and results are DataFrame operations.
 
 Null texts have no line and stay null. Rows with a null id are unchanged. Rows that repeat an id count as one document
-(its texts should be the same; a line number removed from one is removed from all). Other columns are kept; names
-that begin with __line_ or __n_ are this module's own.
+(its texts should be the same; a line number removed from one is removed from all). Very long lines and texts are read
+whole. Other columns are kept; names that begin with __line_ or __n_ are this module's own.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, slices, stored, table
+from .words import Words, mix
 
 THRESHOLD = 0.8
 LEAST = 3
-_SPACE = "\t\r\f\x0b\n"
-_LOW = (1 << 56) - 1
+LED = 2
+TABLE = 1 << 20
+_SLICE = 128
+_LINE = "id long, no int, n int, k1 long, k2 long, b1 long, b2 long, prefix array<int>"
+
+
+def rarity(texts: DataFrame) -> np.ndarray:
+    """A byte for each bucket of word hashes: 1 + four times the binary logarithm of the number of words, 0 if there are none."""
+
+    def count(batches):
+        total = np.zeros(TABLE, np.int64)
+        for batch in slices(batches, 8 * _SLICE):
+            total += np.bincount((Words(batch.column(0), lower=True).hashes() & np.uint64(TABLE - 1)).astype(np.int64), minlength=TABLE)
+        own = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total[own])], ["b", "n"])
+
+    got = texts.mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()  # TABLE rows at most
+    out = np.zeros(TABLE, np.uint8)
+    out[got.column("b").to_numpy()] = np.minimum(255, 1 + 4 * np.log2(got.column("n").to_numpy().astype(np.float64)))
+    return out
+
+
+def _sets(column: pa.Array, ranks: np.ndarray):
+    """Lines of a column of texts as sets: the text and line number of each, where its words begin, and the words' hashes,
+    of each line the rarest first."""
+    parts = pc.split_pattern(column.cast(pa.large_string()), "\n")
+    own = pc.list_parent_indices(parts).to_numpy()
+    words = Words(pc.list_flatten(parts), lower=True)
+    hashes = words.hashes()
+    rank = ranks[hashes & np.uint64(TABLE - 1)].astype(np.uint64)
+    # one number holds line, rank and the hash's upper bits; where these don't part two words, the whole hash does
+    bits = np.uint64(int(words.n_texts).bit_length())
+    order = (words.text_of.astype(np.uint64) << (np.uint64(64) - bits)) | (rank << (np.uint64(56) - bits)) | (hashes >> (np.uint64(8) + bits))
+    by = np.argsort(order)
+    if ((order[by][1:] == order[by][:-1]) & (hashes[by][1:] != hashes[by][:-1])).any():
+        by = np.lexsort((hashes, rank, words.text_of))
+    hashes, line = hashes[by], words.text_of[by]
+    new = np.ones(len(by), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
+    hashes, line = hashes[new], line[new]
+    there, first = np.unique(line, return_index=True)
+    begins = np.searchsorted(own, np.arange(len(column)))
+    return own[there], there - begins[own[there]], first, hashes
+
+
+def prefix_size(n, threshold: float):
+    """How many of a set's n words are enough to share one with every similar set; 0 if only equal sets are similar."""
+    n = np.asarray(n)
+    return np.where(n >= threshold * (n + 1) - 1e-9, n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1, 0)
+
+
+def line_sets(texts: DataFrame, ranks: np.ndarray, threshold: float, least: int) -> DataFrame:
+    """One row for each line of at least `least` words: place, number of words, class key, parity and prefix."""
+    sent = texts.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches):
+        for batch in slices(batches, _SLICE):
+            text, no, first, hashes = _sets(batch.column(1), sent.value)
+            n = np.diff(np.append(first, len(hashes)))
+            if not len(n):
+                continue
+            k1, k2 = (np.add.reduceat(mix(hashes ^ np.uint64(salt)), first).view(np.int64) for salt in (0x1B03738712FAD5C9, 0x6A09E667F3BCC908))
+            bit, high = np.uint64(1) << (hashes >> np.uint64(58)), (hashes >> np.uint64(57)) & np.uint64(1) > 0
+            b1, b2 = (np.bitwise_xor.reduceat(np.where(own, bit, np.uint64(0)), first).view(np.int64) for own in (~high, high))
+            size = prefix_size(n, threshold)
+            place = np.arange(len(hashes)) - np.repeat(first, n)
+            # 32 bits of each word: words that these take for the same only propose pairs
+            words = (hashes[place < np.repeat(size, n)] >> np.uint64(20)).astype(np.uint32).view(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(words))
+            out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(no.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(b1), pa.array(b2), prefix], ["id", "no", "n", "k1", "k2", "b1", "b2", "prefix"])
+            yield out.filter(pa.array(n >= least))
+
+    return texts.mapInArrow(run, _LINE)
 
 
-def _words(text: Column) -> Column:
-    """Lower-cased words, and empty strings among them. Splitting at one character takes no regular expression."""
-    plain = F.lower(text)
-    for c in _SPACE:
-        plain = F.replace(plain, F.lit(c), F.lit(" "))
-    return F.split(plain, " ")
+def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
+    """id, and the numbers (from 0) of the lines to remove, for documents that have any."""
+    return _removed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), threshold, least)
 
 
-def rarity(texts: DataFrame) -> Column:
-    """A binary of one byte for each bucket of words: 1 + three times the binary logarithm of their count, 0 if there are none."""
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 << min(18, max(12, int(size / 6 / 100).bit_length()))
-    counts = texts.select(F.explode(_words(F.col("text"))).alias("w")).filter("w <> ''").groupBy(F.xxhash64("w").bitwiseAND(buckets - 1).cast("int").alias("b")).agg(F.count("*").alias("n"))
-    got = counts.toArrow()  # one row for each bucket at most
-    out = np.zeros(buckets, np.uint8)
-    out[got.column("b").to_numpy()] = np.minimum(126, 1 + 3 * np.log2(got.column("n").to_numpy())).astype(np.uint8)
-    return F.lit(bytearray(out.tobytes())), buckets
+_POST = ("id", "no", "meta", "b1", "b2")
 
 
-def numbers(line: Column, table_: Column, buckets: int) -> Column:
-    """A line's set of words as numbers, the rarest word first."""
-    rank = lambda h: F.ascii(F.substring(table_, h.bitwiseAND(buckets - 1).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.transform(_words(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))), lambda h: F.shiftleft(rank(h), 56).bitwiseOR(h.bitwiseAND(_LOW)))))
+def _posts(classes: DataFrame, words: Column, settled: Column, t: float) -> DataFrame:
+    """One row for each of these words of each class. meta: the set's size (from bit 33), the word's place (from bit 2), whether
+    the shorter set of a pair needs this place (bit 1), whether the class is settled (bit 0)."""
+    rows = classes.select("id", "no", "b1", "b2", "n", settled.cast("long").alias("settled"), F.posexplode(words).alias("pos", "word"))
+    short = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9)
+    meta = F.shiftleft(F.col("n").cast("long"), 33).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 2)).bitwiseOR(F.when(short, 2).otherwise(0).cast("long")).bitwiseOR(F.col("settled"))
+    return rows.select("word", "id", "no", meta.alias("meta"), "b1", "b2")
 
 
-def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
-    """id, and the numbers (from 0) of the lines to remove, for documents that have any."""
-    return _removed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), threshold, least)
+def _size(side: str) -> Column:
+    return F.shiftright(f"{side}_meta", 33)
 
 
-def _parity(set_: Column) -> Column:
-    """64 bits, each the parity of the number of words that fall to it: two sets differ in at least as many words as bits."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 24).bitwiseAND(63).cast("int"))
-    return F.aggregate(set_, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
+def _later(side: str, other: str) -> Column:
+    a, b = F.col(f"{side}_id"), F.col(f"{other}_id")
+    return (a > b) | ((a == b) & (F.col(f"{side}_no") > F.col(f"{other}_no")))
 
 
-def _posts(classes: DataFrame, settled: Column) -> DataFrame:
-    """One row for each prefix word of each class; size, place and whether the class is settled share a number."""
-    rows = classes.select("spot", F.shiftleft(F.col("n").cast("long"), 33).bitwiseOR(settled.cast("long")).alias("meta"), "bits", F.posexplode("prefix").alias("pos", "word"))
-    return rows.select("word", "spot.id", "spot.no", F.col("meta").bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).alias("meta"), "bits")
+def _differ() -> Column:
+    """As many words as this at least are in one set only."""
+    return F.bit_count(F.col("x_b1").bitwiseXOR(F.col("y_b1"))) + F.bit_count(F.col("x_b2").bitwiseXOR(F.col("y_b2")))
 
 
 def _promising(t: float) -> Column:
     """The length, positional and parity filters of a pair that shares a prefix word."""
-    size = lambda s: F.shiftright(f"{s}_meta", 33)
-    place = lambda s: F.shiftright(f"{s}_meta", 1).bitwiseAND((1 << 31) - 1)
-    shared = F.ceil((size("x") + size("y")) * (t / (1 + t)) - 1e-9)
-    left = F.least(size("x") - place("x"), size("y") - place("y"))
-    bits = F.bit_count(F.col("x_bits").bitwiseXOR(F.col("y_bits"))) <= size("x") + size("y") - 2 * shared
-    return (F.least(size("x"), size("y")) >= t * F.greatest(size("x"), size("y")) - 1e-9) & (left >= shared) & bits
-
-
-def _pairs(rows: DataFrame) -> DataFrame:
-    return rows.select("x_id", "x_no", "y_id", "y_no").distinct()
-
-
-def _marked(wanted: DataFrame) -> Column:
-    """Whether a line (id, no) may be among the wanted ones: a bitmap of 256 KiB at most, one bit for a hash of each."""
-    bits = 1 << min(21, max(12, int(wanted.count() * 8).bit_length()))
-    at = F.xxhash64("id", "no").bitwiseAND(bits - 1)
-    got = wanted.groupBy(F.shiftright(at, 3).cast("int").alias("b")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(7).cast("int"))).alias("m")).toArrow()  # one row for each byte at most
-    out = np.zeros(bits >> 3, np.uint8)
-    out[got.column("b").to_numpy()] = got.column("m").to_numpy()
-    byte = F.conv(F.hex(F.substring(F.lit(bytearray(out.tobytes())), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, at.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
-
-
-def _verified(sound: DataFrame, pairs: DataFrame, table_: Column, buckets: int, t: float) -> DataFrame:
-    """The x lines of pairs (checkpointed) whose whole sets are similar enough."""
-    wanted = pairs.select(F.col("x_id").alias("id"), F.col("x_no").alias("no")).unionByName(pairs.select(F.col("y_id").alias("id"), F.col("y_no").alias("no"))).distinct()
-    lines = sound.select("id", F.posexplode(F.split("text", "\n")).alias("no", "line")).filter(_marked(wanted))
-    sets = lines.join(wanted, ["id", "no"]).select("id", "no", numbers(F.col("line"), table_, buckets).alias("set"))
-    xs, ys = (sets.select(F.col("id").alias(f"{s}_id"), F.col("no").alias(f"{s}_no"), F.col("set").alias(f"{s}_set")) for s in "xy")
-    whole = pairs.join(xs, ["x_id", "x_no"]).join(ys, ["y_id", "y_no"])
-    both = F.size(F.array_intersect("x_set", "y_set"))
-    whole = whole.filter(both >= t * (F.size("x_set") + F.size("y_set") - both) - 1e-9)
-    return cut(whole.select(F.struct(F.col("x_id").alias("id"), F.col("x_no").alias("no")).alias("spot")).distinct())
-
-
-def _removed(texts: DataFrame, threshold: float, least: int) -> DataFrame:
+    place = lambda s: F.shiftright(f"{s}_meta", 2).bitwiseAND((1 << 31) - 1)
+    x_n, y_n = _size("x"), _size("y")
+    shared = F.ceil((x_n + y_n) * (t / (1 + t)) - 1e-9)
+    left = F.least(x_n - place("x"), y_n - place("y"))
+    return (F.least(x_n, y_n) >= t * F.greatest(x_n, y_n) - 1e-9) & (left >= shared) & (_differ() <= x_n + y_n - 2 * shared)
+
+
+def _side(df: DataFrame, side: str, *columns: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{side}_{c}") for c in columns])
+
+
+def _verified(sound: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """The places (id, no) of the x lines of pairs whose sets of words are similar enough."""
+    places = pairs.select(F.col("x_id").alias("id"), F.col("x_no").alias("no")).unionByName(pairs.select(F.col("y_id").alias("id"), F.col("y_no").alias("no")))
+    wanted = places.groupBy("id").agg(F.collect_set("no").alias("nos"))  # of one document: no longer than its text
+
+    def lines(batches):
+        for batch in slices(batches, _SLICE):
+            ids, nos, own = [], [], []
+            for id_, text, some in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                parts = text.split("\n")
+                some = [k for k in some if k < len(parts)]
+                ids += [id_] * len(some)
+                nos += some
+                own += [parts[k] for k in some]
+            lower = pc.utf8_lower(pa.array(own, pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), lower], ["id", "no", "line"])
+
+    own = sound.join(wanted, "id").select("id", "text", "nos").mapInArrow(lines, "id long, no int, line string")
+
+    def similar(batches):
+        for batch in slices(batches, 1024):
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = set(x.encode().split()), set(y.encode().split())
+                both = len(a & b)
+                keep.append(both >= t * (len(a) + len(b) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["id", "no"]).filter(pa.array(keep, pa.bool_()))
+
+    whole = pairs.join(_side(own, "x", "id", "no", "line"), ["x_id", "x_no"]).join(_side(own, "y", "id", "no", "line"), ["y_id", "y_no"])
+    return stored(whole.select("x_id", "x_no", "x_line", "y_line").mapInArrow(similar, "id long, no int").distinct())
+
+
+def _led(classes: DataFrame, t: float) -> DataFrame:
+    """Of each class the likeliest of the earliest ones that have one of its rarest words: x and y places."""
+    posts = _posts(classes, F.slice("prefix", 1, LED), F.lit(0), t)
+    leaders = posts.groupBy("word").agg(F.min(F.struct(*_POST)).alias("y"), F.count("*").alias("m")).filter("m > 1").select("word", *[F.col(f"y.{c}").alias(f"y_{c}") for c in _POST])
+    led = posts.select("word", *[F.col(c).alias(f"x_{c}") for c in _POST]).join(leaders, "word").filter(_later("x", "y") & _promising(t))
+    best = led.groupBy("x_id", "x_no").agg(F.min(F.struct(_differ().alias("differ"), "y_id", "y_no")).alias("y"))
+    return best.select("x_id", "x_no", "y.y_id", "y.y_no")
+
+
+def _joined(classes: DataFrame, settled: DataFrame, t: float) -> DataFrame:
+    """All pairs that pass the filters and of which the later class is not settled: places of the later (x) and earlier (y)."""
+    own = classes.join(settled.withColumn("settled", F.lit(1)), ["id", "no"], "left")
+    posts = _posts(own, F.col("prefix"), F.coalesce("settled", F.lit(0)), t)
+    x, y = (_side(posts, s, "word", *_POST) for s in "xy")
+    # said across both sides, so that no filter is moved to one of them: they stay alike and share one shuffle
+    needed = F.when(F.col("x_meta") < 0, F.lit(False)).otherwise(F.col("y_meta").bitwiseAND(2) != 0)
+    shorter = (_size("x") > _size("y")) | ((_size("x") == _size("y")) & _later("x", "y"))
+    open_ = F.when(_later("x", "y"), F.col("x_meta")).otherwise(F.col("y_meta")).bitwiseAND(1) == 0
+    pairs = x.join(y, (F.col("x_word") == F.col("y_word")) & needed & shorter & _promising(t) & open_)
+    places = [F.struct(F.col(f"{s}_id").alias("id"), F.col(f"{s}_no").alias("no")) for s in "xy"]
+    pairs = pairs.select(F.greatest(*places).alias("x"), F.least(*places).alias("y"))
+    return pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("id", "no")]).distinct()
+
+
+def _removed(texts: DataFrame, t: float, least: int) -> DataFrame:
     sound = texts.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    table_, buckets = rarity(sound.select("text"))
-    t = threshold
-    lines = sound.select("id", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("id", "no", numbers(F.col("line"), table_, buckets).alias("set"))
-    first = F.size("set") - F.ceil(F.size("set") * t - 1e-9).cast("int") + 1
-    # the prefix as 31-bit numbers: words that these take for the same only propose pairs
-    prefix = F.transform(F.slice("set", F.lit(1), first), lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int"))
-    lines = lines.select("id", "no", F.size("set").alias("n"), F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), F.reverse("set")).alias("k2"), _parity(F.col("set")).alias("bits"), prefix.alias("prefix"))
-    lines = cut(lines).filter(F.col("n") >= least)  # filtered after the cut: a filter moved below would work out each set twice
-    classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "no")).alias("spot"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    classes = classes.filter(F.col("n") >= t * (F.col("n") + 1) - 1e-9).select("spot", "n", "bits", "prefix")  # smaller sets match equal ones only
-
-    # first every line against the earliest one that has the word: that settles most members of a large group
-    posts = _posts(classes, F.lit(0))
-    leader = F.first(F.struct(*posts.columns[1:])).over(W.partitionBy("word").orderBy("id", "no"))
-    led = posts.withColumn("y", leader).select(*[F.col(c).alias(f"x_{c}") for c in posts.columns], *[F.col(f"y.{c}").alias(f"y_{c}") for c in posts.columns[1:]])
-    early = _verified(sound, cut(_pairs(led.filter((F.col("x_id") != F.col("y_id")) | (F.col("x_no") != F.col("y_no"))).filter(_promising(t)))), table_, buckets, t)
-
-    # then the rest: pairs of which the later line is not settled yet
-    posts = _posts(classes.join(early.select("spot", F.lit(1).alias("_settled")), "spot", "left"), F.coalesce("_settled", F.lit(0)))
-    x, y = (posts.select(*[F.col(c).alias(f"{s}_{c}") for c in posts.columns]) for s in "xy")
-    x_later = F.struct("x_id", "x_no") > F.struct("y_id", "y_no")
-    # a settled later line takes no part; said across both sides, so that these stay alike and share one shuffle
-    open_ = F.when(F.col("x_meta").bitwiseAND(1) == 1, F.lit(None)).otherwise(F.col("y_meta")).isNotNull()
-    pairs = x.join(y, (F.col("x_word") == F.col("y_word")) & x_later & open_ & _promising(t))
-    late = _verified(sound, cut(_pairs(pairs)), table_, buckets, t)
-    near = early.unionByName(late).distinct().withColumn("near", F.lit(True))
-
-    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "no")).alias("spot")).join(near, "spot", "left").select("k1", "k2", "spot", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("id", "no", "k1", "k2").join(firsts, ["k1", "k2"]).filter(F.col("near") | (F.col("id") != F.col("spot.id")) | (F.col("no") != F.col("spot.no")))
+    lines = stored(line_sets(sound, rarity(sound.select("text")), t, least))
+    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "no", "n", "b1", "b2", "prefix")).alias("s"), F.count("*").alias("copies"))
+    firsts = stored(firsts.select("k1", "k2", "copies", "s.*"))
+    classes = firsts.filter(F.size("prefix") > 0)  # smaller sets match equal ones only
+
+    # first every class against the earliest ones that have its rarest words: that settles most members of a large group
+    early = _verified(sound, stored(_led(classes, t)), t)
+    # then the rest
+    late = _verified(sound, stored(_joined(classes, early, t)), t)
+    near = early.unionByName(late).distinct().select("id", "no", F.lit(True).alias("near"))
+
+    # of a class all but the first place, and that as well if an earlier line is near
+    firsts = firsts.join(near, ["id", "no"], "left").filter("near or copies > 1").select("k1", "k2", F.col("id").alias("first_id"), F.col("no").alias("first_no"), F.coalesce("near", F.lit(False)).alias("near"))
+    gone = lines.select("id", "no", "k1", "k2").join(firsts, ["k1", "k2"]).filter(F.col("near") | (F.col("id") != F.col("first_id")) | (F.col("no") != F.col("first_no")))
     return gone.groupBy("id").agg(F.collect_set("no").alias("removed"))
 
 

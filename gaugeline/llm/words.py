@@ -9,31 +9,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xD6E8FEB86659FD93
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+# what is kept of eight bytes where a word has only so many of them
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 SHINGLE = 5
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_CACHE: dict[tuple[int, str], np.ndarray] = {}
-
-
-def _power_table(n: int, kind: str, base: int) -> np.ndarray:
-    """Powers 0 to n - 1; tables of up to 2**22 entries are kept by the worker."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if (base, kind) not in _CACHE or len(_CACHE[base, kind]) < n:
-        made = _powers(base if kind == "up" else pow(base, -1, 1 << 64), size)
-        if size > 1 << 22:
-            return made[:n]
-        _CACHE[base, kind] = made
-    return _CACHE[base, kind][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values in which every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(30))
@@ -81,16 +63,28 @@ class Words:
         self.first_word = counts[:-1]
         self.text_of = np.repeat(np.arange(self.n_texts), self.counts)
 
-    def hashes(self, base: int = _BASE) -> np.ndarray:
-        n = len(self.raw)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * _power_table(n + 1, "up", base)[:n], out=sums[1:])
-        back = _power_table(n + 1, "down", base)
-        return mix((sums[self.ends] - sums[self.starts]) * back[self.starts] + (self.ends - self.starts).astype(np.uint64))
-
-    def windows(self, width: int, base: int = _BASE, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def hashes(self) -> np.ndarray:
+        """64 bits of each word: every eight bytes are mixed with a number of their place, the results summed and mixed
+        with the length. Mixing is not linear, so no pattern of letters makes two words meet other than by chance."""
+        size = self.ends - self.starts
+        padded = np.zeros(len(self.raw) + 8, np.uint8)
+        padded[: len(self.raw)] = self.raw
+        eight = np.ndarray((len(self.raw) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+        total = mix((eight[self.starts] & _KEEP[np.minimum(size, 8)]) + _GOLD)
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            more = (size[long] - 1) // 8
+            first = np.cumsum(more) - more
+            place = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+            at = np.repeat(self.starts[long], more) + 8 * place
+            left = np.minimum(np.repeat(self.ends[long], more) - at, 8)
+            key = mix((place.astype(np.uint64) + np.uint64(1)) * _GOLD)
+            total[long] += np.add.reduceat(mix((eight[at] & _KEEP[left]) ^ key), first)
+        return mix(total + size.astype(np.uint64) * _GOLD)
+
+    def windows(self, width: int, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all windows of `width` words within one text, and the index of the first word of each."""
-        words = self.hashes(base) if of is None else of
+        words = self.hashes() if of is None else of
         n = len(words) - width + 1
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
