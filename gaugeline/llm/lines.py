@@ -15,10 +15,11 @@ them and they all come first; how long its prefix's lists are is decided by the
 Two sets that are similar enough share one of the first n - ceil(t n) + 1 words of the longer and of the first
 n - ceil(2 t n / (1 + t)) + 1 of the shorter; pairs that do must also pass the
 length filter, the positional filter and a count of differing bits of two 128-bit parities, and are then verified on the
-words themselves. As one earlier match is enough, each class is first held against the earliest class of each of its LED
+words themselves. As one earlier match is enough, each class is first held against the earliest classes of each of its LED
 rarest words, and of those that pass the filters verified with the likeliest; only classes that this leaves unsettled are
 joined with all earlier ones, so a large group of near copies does not give all its pairs. The join is by word, which
-adaptive execution splits where a word is hot; the earliest classes are found by partial aggregates.
+adaptive execution splits where a word is hot; the earliest classes are found by partial aggregates. Joins with the texts
+are sort-merge joins at every size.
 
 Words are hashed and ordered in Arrow batches (the native form took twice the time that the check allows, see README);
 classes, posts, joins and results are DataFrame operations.
@@ -41,7 +42,7 @@ from .words import Words, mix
 
 THRESHOLD = 0.8
 LEAST = 3
-LED = 2
+LED, LEADERS = 2, 8
 TABLE = 1 << 20
 _SLICE = 128
 _LINE = "id long, no int, n int, k1 long, k2 long, b1 long, b2 long, prefix array<int>"
@@ -177,7 +178,7 @@ def _verified(sound: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
             lower = pc.utf8_lower(pa.array(own, pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), lower], ["id", "no", "line"])
 
-    own = sound.join(wanted, "id").select("id", "text", "nos").mapInArrow(lines, "id long, no int, line string")
+    own = sound.join(wanted.hint("merge"), "id").select("id", "text", "nos").mapInArrow(lines, "id long, no int, line string")
 
     def similar(batches):
         for batch in slices(batches, 1024):
@@ -193,9 +194,11 @@ def _verified(sound: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
 
 
 def _led(classes: DataFrame, t: float) -> DataFrame:
-    """Of each class the likeliest of the earliest ones that have one of its rarest words: x and y places."""
+    """Of each class the likeliest of the LEADERS ones that have one of its rarest words: x and y places. The classes of a word are
+    dealt into as many parts, and the earliest of each leads, so that a large group has several leaders to be near to."""
     posts = _posts(classes, F.slice("prefix", 1, LED), F.lit(0), t)
-    leaders = posts.groupBy("word").agg(F.min(F.struct(*_POST)).alias("y"), F.count("*").alias("m")).filter("m > 1").select("word", *[F.col(f"y.{c}").alias(f"y_{c}") for c in _POST])
+    part = F.pmod(F.xxhash64("id", "no"), F.lit(LEADERS)).cast("int")
+    leaders = posts.groupBy("word", part.alias("part")).agg(F.min(F.struct(*_POST)).alias("y")).select("word", *[F.col(f"y.{c}").alias(f"y_{c}") for c in _POST])
     led = posts.select("word", *[F.col(c).alias(f"x_{c}") for c in _POST]).join(leaders, "word").filter(_later("x", "y") & _promising(t))
     best = led.groupBy("x_id", "x_no").agg(F.min(F.struct(_differ().alias("differ"), "y_id", "y_no")).alias("y"))
     return best.select("x_id", "x_no", "y.y_id", "y.y_no")
@@ -238,7 +241,7 @@ def _removed(texts: DataFrame, t: float, least: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
     """All rows and columns with the remaining lines as text; and __n_lines, __n_removed."""
     gone = removed_lines(docs, id_col=id_col, text_col=text_col, threshold=threshold, least=least).withColumnRenamed("id", "__line_id").withColumnRenamed("removed", "__line_removed")
-    joined = docs.join(gone, docs[id_col].cast("long") == gone["__line_id"], "left")
+    joined = docs.join(gone.hint("merge"), docs[id_col].cast("long") == gone["__line_id"], "left")
     joined = joined.withColumn("__line_all", F.split(F.col(text_col).cast("string"), "\n"))
     lines = F.col("__line_all")  # a column of its own: a lambda would split anew for each line
     rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__line_removed"))
