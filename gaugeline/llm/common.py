@@ -28,22 +28,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _freed(spark: SparkSession) -> None:
+    """Lets the cleaner remove the shuffle files that only plans no longer held need."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Written as Parquet under the checkpoint folder and read again: smaller than a checkpoint, and columns can be left out."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    _freed(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the folder that spark.checkpoint.dir names."""
-    checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
     out = df.checkpoint()
-    # without the old plan the cleaner removes the shuffle files that only it needed
     del df
-    gc.collect()
-    sc._jvm.System.gc()
+    _freed(spark)
     return out
 
 
