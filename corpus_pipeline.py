@@ -5,15 +5,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.llm import jaccard, language, lines
-from gaugeline.llm.common import cut, table
+from gaugeline.llm.common import stored, table
 from gaugeline.llm.decontamination import drop_leaks
-from gaugeline.llm.pieces import default_model, digests
+from gaugeline.llm.pieces import digests
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document the number and digests of its ids and of what they decode to."""
-    return digests(docs, default_model())
+    return digests(docs)
 
 
 STAGES = [
@@ -56,12 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; between them Parquet under the session's checkpoint folder."""
-    cut(spark.range(0))  # sets a checkpoint folder where there is none
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

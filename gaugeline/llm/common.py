@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -29,9 +30,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def _freed(spark: SparkSession) -> None:
-    """Lets the cleaner remove the shuffle files that only plans no longer held need."""
+    """Lets the cleaner remove the shuffle files that only plans no longer held need: seen from the second collection on."""
     gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -79,5 +82,24 @@ def sample_by_id(df: DataFrame, id_col: str, bound: int, salt: int = 17) -> Data
     return df.filter(F.xxhash64(F.col(id_col), F.lit(salt)).bitwiseAND((1 << 63) - 1) < F.lit(share(bound, n)))
 
 
+def sample_of_each(df: DataFrame, group: str, id_col: str, bound: int, salt: int = 17) -> DataFrame:
+    """As sample_by_id, of each value of `group`. One number for each value goes through the driver."""
+    sizes = [(r[0], share(bound, r[1])) for r in df.groupBy(group).count().collect() if r[1] > bound]
+    if not sizes:
+        return df
+    limits = df.sparkSession.createDataFrame(sizes, df.select(F.col(group).alias("_group")).schema.add("_limit", "long"))
+    joined = df.join(limits, F.col(group) == F.col("_group"), "left")
+    low = F.xxhash64(F.col(id_col), F.lit(salt)).bitwiseAND((1 << 63) - 1) < F.col("_limit")
+    return joined.filter(F.col("_limit").isNull() | low).drop("_group", "_limit")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while f"__{name}" in taken:
+        name += "_"
+    return f"__{name}"
+
+
 def as_strings(column: pa.Array) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]

@@ -11,7 +11,8 @@ larger than a block in pairs of blocks, so no candidate is capped or dropped, an
 block returns a count of links for each class and a spanning forest.
 
 Texts that are null or have no word link with nothing. Rows with a null id are left out. Rows that repeat an id are one
-document; if their texts differ, the one whose shingle set has the smallest digest counts.
+document; if their texts differ, the one whose shingle set has the smallest digest counts, and those without a word don't.
+Whole texts are read, however long; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -102,7 +103,7 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row for each document: id, class_id (smallest id reachable by links), n_links (other documents linked directly)."""
-    own = sketches(docs, id_col, text_col, *bands(threshold, recall)).groupBy("id").agg(F.min(F.struct("set_key", "nodes")).alias("s"))
+    own = sketches(docs, id_col, text_col, *bands(threshold, recall)).groupBy("id").agg(F.min(F.when(F.col("set_key").isNotNull(), F.struct("set_key", "nodes"))).alias("s"))
     own = cut(own.select("id", "s.set_key", "s.nodes"))
     classes = own.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     member = cut(own.filter(F.col("set_key").isNotNull()).select("id", "set_key").join(classes, "set_key").select("id", "rep", "copies", "set_key"))

@@ -4,12 +4,15 @@ A word known from training scores its log frequency in each language. An unseen
 n-grams, longest first: the first length of which some n-gram is known gives the mean log frequency of the known ones,
 with a penalty for each length given up. A text's score is the softmax of the languages' sums over all its words.
 
-Training: word counts come from a sample of labelled rows, bounded by `sample` (chosen by a hash of the id), the
-`vocabulary` most frequent (language, word) and `ngrams` most frequent (language, n-gram) pairs are kept; ties go by
-language and string. Words are runs of letters, lower-cased.
+Training: word counts come from a sample of labelled rows, bounded by `sample` for each language (chosen by a hash of the
+id), so that a language is learned however rare it is beside others; the `vocabulary` most frequent (language, word) and
+`ngrams` most frequent (language, n-gram) pairs are kept; ties go by language and string. Words are runs of letters (by
+Unicode category: superscripts, fractions and Roman numerals are none), lower-cased; those of more than LONGEST_WORD
+letters are looked up whole, but give no n-grams to learn from.
 
 Null or letterless texts, and all texts where nothing was learned, give `und` with score 0. Ties between languages go to
 the first by name. One row out for each row in; repeated rows are repeated; a null id is kept. Whole texts are read.
+Columns of the input that have the result's names are replaced by it; `identified` returns the input's columns as they are.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_strings, crc_mod, sample_by_id, slices, table
+from .common import as_strings, crc_mod, sample_of_each, slices, table, unused
 
-WORD = re.compile(r"[^\W\d_]+")
-SAMPLE = 6000
+_RUN = re.compile(r"[^\W\d_]+")
+SAMPLE = 1500  # of each language
+LONGEST_WORD = 64
 VOCABULARY = 120_000
 NGRAMS = 60_000
 LONGEST = 4
@@ -34,6 +38,14 @@ UNDETERMINED = "und"
 _CACHE = 250_000
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-cased runs of letters. The pattern's runs may hold numbers that are no digits; these part words as well."""
+    words = _RUN.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for w in words for part in (w,) * w.isalpha() or "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 class Model:
     """Log frequencies by language. Scores of words are kept as rows of a matrix, bounded in number."""
 
@@ -80,7 +92,7 @@ class Model:
         return self.floor
 
     def score(self, text: str) -> tuple[str, float]:
-        words = WORD.findall(text.lower())
+        words = words_of(text)
         if not words or not self.langs:
             return UNDETERMINED, 0.0
         place = self.place
@@ -106,13 +118,13 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         for batch in slices(batches, 1024):
             counts = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.update((lang, w) for w in WORD.findall(text.lower()))
+                counts.update((lang, w) for w in words_of(text))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
 
-    words = sample_by_id(rows, "id", sample).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = sample_of_each(rows, "lang", "id", sample).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = words.persist()
     marked = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
-    grams = words.filter(F.length("word") <= 64).select("lang", "n", marked.alias("w"), F.explode(F.sequence(F.lit(1), F.lit(LONGEST))).alias("k")).filter(F.length("w") >= F.col("k"))
+    grams = words.filter(F.length("word") <= LONGEST_WORD).select("lang", "n", marked.alias("w"), F.explode(F.sequence(F.lit(1), F.lit(LONGEST))).alias("k")).filter(F.length("w") >= F.col("k"))
     grams = grams.select("lang", "n", F.explode(F.expr("transform(sequence(1, length(w) - k + 1), i -> substring(w, i, k))")).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = lambda df, s, k: [tuple(r) for r in df.select("lang", s, "n").orderBy(F.desc("n"), "lang", s).limit(k).collect()]
     model = Model(top(words, "word", vocabulary), top(grams, "gram", ngrams))
@@ -144,4 +156,5 @@ def op1_language(spark, sf_dir: str) -> DataFrame:
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """The documents in a language that the model knows; the rest are rejected."""
-    return predict(docs, model, lang_col="_pred", score_col="_score").filter(F.col("_pred") != UNDETERMINED).drop("_pred", "_score")
+    names = unused(docs, "pred"), unused(docs, "score")
+    return predict(docs, model, lang_col=names[0], score_col=names[1]).filter(F.col(names[0]) != UNDETERMINED).drop(*names)

@@ -18,8 +18,8 @@ length filter, the positional filter and a count of differing bits of two 128-bi
 words themselves. As one earlier match is enough, each class is first held against the earliest classes of each of its LED
 rarest words, and of those that pass the filters verified with the likeliest; only classes that this leaves unsettled are
 joined with all earlier ones, so a large group of near copies does not give all its pairs. The join is by word, which
-adaptive execution splits where a word is hot; the earliest classes are found by partial aggregates. Joins with the texts
-are sort-merge joins at every size.
+adaptive execution splits where a word is hot; the earliest classes are found by partial aggregates. What is broadcast are
+the TABLE and, for verification, MARKS bits that tell which lines may be wanted, so that few others are shuffled.
 
 Words are hashed and ordered in Arrow batches (the native form took twice the time that the check allows, see README);
 classes, posts, joins and results are DataFrame operations.
@@ -43,7 +43,7 @@ from .words import Words, mix
 THRESHOLD = 0.8
 LEAST = 3
 LED, LEADERS = 2, 8
-TABLE = 1 << 20
+TABLE, MARKS = 1 << 20, 1 << 23
 _SLICE = 128
 _LINE = "id long, no int, n int, k1 long, k2 long, b1 long, b2 long, prefix array<int>"
 
@@ -161,24 +161,45 @@ def _side(df: DataFrame, side: str, *columns: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{side}_{c}") for c in columns])
 
 
+def _mark(ids: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Which of MARKS bits stands for each line."""
+    return mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + numbers.astype(np.uint64)) & np.uint64(MARKS - 1)
+
+
+def _marked(wanted: DataFrame) -> np.ndarray:
+    """MARKS bits of which those of the wanted lines are set, as bytes. It only spares work: a line that it lets through is joined."""
+
+    def run(batches):
+        for batch in batches:
+            at = np.unique(_mark(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            words, first = np.unique(at >> np.uint64(5), return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(31)), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int32)), pa.array(bits.astype(np.int64))], ["w", "bits"])
+
+    got = wanted.mapInArrow(run, "w int, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()  # MARKS / 32 rows at most
+    out = np.zeros(MARKS // 32, np.uint32)
+    out[got.column("w").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
 def _verified(sound: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     """The places (id, no) of the x lines of pairs whose sets of words are similar enough."""
-    places = pairs.select(F.col("x_id").alias("id"), F.col("x_no").alias("no")).unionByName(pairs.select(F.col("y_id").alias("id"), F.col("y_no").alias("no")))
-    wanted = places.groupBy("id").agg(F.collect_set("no").alias("nos"))  # of one document: no longer than its text
+    wanted = pairs.select(F.col("x_id").alias("id"), F.col("x_no").alias("no")).unionByName(pairs.select(F.col("y_id").alias("id"), F.col("y_no").alias("no")))
+    sent = sound.sparkSession.sparkContext.broadcast(_marked(wanted))
 
     def lines(batches):
+        marks = sent.value
         for batch in slices(batches, _SLICE):
-            ids, nos, own = [], [], []
-            for id_, text, some in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                parts = text.split("\n")
-                some = [k for k in some if k < len(parts)]
-                ids += [id_] * len(some)
-                nos += some
-                own += [parts[k] for k in some]
-            lower = pc.utf8_lower(pa.array(own, pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), lower], ["id", "no", "line"])
-
-    own = sound.join(wanted.hint("merge"), "id").select("id", "text", "nos").mapInArrow(lines, "id long, no int, line string")
+            parts = pc.split_pattern(batch.column(1).cast(pa.large_string()), "\n")
+            text = pc.list_parent_indices(parts).to_numpy()
+            no = np.arange(len(text)) - np.searchsorted(text, text)
+            ids = batch.column(0).to_numpy()[text]
+            at = _mark(ids, no)
+            own = np.flatnonzero((marks[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
+            lower = pc.utf8_lower(pc.list_flatten(parts).take(pa.array(own))).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(no[own].astype(np.int32)), lower], ["id", "no", "line"])
+
+    own = sound.mapInArrow(lines, "id long, no int, line string")
 
     def similar(batches):
         for batch in slices(batches, 1024):

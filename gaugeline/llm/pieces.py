@@ -65,52 +65,73 @@ class CharMap:
 
 
 class Normaliser:
-    """The settings of a model's normaliser. normalise() gives the text with marks, and a source byte for each byte and for the end."""
+    """The settings of a model's normaliser. normalise() gives the text with marks, and a source byte for each byte and for the end.
 
-    def __init__(self, spec, suffix: bool = False):
+    What the character map replaces has the source byte at which the replaced string starts; bytes that stand for themselves
+    have their own. Symbols that the model's user defined are not normalised.
+    """
+
+    def __init__(self, spec, suffix: bool = False, symbols: tuple[str, ...] = ()):
         self.map = CharMap(spec.precompiled_charsmap)
         self.prefix, self.squeeze, self.escape, self.suffix = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces, suffix
-        self.plain = not spec.precompiled_charsmap and not self.squeeze and self.escape and self.prefix and not suffix
-
-    def _char(self, data: bytes, at: int) -> tuple[int, bytes]:
+        self.symbols: dict[int, list[bytes]] = {}
+        for symbol in sorted((s.encode() for s in symbols if s), key=len, reverse=True):
+            self.symbols.setdefault(symbol[0], []).append(symbol)
+        self.plain = not spec.precompiled_charsmap and not self.symbols and not self.squeeze and self.escape and self.prefix and not suffix
+
+    def _char(self, data: bytes, at: int) -> tuple[int, bytes, bool]:
+        """How many bytes are read, what they become, and whether they stand for themselves."""
+        for symbol in self.symbols.get(data[at], ()):
+            if data.startswith(symbol, at):
+                return len(symbol), symbol, True
         if hit := self.map.longest(data, at):
-            return hit
+            return *hit, False
         first = data[at]
         n = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
-        return n, data[at : at + n]
+        return n, data[at : at + n], True
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         data = text.encode()
+        return self._of_spaces(data) if self.plain else self._of_all(data)
+
+    def _of_spaces(self, data: bytes) -> tuple[bytes, np.ndarray]:
+        """Where the map is empty: marks for spaces and before the text, all else as it is."""
+        if not data:
+            return b"", np.array([0])
+        mark, raw = MARK.encode(), np.frombuffer(data, np.uint8)
+        own = np.repeat(np.arange(len(raw)), np.where(raw == 32, len(mark), 1))
+        return mark + data.replace(b" ", mark), np.concatenate([[0] * len(mark), own, [len(raw)]])
+
+    def _of_all(self, data: bytes) -> tuple[bytes, np.ndarray]:
         out, source = bytearray(), []
         at, space = 0, MARK.encode() if self.escape else b" "
         if self.squeeze:
             while at < len(data):
-                n, made = self._char(data, at)
+                n, made, _ = self._char(data, at)
                 if made.strip(b" "):
                     break
                 at += n
         if at == len(data):
             return b"", np.array([at])
 
-        def put(piece: bytes, of: int) -> None:
+        def put(piece: bytes, of: int, own: bool = False) -> None:
             out.extend(piece)
-            source.extend([of] * len(piece))
+            source.extend(range(of, of + len(piece)) if own else [of] * len(piece))
 
         if self.prefix and not self.suffix:
             put(space, at)
         blank = self.squeeze
         while at < len(data):
-            n, made = self._char(data, at)
+            n, made, own = self._char(data, at)
             if self.squeeze and blank:
                 made = made.lstrip(b" ")
             if made:
-                put(made.replace(b" ", space), at)
+                put(made.replace(b" ", space), at, own and b" " not in made)
                 blank = self.squeeze and made.endswith(b" ")
             at += n
         if self.squeeze:
             while out.endswith(space):
                 del out[-len(space) :], source[-len(space) :]
-                at = min(at, source[-1] + 1 if source else 0) if False else at
         if self.prefix and self.suffix:
             put(space, at)
         return bytes(out), np.array([*source, at], np.int64)
@@ -126,11 +147,12 @@ class Pieces:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         with open(path, "rb") as f:
             proto = sentencepiece_model_pb2.ModelProto.FromString(f.read())
-        self.normaliser = Normaliser(proto.normalizer_spec, proto.trainer_spec.treat_whitespace_as_suffix)
         kinds = type(proto.pieces[0])
+        symbols = tuple(p.piece for p in proto.pieces if p.type == kinds.USER_DEFINED)
+        self.normaliser = Normaliser(proto.normalizer_spec, proto.trainer_spec.treat_whitespace_as_suffix, symbols)
         self.lengths = np.array([1 if p.type == kinds.BYTE else 0 if p.type == kinds.CONTROL else len(p.piece.encode()) for p in proto.pieces], np.int64)
         self.begin, self.end, self.unk = self.library.bos_id(), self.library.eos_id(), self.library.unk_id()
-        self.chunked = self.normaliser.plain and proto.trainer_spec.byte_fallback and not any(MARK in p.piece.lstrip(MARK) or p.type == kinds.USER_DEFINED for p in proto.pieces)
+        self.chunked = self.normaliser.plain and proto.trainer_spec.byte_fallback and not any(MARK in p.piece.lstrip(MARK) for p in proto.pieces)
         self.mark = self.library.piece_to_id(MARK)
         self.cache: dict[str, bytes] = {}
 
@@ -150,19 +172,7 @@ class Pieces:
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each id in the original bytes; the begin id lies at the start, the end id at the end."""
-        if self.normaliser.plain:
-            size = len(text.encode())
-            if MARK in text or " " in text:
-                # in normalised bytes a space has three: project through the source of each byte
-                raw = np.frombuffer(text.replace(MARK, " ").encode(), np.uint8)
-                source = np.concatenate([[0, 0, 0], np.repeat(np.arange(len(raw)), np.where(raw == 32, 3, 1)), [len(raw)]]) if size else np.zeros(1, np.int64)
-                if MARK in text:
-                    orig = np.frombuffer(text.encode(), np.uint8)
-                    source = self.normaliser.normalise(text)[1] if len(orig) else source
-            else:
-                source = np.concatenate([[0, 0, 0], np.arange(size + 1)]) if size else np.zeros(1, np.int64)
-        else:
-            source = self.normaliser.normalise(text)[1]
+        source = self.normaliser.normalise(text)[1]
         lengths = self.lengths[ids]
         if (ids == self.unk).any():  # its length is that of what no piece covers
             pieces = self.library.encode(text, out_type="immutable_proto").pieces
@@ -177,7 +187,9 @@ class Pieces:
 _LOADED: dict[str, Pieces] = {}
 
 
-def _model(path: str) -> Pieces:
+def _model(path: str | None) -> Pieces:
+    """The model of a worker; without a path the default one, found on the worker's own machine."""
+    path = path or default_model()
     if path not in _LOADED:
         _LOADED[path] = Pieces(path)
     return _LOADED[path]
@@ -189,7 +201,7 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of each text, with the start and end of each piece in the original bytes."""
 
     def run(batches):
@@ -203,7 +215,7 @@ def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>, starts array<long>, ends array<long>")
 
 
-def decode(encoded: DataFrame, model: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, model: str | None = None, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """The library's text for each list of ids; a null list is an empty one."""
 
     def run(batches):
@@ -214,7 +226,7 @@ def decode(encoded: DataFrame, model: str, *, id_col: str = "doc_id", ids_col: s
     return encoded.select(id_col, ids_col).mapInArrow(run, f"{id_col} {encoded.schema[id_col].dataType.simpleString()}, decoded string")
 
 
-def digests(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, model: str | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document the number and digest of its ids, the digest of what they decode to, and that of the pieces' spans."""
 
     def run(batches):
@@ -233,4 +245,4 @@ def digests(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: st
 
 
 def op9_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"), default_model())
+    return digests(table(spark, sf_dir, "documents"))

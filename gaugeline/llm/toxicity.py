@@ -294,8 +294,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     chosen = [sample_by_id(marked.filter(F.col("y") == y), "id", sample) for y in (0, 1)]
     ids = chosen[0].unionByName(chosen[1])
     # at most 2 * sample ids: bounded by the parameter
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull()).join(F.broadcast(ids), "id").collect()
-    rows.sort(key=lambda r: (r.id, r.text))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
+    # rows that repeat an id give one text, so that no more texts than ids come to the driver
+    rows = own.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y")).collect()
+    rows.sort(key=lambda r: r.id)
     return fit([r.text for r in rows], [r.y for r in rows])
 
 
