@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 
 def positive_int(raw: str | None, fallback: int) -> int:
-    """A positive whole number out of a setting's text, or else the fallback."""
-    try:
-        n = float(raw) if raw is not None and raw.strip() else 0
-    except ValueError:
-        return fallback
-    return int(n) if n > 0 and n == int(n) else fallback
+    """The whole number that a setting's text begins with, if it is above 0, or else the fallback."""
+    found = re.match(r"\s*\+?([0-9]+)", raw or "")
+    return int(found[1]) if found and int(found[1]) > 0 else fallback
 
 
 @dataclass(frozen=True)

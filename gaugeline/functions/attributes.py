@@ -1,4 +1,6 @@
-"""Attribute bags: arrays of (key, value) in the order in which they were sent."""
+"""Attribute bags: arrays of (key, value) in the order in which they were sent.
+
+Keys are looked up in a map made once for each row (`lookup`); the functions that take `attrs` take that map."""
 
 from __future__ import annotations
 
@@ -23,14 +25,20 @@ def _number_text(c: Column) -> Column:
     return F.when((c == F.floor(c)) & (F.abs(c) < 1e15), c.cast("decimal(20,0)").cast("string")).otherwise(c.cast("string"))
 
 
-def get(bag: Column, key: str) -> Column:
-    """The value of a key, null if absent; of repeated keys the last."""
-    return F.try_element_at(F.filter(bag, lambda x: x["key"] == key), F.lit(-1))["value"]
+def lookup(bag: Column) -> Column:
+    """A map of the bag; of repeated keys the last counts."""
+    last = F.filter(bag, lambda x, i: ~F.exists(F.slice(bag, i + 2, F.size(bag)), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(last)
+
+
+def get(attrs: Column, key: str) -> Column:
+    """The value of a key, null if absent."""
+    return F.try_element_at(attrs, F.lit(key))
 
 
-def first_string(bag: Column, *keys: str) -> Column:
+def first_string(attrs: Column, *keys: str) -> Column:
     """The first value that is there and not empty."""
-    return F.coalesce(*[F.nullif(get(bag, k), F.lit("")) for k in keys])
+    return F.coalesce(*[F.nullif(get(attrs, k), F.lit("")) for k in keys])
 
 
 def to_number(raw: Column) -> Column:
@@ -42,9 +50,9 @@ def to_number(raw: Column) -> Column:
     return F.when(F.abs(n) < float("inf"), n)
 
 
-def first_number(bag: Column, *keys: str) -> Column:
+def first_number(attrs: Column, *keys: str) -> Column:
     """The first value that reads as a finite number."""
-    return F.coalesce(*[to_number(get(bag, k)) for k in keys])
+    return F.coalesce(*[to_number(get(attrs, k)) for k in keys])
 
 
 def subset(bag: Column, prefixes: tuple[str, ...], longest: int = 500, total: int = 4000) -> Column:

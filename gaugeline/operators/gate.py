@@ -10,11 +10,17 @@ from ..functions.text import trim_space
 
 
 def parse_keys(df: DataFrame, value: str = "value") -> DataFrame:
-    """Key rows out of JSON arrays: key, org_id, repository_id, scope, allowed_origins; rows without the first three are left out."""
-    kind = "array<struct<key:string,orgId:string,repositoryId:string,scope:string,allowedOrigins:array<string>>>"
-    k = df.select(F.explode(F.from_json(F.col(value), kind)).alias("k"))
-    some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    return k.filter(some("k.key") & some("k.orgId") & some("k.repositoryId")).select("k.key", F.col("k.orgId").alias("org_id"), F.col("k.repositoryId").alias("repository_id"), F.coalesce("k.scope", F.lit("server")).alias("scope"), F.coalesce("k.allowedOrigins", F.array().cast("array<string>")).alias("allowed_origins"))
+    """Key rows out of JSON arrays: key, org_id, repository_id, scope, allowed_origins.
+
+    Entries of which the first three are not all texts are left out (an empty text is one); a text that is no array has none.
+    """
+    v = F.try_parse_json(F.col(value))
+    k = df.select(F.explode(F.try_variant_get(v, "$", "array<variant>")).alias("k"))
+    kind = lambda name: F.coalesce(F.schema_of_variant(F.try_variant_get("k", f"$.{name}", "variant")), F.lit(""))
+    text = lambda name: F.when(kind(name) == "STRING", F.try_variant_get("k", f"$.{name}", "string"))
+    named = (kind("key") == "STRING") & (kind("orgId") == "STRING") & (kind("repositoryId") == "STRING")
+    origins = F.coalesce(F.try_variant_get("k", "$.allowedOrigins", "array<string>"), F.array().cast("array<string>"))
+    return k.filter(named).select(text("key").alias("key"), text("orgId").alias("org_id"), text("repositoryId").alias("repository_id"), F.coalesce(text("scope"), F.lit("server")).alias("scope"), origins.alias("allowed_origins"))
 
 
 def extract_key(authorization: Column, header: Column, query: Column) -> Column:
@@ -29,6 +35,18 @@ def limit_per_minute(df: DataFrame, key: list[str], at: str, limit: Column | int
     return df.withColumn("allowed", F.row_number().over(w) <= limit)
 
 
+def client_address(forwarded: Column, peer: Column) -> Column:
+    """The address that a request came from: the first that proxies name, else the connection's own."""
+    named = trim_space(F.substring_index(F.coalesce(forwarded, F.lit("")), ",", 1))
+    return F.coalesce(F.nullif(named, F.lit("")), peer, F.lit("unknown"))
+
+
+def limit_per_address(requests: DataFrame, limit: int = 120) -> DataFrame:
+    """A relay's limit: adds `allowed` to requests with forwarded, peer, at and request_id."""
+    own = requests.withColumn("_address", client_address(F.col("forwarded"), F.col("peer")))
+    return limit_per_minute(own, ["_address"], "at", limit, "request_id").drop("_address")
+
+
 def session_cap(events: DataFrame, session: str, at: str, tie: str, most: int = 200) -> DataFrame:
     """The first events of each session."""
     w = W.partitionBy(session).orderBy(at, tie)
@@ -51,14 +69,16 @@ def gate(requests: DataFrame, keys: DataFrame, *, configured: bool = True, serve
     )
     for bad, reason in steps:
         refused = F.coalesce(refused, F.when(bad, reason))
-    df = df.withColumn("reason", refused).withColumn("_passed", F.col("reason").isNull())
-    df = limit_per_minute(df, ["key", "_passed"], "at", F.when(client, client_limit).otherwise(server_limit), "request_id")
-    df = df.withColumn("reason", F.coalesce("reason", F.when(~F.col("allowed"), "rate limit exceeded")))
+    df = df.withColumn("reason", refused)
+    # only what passed is ranked: refused requests of one key, or of none, are not brought together
+    passed = limit_per_minute(df.filter(F.col("reason").isNull()), ["key"], "at", F.when(client, client_limit).otherwise(server_limit), "request_id")
+    passed = passed.withColumn("reason", F.when(~F.col("allowed"), "rate limit exceeded")).drop("allowed")
+    df = passed.unionByName(df.filter(F.col("reason").isNotNull()))
     codes = {"storage not configured": 503, "missing ingest key": 401, "invalid ingest key": 401, "client keys cannot send OTLP": 403, "origin not allowed for this key": 403, "rate limit exceeded": 429}
     status = F.lit(202)
     for reason, code in codes.items():
         status = F.when(F.col("reason") == reason, code).otherwise(status)
-    return df.withColumn("status", status).drop("_passed", "allowed")
+    return df.withColumn("status", status)
 
 
 def delivery_outcome(status: Column, attempts: Column, most: Column | int = 12) -> Column:

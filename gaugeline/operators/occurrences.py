@@ -9,6 +9,9 @@ from ..functions import text as T
 from ..schemas import METRIC_KEY, SEVERITIES
 
 
+OCCURRENCE_TYPES = ("exception", "unhandled_rejection", "message")
+
+
 def as_severity(value: Column, fallback: Column) -> Column:
     return F.when(value.isin(*SEVERITIES), value).otherwise(fallback)
 
@@ -34,10 +37,12 @@ def identify(df: DataFrame) -> DataFrame:
 
 
 def browser_events(payloads: DataFrame) -> DataFrame:
-    """One row for each event of valid payloads (column payload), typed and named as the tables name them."""
+    """One row for each event of valid payloads (column payload), typed and named as the tables name them. batch_index counts
+    the occurrences before it in its payload: sessions and tracked events have no place among them."""
     keep = [c for c in payloads.columns if c not in ("payload", "valid", "value")]
     p = payloads.filter("payload is not null")
-    e = p.select(*keep, F.col("payload.service").alias("service"), F.col("payload.environment").alias("environment"), F.col("payload.release").alias("release"), F.col("payload.sessionId").alias("session_id"), F.posexplode("payload.events").alias("place", "e"))
+    e = p.select(*keep, F.col("payload.service").alias("service"), F.col("payload.environment").alias("environment"), F.col("payload.release").alias("release"), F.col("payload.sessionId").alias("session_id"), F.posexplode("payload.events").alias("place", "e"), "payload.events")
+    before = F.size(F.filter(F.slice("events", F.lit(1), F.col("place")), lambda x: x["type"].isin(*OCCURRENCE_TYPES)))
     filename = T.strip_query(F.col("e.filename"))
     attributes = F.struct(filename.alias("filename"), F.col("e.line").alias("line"), F.col("e.column").alias("column"))
     # the context is JSON already: it goes in as it is
@@ -45,13 +50,13 @@ def browser_events(payloads: DataFrame) -> DataFrame:
     context = F.col("e.context")
     opened = F.substring(plain, F.lit(1), F.length(plain) - 1)
     full = F.when(context.isNull(), plain).otherwise(F.concat(opened, F.when(plain == "{}", "").otherwise(","), F.lit('"context":'), context, F.lit("}")))
-    return e.select(*keep, "service", "environment", "release", "session_id", "place", F.col("e.type").alias("type"), F.to_timestamp("e.timestamp").alias("occurred_at"), F.col("e.severity").alias("severity"), F.coalesce("e.message", F.lit("")).alias("message"), F.col("e.name").alias("name"), F.col("e.stack").alias("stack"), F.col("e.errorType").alias("error_type"), F.col("e.route").alias("route"), full.alias("attributes"))
+    return e.select(*keep, "service", "environment", "release", "session_id", "place", before.alias("batch_index"), F.col("e.type").alias("type"), F.to_timestamp("e.timestamp").alias("occurred_at"), F.col("e.severity").alias("severity"), F.coalesce("e.message", F.lit("")).alias("message"), F.col("e.name").alias("name"), F.col("e.stack").alias("stack"), F.col("e.errorType").alias("error_type"), F.col("e.route").alias("route"), full.alias("attributes"))
 
 
 def browser_occurrences(events: DataFrame) -> DataFrame:
     """Exceptions, rejections and messages with their defaults; sessions and tracked events are no occurrences."""
     kind = F.col("type")
-    out = events.filter(kind.isin("exception", "unhandled_rejection", "message"))
+    out = events.filter(kind.isin(*OCCURRENCE_TYPES))
     return out.withColumns({
         "source": F.lit("browser"), "severity": as_severity(F.col("severity"), default_severity(kind)), "error_type": F.coalesce("error_type", default_error_type(kind)),
         "message": F.when(F.col("message") == "", "Unknown error").otherwise(F.col("message")), "route": T.strip_query(F.col("route")),

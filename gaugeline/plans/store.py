@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import LAYOUT, TABLES
 
-PARTITION = "event_date"
+PARTITION, WRITE = "event_date", "write_id"
 _CUT = {"message": 4000, "stack": 32000, "name": 500}
 _NOT_NEGATIVE = {"input_tokens", "output_tokens", "request_count", "error_count", "session_count"}
 #: Steps after the first layout: id, table, columns added. Appended to, never changed.
@@ -52,18 +53,22 @@ def conform(df: DataFrame, table: str, tenant: dict[str, str] | None = None) ->
     return df.select(*out)
 
 
-def append(df: DataFrame, path: str, table: str, tenant: dict[str, str] | None = None) -> None:
-    """Adds rows, in day or month partitions, sorted within files so that readers skip row groups."""
+def append(df: DataFrame, path: str, table: str, tenant: dict[str, str] | None = None, write_id: str | None = None) -> None:
+    """Adds rows, in day or month partitions, sorted within files so that readers skip row groups.
+
+    A write's rows lie in folders of their own. A write that names itself replaces what an earlier try of it left there.
+    """
     keys, at, form = LAYOUT[table]
     rows = conform(df, table, tenant).withColumn(PARTITION, F.date_format(at, form))
     # one shuffle by partition and tenant; a large day is split by adaptive execution
     rows = rows.hint("rebalance", PARTITION, "org_id").sortWithinPartitions(PARTITION, *keys)
-    rows.write.mode("append").option("compression", "zstd").partitionBy(PARTITION).parquet(f"{path}/{table}")
+    rows = rows.withColumn(WRITE, F.lit(write_id or uuid.uuid4().hex))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(PARTITION, WRITE).parquet(f"{path}/{table}")
 
 
 def read(spark: SparkSession, path: str, table: str) -> DataFrame:
     """All rows; files written before a column was added give its default."""
-    stored = T.StructType([*schema(table).fields, T.StructField(PARTITION, T.StringType())])
+    stored = T.StructType([*schema(table).fields, T.StructField(PARTITION, T.StringType()), T.StructField(WRITE, T.StringType())])
     df = spark.read.schema(stored).parquet(f"{path}/{table}")
     return df.select(*[F.coalesce(c, _default(d).cast(k)).alias(c) if d is not None else F.col(c) for c, k, d in TABLES[table]], PARTITION)
 
@@ -102,8 +107,8 @@ def drop_expired(spark: SparkSession, path: str, table: str, days: int, as_of: s
 
 def latest(df: DataFrame, key: str, version: str) -> DataFrame:
     """Of each key the row with the highest version: last write wins."""
-    w = W.partitionBy(key).orderBy(F.desc(version))
-    return df.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+    whole = F.struct(*[F.col(c) for c in df.columns])
+    return df.groupBy(key).agg(F.max_by(whole, version).alias("_row")).select("_row.*")
 
 
 def migrate(spark: SparkSession, path: str, at: str = "1970-01-01 00:00:00") -> list[str]:

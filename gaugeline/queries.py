@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -263,8 +261,9 @@ def streaming_rollup(spark, d):
     """The stored partial sums of a stream over the same events, read back."""
     from .streaming.jobs import append_usage
 
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = f"{conf}/rollup-{spark.range(1).select(F.expr('uuid()')).first()[0]}" if conf else tempfile.mkdtemp(prefix="rollup-")
+    from .request_queries import folder as new_folder
+
+    folder = new_folder(spark, "rollup")
     V.browser_events(spark, d).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
     append_usage(stream, f"{folder}/store", f"{folder}/progress").awaitTermination()

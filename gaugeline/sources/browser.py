@@ -23,6 +23,11 @@ def read_texts(spark: SparkSession, path: str, largest: int | None = None) -> Da
     return df.filter(F.octet_length("value") <= largest) if largest else df
 
 
+def _once(c: Column, f) -> Column:
+    """f of a column that is worked out once, however often f names it: the parameter of a lambda over one element."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def _kind(v: Column) -> Column:
     """The type of a variant: STRING, BIGINT, ..., OBJECT<...>; null if absent."""
     return F.schema_of_variant(v)
@@ -71,19 +76,19 @@ def valid(payload: Column) -> Column:
     for key, (least, most, needed) in _PAYLOAD_STRINGS.items():
         ok = ok & _string_ok(_at(payload, key), least, most, needed)
     events = F.try_variant_get(payload, "$.events", "array<variant>")
-    return F.coalesce(ok & _is(_at(payload, "events"), "ARRAY") & (F.size(events) <= MOST_EVENTS) & F.forall(events, event_valid), F.lit(False))
+    each = _once(events, lambda own: (F.size(own) <= MOST_EVENTS) & F.forall(own, event_valid))
+    return F.coalesce(ok & _is(_at(payload, "events"), "ARRAY") & each, F.lit(False))
 
 
 def parse(df: DataFrame, value: str = "value") -> DataFrame:
     """Adds `valid` and `payload` (typed; null if invalid). Unknown keys are left out."""
-    out = df.withColumn("valid", valid(F.try_parse_json(F.col(value))))
+    out = df.withColumn("valid", _once(F.try_parse_json(F.col(value)), valid))
     return out.withColumn("payload", F.when(F.col("valid"), F.from_json(F.col(value), BROWSER)))
 
 
 def sanitize(df: DataFrame, value: str = "value", largest: int = 64 << 10) -> DataFrame:
     """What a relay passes on: adds `clean`, JSON with listed fields only, cut to length, wrongly typed optional ones left
     out; null if the payload's structure is wrong or its text too large."""
-    p = F.try_parse_json(F.col(value))
     text = lambda v: F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string"))
     number = lambda v: F.when(_is(v, "BIGINT") | _is(v, "DECIMAL") | _is(v, "DOUBLE"), F.try_variant_get(v, "$", "double"))
     cut = lambda v, n: F.substring(text(v), 1, n)
@@ -102,15 +107,26 @@ def sanitize(df: DataFrame, value: str = "value", largest: int = 64 << 10) -> Da
             F.when(_is(context, "OBJECT") | _is(context, "ARRAY"), field("context", F.to_json(context))),
         )
 
-    events = F.try_variant_get(p, "$.events", "array<variant>")
     good = lambda e: _is(e, "OBJECT") & _one_of(_at(e, "type"), EVENT_TYPES) & _is(_at(e, "timestamp"), "STRING")
-    filled = lambda k: F.coalesce(text(_at(p, k)) != "", F.lit(False))
-    ok = (F.octet_length(F.col(value)) <= largest) & F.coalesce(number(_at(p, "version")) == 1, F.lit(False)) & filled("service") & filled("environment") & _is(_at(p, "events"), "ARRAY") & (F.size(events) <= MOST_EVENTS) & F.forall(events, good)
-    clean = obj(
-        F.lit('"version":1'), _optional(field, quoted, cut(_at(p, "sessionId"), 100), "sessionId"), field("service", quoted(cut(_at(p, "service"), 200))), field("environment", quoted(cut(_at(p, "environment"), 100))),
-        _optional(field, quoted, cut(_at(p, "release"), 200), "release"), F.concat(F.lit('"events":['), F.array_join(F.transform(events, event), ","), F.lit("]")),
-    )
-    return df.withColumn("clean", F.when(ok, clean))
+
+    def whole_payload(x: Column) -> Column:
+        p, events = x["p"], x["events"]
+        filled = lambda k: F.coalesce(text(_at(p, k)) != "", F.lit(False))
+        ok = F.coalesce(number(_at(p, "version")) == 1, F.lit(False)) & filled("service") & filled("environment")
+        ok = ok & _is(_at(p, "events"), "ARRAY") & (F.size(events) <= MOST_EVENTS) & F.forall(events, good)
+        clean = obj(
+            F.lit('"version":1'),
+            _optional(field, quoted, cut(_at(p, "sessionId"), 100), "sessionId"),
+            field("service", quoted(cut(_at(p, "service"), 200))),
+            field("environment", quoted(cut(_at(p, "environment"), 100))),
+            _optional(field, quoted, cut(_at(p, "release"), 200), "release"),
+            F.concat(F.lit('"events":['), F.array_join(F.transform(events, event), ","), F.lit("]")),
+        )
+        return F.when(ok, clean)
+
+    parsed = F.when(F.octet_length(F.col(value)) <= largest, F.try_parse_json(F.col(value)))
+    both = _once(parsed, lambda p: F.struct(p.alias("p"), F.try_variant_get(p, "$.events", "array<variant>").alias("events")))
+    return df.withColumn("clean", _once(both, whole_payload))
 
 
 def _optional(field, quoted, c: Column, name: str) -> Column:

@@ -39,23 +39,28 @@ def envelopes(occurrences: DataFrame, metrics: DataFrame, calls: DataFrame, deli
     return got.withColumn("body", body).select("batch_id", "org_id", "repository_id", "body", F.octet_length("body").alias("bytes"), "signals_from", "signals_to")
 
 
-def evictions(queue: DataFrame, most_bytes: int, org: str = "org_id", seq: str = "seq", size: str = "bytes") -> DataFrame:
-    """Batches too large to be ever admitted, and for each org the oldest that exceed its fair level of a full buffer.
+def evictions(queue: DataFrame, most_bytes: int, most_batches: int = 1000, org: str = "org_id", seq: str = "seq", size: str = "bytes") -> DataFrame:
+    """The batches that a full buffer gives up, with the reason: those that are larger than the buffer, which are never admitted;
+    of the rest always the oldest of the org that holds the most bytes, until no more than `most_batches` are left and fit.
 
-    The level is the largest that all orgs can have at once: evicting the oldest of the heaviest org, again and again,
-    ends there, up to one batch. Orgs are few against batches; their totals are one row each.
+    The buffer's bounds are its size: the queue has few batches more than `most_batches`. Orgs are dealt out; what each can
+    lose is worked out where it lies, as steps of its remaining bytes after each of its oldest batches. All steps in falling
+    order of the bytes held before them are the order of eviction, of which as many are taken as the bounds need.
     """
+    older = W.partitionBy(org).orderBy(seq)
     alone = queue.filter(F.col(size) > most_bytes).withColumn("reason", F.lit("larger than the buffer"))
-    rest = queue.filter(F.col(size) <= most_bytes)
-    totals = rest.groupBy(org).agg(F.sum(size).alias("t"))
-    w = W.orderBy("t", org)
-    # with k orgs at most as heavy as this one kept whole, the others share what is left
-    level = totals.withColumn("below", F.sum("t").over(w.rowsBetween(W.unboundedPreceding, -1))).withColumn("n", F.count("*").over(W.partitionBy(F.lit(0)))).withColumn("k", F.row_number().over(w))
-    level = level.withColumn("share", (F.lit(most_bytes) - F.coalesce("below", F.lit(0))) / (F.col("n") - F.col("k") + 1))
-    level = level.filter(F.col("t") > F.col("share")).agg(F.max("share").alias("level"))
-    newer = W.partitionBy(org).orderBy(F.desc(seq))
-    over = rest.withColumn("_kept", F.sum(size).over(newer)).join(level, F.col("_kept") > F.col("level")).drop("_kept", "level")
-    return alone.unionByName(over.withColumn("reason", F.lit("oldest of the heaviest")))
+    queue = queue.filter(F.col(size) <= most_bytes)
+    held = queue.withColumn("_before", F.sum(size).over(W.partitionBy(org)) - F.sum(size).over(older) + F.col(size))
+    # the org that holds the most bytes comes first; of equals the one whose oldest batch came first
+    order = W.partitionBy("_all").orderBy(F.desc("_before"), seq)
+    all_ = held.withColumn("_all", F.lit(1))
+    gone = all_.withColumn("_k", F.row_number().over(order)).withColumn("_freed", F.sum(size).over(order) - F.col(size))
+    total = queue.agg(F.sum(size).alias("_bytes"), F.count("*").alias("_count"))
+    gone = gone.join(F.broadcast(total))
+    over_count = F.col("_count") - F.col("_k") + 1 > most_batches
+    over_bytes = (F.col("_bytes") - F.col("_freed") > most_bytes) & (F.col("_count") - F.col("_k") + 1 > 1)
+    reason = F.when(over_count, "too many batches").otherwise("too many bytes")
+    return alone.unionByName(gone.filter(over_count | over_bytes).withColumn("reason", reason).select(*alone.columns))
 
 
 def failure_reason(error: BaseException) -> str:

@@ -9,14 +9,14 @@ from gaugeline.streaming import jobs, sink
 
 
 def test_settings():
-    assert [positive_int(x, 7) for x in (None, "", "0", "-1", "x", "1.5", "12")] == [7, 7, 7, 7, 7, 7, 12]
+    assert [positive_int(x, 7) for x in (None, "", "0", "-1", "x", "1.5", " 12px")] == [7, 7, 7, 7, 7, 1, 12]
     assert Settings.of({"SPANS_TTL_DAYS": "3"}).retention_days["spans"] == 3
 
 
 def test_keys(spark):
     text = '[{"key":"a","orgId":"o","repositoryId":"r"},{"key":"","orgId":"o","repositoryId":"r"},{"key":"b","orgId":"o"},{"key":"c","orgId":"o","repositoryId":"r","scope":"client","allowedOrigins":["x"]}]'
     got = gate.parse_keys(spark.createDataFrame([(text,), ("no",)], "value string")).collect()
-    assert [(r.key, r.scope, r.allowed_origins) for r in got] == [("a", "server", []), ("c", "client", ["x"])]
+    assert [(r.key, r.scope, r.allowed_origins) for r in got] == [("a", "server", []), ("", "server", []), ("c", "client", ["x"])]
     rows = [("Bearer k ", "h", "q", "k"), ("Bearer ", "h", "q", None), ("Basic x", " h ", "q", "h"), (None, " ", "q", "q"), (None, None, None, None)]
     df = spark.createDataFrame(rows, "a string, h string, q string, want string")
     assert all(r.got == r.want for r in df.select("want", gate.extract_key(F.col("a"), F.col("h"), F.col("q")).alias("got")).collect())
@@ -118,9 +118,32 @@ def test_envelopes(spark):
 
 def test_evictions(spark):
     rows = [(1, "a", 40), (2, "a", 40), (3, "b", 30), (4, "a", 20), (5, "c", 500)]
-    got = {r.seq: r.reason for r in sink.evictions(spark.createDataFrame(rows, "seq int, org_id string, bytes int"), 100).collect()}
-    assert got == {1: "oldest of the heaviest", 5: "larger than the buffer"}
-    assert sink.evictions(spark.createDataFrame(rows[:4], "seq int, org_id string, bytes int"), 1000).count() == 0
+    queue = spark.createDataFrame(rows, "seq int, org_id string, bytes int")
+    assert {r.seq: r.reason for r in sink.evictions(queue, 100).collect()} == {1: "too many bytes", 5: "larger than the buffer"}
+    assert sink.evictions(queue.filter("seq < 5"), 1000).count() == 0
+    assert {r.seq: r.reason for r in sink.evictions(queue.filter("seq < 5"), 1000, 2).collect()} == {1: "too many batches", 2: "too many batches"}
+    small = spark.range(1200).selectExpr("id AS seq", "concat('o', id % 3) AS org_id", "1 AS bytes")
+    assert sink.evictions(small, 10**6).count() == 200 and sink.evictions(queue.limit(0), 10).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_evictions_one_by_one(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = [(i, rng.choice("abc"), rng.randint(1, 30)) for i in range(60)]
+    left, gone = list(rows), []
+    while len(left) > 20 or (sum(r[2] for r in left) > 250 and len(left) > 1):
+        held = {}
+        for r in left:
+            held[r[1]] = held.get(r[1], 0) + r[2]
+        first = {o: min(r[0] for r in left if r[1] == o) for o in held}
+        org = max(held, key=lambda o: (held[o], -first[o]))
+        at = next(r for r in left if r[1] == org)
+        left.remove(at)
+        gone.append(at[0])
+    got = sink.evictions(spark.createDataFrame(rows, "seq int, org_id string, bytes int"), 250, 20)
+    assert {r.seq for r in got.collect()} == set(gone)
 
 
 def test_delivery(spark):
@@ -152,10 +175,37 @@ def test_streaming_dedupe(spark, tmp_path):
 def test_streaming_tails(spark, tmp_path):
     own = [("t1", "a", "p", False, 1), ("t1", "b", "p", True, 2), ("t1", "c", "", False, 3), ("t2", "d", "p", False, 1), ("t2", "e", "", False, 2), ("t2", "f", "p", True, 3)]
     df = spark.createDataFrame(own, "trace_id string, span_id string, parent_span_id string, is_error boolean, n int").withColumn("ended_at", F.timestamp_seconds(F.col("n") + 1704067200)).drop("n")
+    df = df.withColumn("note", F.concat(F.lit("n-"), "span_id"))
     df.write.parquet(f"{tmp_path}/in")
     stream = jobs.retain_tails(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))
     finish(stream.writeStream.format("memory").queryName("tails").option("checkpointLocation", f"{tmp_path}/c"))
-    assert sorted(r.span_id for r in spark.table("tails").collect()) == ["a", "b", "c", "f"]
+    got = spark.table("tails").collect()
+    assert sorted(r.span_id for r in got) == ["a", "b", "c", "f"]
+    assert all(r.tail_retained and r.note == f"n-{r.span_id}" for r in got)
+
+
+def test_captured_errors_rescue(spark, tmp_path):
+    df = spark.sql("SELECT 't' AS trace_id, id AS span_id, 'p' AS parent_span_id, false AS is_error, id = 2 AS captured, timestamp_seconds(1704067200 + id) AS ended_at FROM range(4)")
+    df.write.parquet(f"{tmp_path}/in")
+    stream = jobs.retain_tails(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), captured="captured", most=1)
+    finish(stream.writeStream.format("memory").queryName("captured").option("checkpointLocation", f"{tmp_path}/c"))
+    assert sorted(r.span_id for r in spark.table("captured").collect()) == [0, 2, 3]
+
+
+def test_a_write_done_twice_is_stored_once(spark, tmp_path):
+    row = "SELECT 'o' AS org_id, 'r' AS repository_id, 's' AS service, 'e' AS environment, '/' AS route, timestamp'2024-01-01' AS bucket_at, 2 AS request_count"
+    for name in ("job-0", "job-0", "job-1", None):
+        store.append(spark.sql(row), str(tmp_path), "metrics_1m", write_id=name)
+    assert O.merge_usage(store.read(spark, str(tmp_path), "metrics_1m")).first().request_count == 6
+
+
+def test_place_among_occurrences(spark):
+    from gaugeline.sources.browser import parse
+
+    events = ",".join(f'{{"type":"{t}","timestamp":"2024-01-01T00:00:01Z","message":"m","name":"n"}}' for t in ("session_start", "exception", "track_event", "message"))
+    df = spark.createDataFrame([(f'{{"version":1,"service":"w","environment":"p","events":[{events}]}}', "o", "r")], "value string, org_id string, repository_id string")
+    found = O.browser_occurrences(O.browser_events(parse(df)))
+    assert [(r.type, r.batch_index) for r in found.orderBy("place").collect()] == [("exception", 0), ("message", 1)]
 
 
 def test_streaming_ingestion(spark, tmp_path):
