@@ -4,7 +4,7 @@ Keys are looked up in a map made once for each row (`lookup`); the functions tha
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import trim_space
@@ -31,6 +31,14 @@ def lookup(bag: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def with_lookup(df: DataFrame, **bags: Column) -> DataFrame:
+    """Adds the maps of bags under these names. Each comes out of a generator of one row, which nothing is moved across: the
+    map is made once however many keys are looked up behind it, and in whatever filters."""
+    for name, bag in bags.items():
+        df = df.select("*", F.explode(F.array(lookup(bag))).alias(name))
+    return df
+
+
 def get(attrs: Column, key: str) -> Column:
     """The value of a key, null if absent."""
     return F.try_element_at(attrs, F.lit(key))

@@ -23,6 +23,28 @@ def parse_keys(df: DataFrame, value: str = "value") -> DataFrame:
     return k.filter(named).select(text("key").alias("key"), text("orgId").alias("org_id"), text("repositoryId").alias("repository_id"), F.coalesce(text("scope"), F.lit("server")).alias("scope"), origins.alias("allowed_origins"))
 
 
+TENANT = ("org_id", "repository_id", "scope", "allowed_origins")
+
+
+def resolve_keys(wanted: DataFrame, static: DataFrame, cached: DataFrame, answers: DataFrame, now: Column, seconds: int = 300) -> tuple[DataFrame, DataFrame]:
+    """Tenants of keys, and the cache after that.
+
+    wanted: key. static: key and the tenant. cached: key, the tenant (nulls: known to be invalid), expires_at. answers of the
+    validator: key, reachable, and the tenant (nulls: invalid). A static key needs no validator; a cached one only when it
+    has expired, and where the validator can't be reached the expired entry still counts; an unknown key is then refused.
+    """
+    named = lambda df, s, *more: df.select("key", F.struct(*TENANT).alias(f"_{s}"), *more)
+    asked = answers.filter("reachable").select("key", *TENANT)
+    df = wanted.distinct().join(named(static, "static"), "key", "left").join(named(cached, "old", "expires_at"), "key", "left").join(named(asked, "new"), "key", "left")
+    fresh = F.coalesce(F.col("expires_at") > now, F.lit(False))
+    use = F.when(F.col("_static").isNotNull(), F.col("_static")).when(fresh, F.col("_old")).when(F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col("_old"))
+    got = df.withColumn("_t", use)
+    whole = (F.coalesce("_t.org_id", F.lit("")) != "") & (F.coalesce("_t.repository_id", F.lit("")) != "")
+    resolved = got.filter(whole).select("key", "_t.org_id", "_t.repository_id", F.coalesce("_t.scope", F.lit("server")).alias("scope"), F.coalesce("_t.allowed_origins", F.array().cast("array<string>")).alias("allowed_origins"))
+    renewed = got.filter(F.col("_static").isNull() & ~fresh & F.col("_new").isNotNull()).select("key", "_new.*", (now + F.make_interval(secs=F.lit(seconds))).alias("expires_at"))
+    return resolved, renewed.unionByName(cached.join(renewed.select("key"), "key", "left_anti"))
+
+
 def extract_key(authorization: Column, header: Column, query: Column) -> Column:
     """A bearer token, even an empty one, comes before the key header, and that before the query's key."""
     own = lambda c: F.nullif(trim_space(c), F.lit(""))

@@ -112,7 +112,11 @@ def latest(df: DataFrame, key: str, version: str) -> DataFrame:
 
 
 def migrate(spark: SparkSession, path: str, at: str = "1970-01-01 00:00:00") -> list[str]:
-    """Registers the steps that the registry lacks and returns their ids. Running it again does nothing."""
+    """Takes the steps that the registry lacks, registers them and returns their ids. Running it again does nothing.
+
+    A step that adds a table writes it empty where there is none, so that it can be read; one that adds columns needs no
+    rewriting, as `read` gives older files the columns' defaults; new files are compressed with zstd, old ones when rewritten.
+    """
     registry = f"{path}/schema_migrations"
     folder = spark._jvm.org.apache.hadoop.fs.Path(registry)
     there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
@@ -120,6 +124,13 @@ def migrate(spark: SparkSession, path: str, at: str = "1970-01-01 00:00:00") ->
     if there:
         steps = steps.join(spark.read.parquet(registry).select("id").distinct(), "id", "left_anti")
     new = [r.id for r in steps.orderBy("id").collect()]
+    for id_, table, columns in MIGRATIONS:
+        if id_ in new and table and len(columns) == len(TABLES[table]):
+            at_table = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}")
+            if not at_table.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at_table):
+                append(spark.createDataFrame([], schema(table)), path, table, write_id=id_)
+                if not at_table.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at_table):
+                    at_table.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at_table)
     if new:
         spark.createDataFrame([(i,) for i in new], "id string").withColumn("applied_at", F.lit(at).cast("timestamp")).write.mode("append").parquet(registry)
     return new

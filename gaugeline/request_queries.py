@@ -444,3 +444,49 @@ def gate_keys(spark, d):
     value = _text('[{"key":', key, ',"orgId":"o', F.col("user_id"), '","repositoryId":"r"', scope, origins, "}]")
     got = gate.parse_keys(V.table(spark, d, "events").select(value.alias("value")))
     return got.select("key", "org_id", "scope", F.size("allowed_origins").alias("origins"))
+
+
+@query("sink_counters", """WITH r AS (SELECT event_id AS seq, CASE WHEN event_id % 7 = 0 THEN 'permanent' WHEN event_id % 11 = 0 THEN 'gave_up' ELSE 'delivered' END AS outcome, user_id % 4 + 1 AS attempts FROM events),
+l AS (SELECT max(seq) FILTER (outcome = 'delivered') AS last FROM r)
+SELECT count(*) FILTER (outcome = 'delivered') AS delivered, CAST(sum(attempts - 1) AS BIGINT) AS retried, count(*) FILTER (outcome <> 'delivered') AS dropped_permanent, count(*) FILTER (outcome <> 'delivered' AND seq > last) AS consecutive_failures,
+ arg_max(outcome || seq, seq) FILTER (outcome <> 'delivered') AS last_failure_reason, (SELECT count(*) FROM events WHERE user_id % 5 = 0) AS dropped_overflow FROM r, l""")
+def sink_counters(spark, d):
+    n = F.col("event_id")
+    outcome = F.when(n % 7 == 0, "permanent").when(n % 11 == 0, "gave_up").otherwise("delivered")
+    e = V.table(spark, d, "events")
+    rows = e.select(n.alias("seq"), outcome.alias("outcome"), (F.col("user_id") % 4 + 1).alias("attempts"), F.concat(outcome, n.cast("string")).alias("reason"))
+    return sink.counters(rows, e.filter("user_id % 5 = 0"))
+
+
+@query("key_refresh", """WITH c AS (SELECT c_custkey AS k, concat('key', c_custkey) AS key FROM customer),
+r AS (SELECT k, key, CASE WHEN k % 5 = 0 THEN 'static' WHEN k % 3 = 0 AND k % 2 = 0 THEN 'cached' WHEN k % 7 <> 0 THEN CASE WHEN k % 4 = 1 THEN NULL ELSE 'asked' END WHEN k % 3 = 0 THEN 'cached' END AS org_id FROM c)
+SELECT key, org_id, CASE WHEN org_id = 'asked' AND k % 4 = 2 THEN 'client' ELSE 'server' END AS scope FROM r WHERE org_id IS NOT NULL""")
+def key_refresh(spark, d):
+    """Keys of which some are static, some cached and fresh, some cached and expired, some unknown, with a validator that some calls don't reach."""
+    k = F.col("c_custkey")
+    c = V.table(spark, d, "customer").select("c_custkey", _text("key", k).alias("key"))
+    tenant = lambda org, scope: (F.lit(org).alias("org_id"), F.lit("r").alias("repository_id"), scope.alias("scope"), F.array().cast("array<string>").alias("allowed_origins"))
+    now = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    static = c.filter("c_custkey % 5 = 0").select("key", *tenant("static", F.lit("server")))
+    expires = F.when(k % 2 == 0, F.lit("2024-01-01 12:01:00")).otherwise(F.lit("2024-01-01 11:00:00")).cast("timestamp")
+    cached = c.filter("c_custkey % 3 = 0").select("key", *tenant("cached", F.lit("server")), expires.alias("expires_at"))
+    org = F.when(k % 4 != 1, "asked")
+    answers = c.select("key", (k % 7 != 0).alias("reachable"), org.alias("org_id"), F.lit("r").alias("repository_id"), F.when(k % 4 == 2, "client").alias("scope"), F.lit(None).cast("array<string>").alias("allowed_origins"))
+    return gate.resolve_keys(c.select("key"), static, cached, answers, now)[0].select("key", "org_id", "scope")
+
+
+_RULES = ("version", "service", "type", "timestamp", "severity", "message", "line", "context", "events", "none")
+
+
+@query("payload_rules", f"SELECT event_id, event_id % {len(_RULES)} = {_RULES.index('none')} AS valid FROM events")
+def payload_rules(spark, d):
+    """A payload for each event that breaks one rule, each of the rules in turn, or none."""
+    k = F.col("event_id") % len(_RULES)
+    pick = lambda rule, good, bad: F.when(k == _RULES.index(rule), F.lit(bad)).otherwise(F.lit(good))
+    event = _text(
+        '{"type":', pick("type", '"exception"', '"crash"'), ',"timestamp":', pick("timestamp", '"2024-01-01T00:00:00.000Z"', '"today"'), ',"severity":', pick("severity", '"info"', '"loud"'),
+        ',"message":', pick("message", '"m"', "5"), ',"line":', pick("line", "3", "-3"), ',"context":', pick("context", "{}", "[1]"), "}",
+    )
+    many = F.when(k == _RULES.index("events"), F.array_join(F.array_repeat(event, 51), ",")).otherwise(event)
+    value = _text('{"version":', pick("version", "1", "2"), ',"service":', pick("service", '"web"', '""'), ',"environment":"p","events":[', many, "]}")
+    return browser.parse(V.table(spark, d, "events").select("event_id", value.alias("value"))).select("event_id", "valid")

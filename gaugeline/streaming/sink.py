@@ -63,6 +63,23 @@ def evictions(queue: DataFrame, most_bytes: int, most_batches: int = 1000, org:
     return alone.unionByName(gone.filter(over_count | over_bytes).withColumn("reason", reason).select(*alone.columns))
 
 
+def counters(outcomes: DataFrame, evicted: DataFrame) -> DataFrame:
+    """What a sink reports of deliveries (outcome, attempts, reason, seq) and evictions: one row of counts, with the failures
+    since the last delivery and the last one's reason."""
+    number = lambda c: F.count(F.when(c, True))
+    kind, bad = F.col("outcome"), F.col("outcome") != "delivered"
+    last = outcomes.agg(F.max(F.when(kind == "delivered", F.col("seq"))).alias("_last"))
+    own = outcomes.crossJoin(F.broadcast(last))  # one row
+    got = own.agg(
+        number(kind == "delivered").alias("delivered"),
+        F.coalesce(F.sum(F.col("attempts") - 1), F.lit(0)).alias("retried"),
+        number(bad).alias("dropped_permanent"),
+        number(bad & (F.col("seq") > F.coalesce("_last", F.lit(-1)))).alias("consecutive_failures"),
+        F.max_by(F.when(bad, F.col("reason")), F.when(bad, F.col("seq"))).alias("last_failure_reason"),
+    )
+    return got.crossJoin(F.broadcast(evicted.agg(F.count("*").alias("dropped_overflow"))))
+
+
 def failure_reason(error: BaseException) -> str:
     if isinstance(error, TimeoutError):
         return "timeout"
