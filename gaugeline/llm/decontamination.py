@@ -7,11 +7,13 @@ The items are partitioned by size (powers of two of their shingle counts). Each
 its shingles. k depends on the partition: within an item of n shingles of which `threshold` must be shared, more than
 n - ceil(threshold n) sketched ones can't all be missing, so small items are found for certain; for larger ones k is
 what makes a miss rarer than `miss`. Every shingle of every document is looked up in the sketches, and each item met
-is verified against the document's whole shingle set. Documents are never shuffled. The items are sent out in blocks
+is verified against the document's whole shingle set, at last by the shingles' words and not their hashes. Documents are never shuffled. The items are sent out in blocks
 of at most `block_shingles` shingles; a larger benchmark takes more passes over the documents.
 
-Nulls and texts without a word have no shingle and leak nothing. Repeated rows give repeated results. Rows with a null
-id keep it. Other columns are not looked at.
+An item of fewer than five words is found only in a document that is exactly those words. Nulls and texts without a word
+have no shingle and leak nothing. Repeated rows give repeated results; of a document that holds several items each is
+returned, whatever their order. Rows with a null id keep it. Whole texts are read, however long. Other columns are not
+looked at, and `drop_leaks` returns them as they are.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, table
-from .words import Words, mix
+from .words import SHINGLE, Words, mix
 
 THRESHOLD = 0.8
 MISS = 1e-9
@@ -39,13 +41,19 @@ def sketch_size(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> int
     return min(certain, math.ceil(math.log(miss) / math.log(1 - threshold))) if threshold < 1 else 1
 
 
+def exact_shingles(words: list[bytes], width: int = SHINGLE) -> set[bytes]:
+    """The shingles of these words as bytes; of fewer words than a shingle has, all of them."""
+    return {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}
+
+
 class Index:
-    """Sketches and shingle sets of one block of items."""
+    """Sketches and shingle sets of one block of items: id, hashes of the shingles, and the words that they are made of."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], threshold: float):
+    def __init__(self, items: list[tuple[int, np.ndarray, bytes]], threshold: float):
         self.threshold = threshold
-        self.ids = [i for i, _ in items]
-        self.sets = [s for _, s in items]
+        self.ids = [i for i, _, _ in items]
+        self.sets = [s for _, s, _ in items]
+        self.exact = [exact_shingles(w.split()) for _, _, w in items]
         keys = [s[np.argsort(mix(s), kind="stable")[: sketch_size(len(s), threshold)]] for s in self.sets]
         flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
@@ -70,13 +78,17 @@ class Index:
                 a += 1
         out = []
         for i, owners in met.items():
-            shingles, hits = np.unique(hashes[cut[i] : cut[i + 1]]), []
+            shingles, hits, spelled = np.unique(hashes[cut[i] : cut[i + 1]]), [], None
             for o in sorted(owners):
                 own = self.sets[o]
                 at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
-                shared = int((shingles[at] == own).sum())
-                if shared >= self.threshold * len(own) - 1e-9:
-                    hits.append((self.ids[o], shared, len(own)))
+                if (shingles[at] == own).sum() < self.threshold * len(own) - 1e-9:
+                    continue
+                if spelled is None:
+                    spelled = exact_shingles(words.words_of(i))
+                shared = len(self.exact[o] & spelled)
+                if shared >= self.threshold * len(self.exact[o]) - 1e-9:
+                    hits.append((self.ids[o], shared, len(self.exact[o])))
             if hits:
                 out.append((i, hits))
         return out
@@ -85,11 +97,13 @@ class Index:
 def _item_shingles(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for batch in slices(batches):
-            sets = Words(batch.column(1), lower=True).shingles()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))], ["item", "shingles"])
+            words = Words(batch.column(1), lower=True)
+            hashes = [s.view(np.int64).tolist() for s in words.shingles()]
+            spelled = [b" ".join(words.words_of(i)) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64())), pa.array(spelled, pa.binary())], ["item", "shingles", "words"])
 
     got = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
-    return got.mapInArrow(run, "item long, shingles array<long>").filter(F.size("shingles") > 0)
+    return got.mapInArrow(run, "item long, shingles array<long>, words binary").filter(F.size("shingles") > 0)
 
 
 def _indexes(benchmark: DataFrame, id_col: str, text_col: str, threshold: float, block_shingles: int):
@@ -99,7 +113,7 @@ def _indexes(benchmark: DataFrame, id_col: str, text_col: str, threshold: float,
     blocks = max(1, math.ceil(total / block_shingles))
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()
-        rows = [(r.item, np.array(r.shingles, np.int64).view(np.uint64)) for r in rows]
+        rows = [(r.item, np.array(r.shingles, np.int64).view(np.uint64), bytes(r.words)) for r in rows]
         yield benchmark.sparkSession.sparkContext.broadcast(Index(rows, threshold))
 
 

@@ -63,6 +63,11 @@ class Words:
         self.first_word = counts[:-1]
         self.text_of = np.repeat(np.arange(self.n_texts), self.counts)
 
+    def words_of(self, text: int) -> list[bytes]:
+        """The words of one text."""
+        own = slice(self.first_word[text], self.first_word[text] + self.counts[text])
+        return [bytes(self.raw[a:b]) for a, b in zip(self.starts[own], self.ends[own], strict=True)]
+
     def hashes(self) -> np.ndarray:
         """64 bits of each word: every eight bytes are mixed with a number of their place, the results summed and mixed
         with the length. Mixing is not linear, so no pattern of letters makes two words meet other than by chance."""
