@@ -83,6 +83,7 @@ def gate(requests: DataFrame, keys: DataFrame, *, configured: bool = True, serve
     df = requests.join(keys, "key", "left")
     client, origin = F.col("scope") == "client", F.col("origin")
     refused = F.lit(None).cast("string") if configured else F.lit("storage not configured")
+    # The texts and codes that senders are answered with.
     steps = (
         (F.coalesce("key", F.lit("")) == "", "missing ingest key"),
         (F.col("org_id").isNull(), "invalid ingest key"),

@@ -13,6 +13,7 @@ from ..schemas import LAYOUT, TABLES
 PARTITION, WRITE = "event_date", "write_id"
 _CUT = {"message": 4000, "stack": 32000, "name": 500}
 _NOT_NEGATIVE = {"input_tokens", "output_tokens", "request_count", "error_count", "session_count"}
+# The ids under which databases have recorded these steps.
 #: Steps after the first layout: id, table, columns added. Appended to, never changed.
 MIGRATIONS = (
     ("0001-baseline", None, ()),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Names and limits that senders and readers of the tables share, down to LAYOUT.
 EVENT_TYPES = ("exception", "unhandled_rejection", "message", "session_start", "track_event")
 SEVERITIES = ("fatal", "error", "warning", "info")
 
