@@ -14,7 +14,9 @@ from . import adapters as V
 from .functions import text as T
 from .operators import calls, gate, occurrences, sampling, traces
 from .plans import store
-from .queries import query
+from .queries import _C as _CALLS
+from .queries import _O, query
+from .queries import _U as _U_WHOLE
 from .sources import browser, requests
 from .streaming import jobs, sink
 
@@ -490,3 +492,20 @@ def payload_rules(spark, d):
     many = F.when(k == _RULES.index("events"), F.array_join(F.array_repeat(event, 51), ",")).otherwise(event)
     value = _text('{"version":', pick("version", "1", "2"), ',"service":', pick("service", '"web"', '""'), ',"environment":"p","events":[', many, "]}")
     return browser.parse(V.table(spark, d, "events").select("event_id", value.alias("value"))).select("event_id", "valid")
+
+
+_USAGE = _U_WHOLE[_U_WHOLE.index("\nr AS") + 1 :]  # without the events, which _O has
+
+
+@query("sink_batches", f"""WITH {_O}, {_USAGE}, {_CALLS},
+p AS (SELECT org_id, repository_id, 'o' AS kind, occurred_at AS t FROM o UNION ALL SELECT org_id, repository_id, 'm', bucket_at FROM u UNION ALL SELECT 'org0', 'repo0', 'c', started_at FROM c)
+SELECT org_id, repository_id, substring(sha256(concat('replay-1', chr(0), org_id, chr(0), repository_id, chr(0), 0)), 1, 32) AS batch_id, count(*) FILTER (kind = 'o') AS occurrences, count(*) FILTER (kind = 'm') AS metrics,
+ count(*) FILTER (kind = 'c') AS calls, min(t) AS signals_from, max(t) AS signals_to FROM p GROUP BY ALL""")
+def sink_batches(spark, d):
+    """One body for each tenant: its id, how many signals of each kind it holds, and their range."""
+    events = V.browser_events(spark, d)
+    found = occurrences.identify(occurrences.browser_occurrences(events).withColumn("batch_index", F.lit(0)))
+    made = calls.extract_calls(V.call_spans(spark, d))
+    got = sink.envelopes(store.conform(found, "error_occurrences").drop("ingested_at"), occurrences.browser_usage(events), made, "replay-1", rows=1 << 40)
+    count = lambda kind: F.json_array_length(F.get_json_object("body", f"$.{kind}")).cast("long")
+    return got.select("org_id", "repository_id", "batch_id", count("occurrences").alias("occurrences"), count("metrics").alias("metrics"), count("llmCalls").alias("calls"), "signals_from", "signals_to")
