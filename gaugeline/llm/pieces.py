@@ -9,7 +9,8 @@ As no piece of such a model has a space mark after another character, merges nev
 after it: the text is encoded in chunks of spaces and what follows them, each chunk once per cache (bounded in each
 Python worker). A model for which this does not hold is encoded text by text.
 
-Nulls are empty texts; an empty text has the begin and end ids only. One row out for each row in, ids kept as they are.
+Nulls are empty texts; an empty text has the begin and end ids only. One row out for each row in, ids kept as they are, as
+are repeated rows. Whole texts are read, however long. Other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ votes, family and shape is fitted to the posteriors. Looser candidates stay if i
 Counts are bounded by the number of possible patterns, whatever the input.
 
 A null text is an empty one; texts without candidates give no span. One row out for each row in, repeated rows too.
-Null ids are kept. Whole texts are scanned; scanning is linear in the text's length.
+Null ids are kept. Whole texts are scanned; scanning is linear in the text's length. Of looser candidates that overlap the
+first counts, of those that start together the longest. Other columns are not looked at.
 """
 
 from __future__ import annotations

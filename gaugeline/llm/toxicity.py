@@ -12,7 +12,10 @@ fits on training texts, on a text's highest margin and on its second and the num
 
 The training texts are a sample of at most `sample` labelled rows (by a hash of the id, toxic and clean halves apart).
 Null and empty texts have no word and take the score of a text with the lowest margin. Without labels of both kinds
-every score is 0. One row out for each row in; repeated rows are repeated; null ids are kept. Whole texts are read.
+every score is 0. One row out for each row in; repeated rows are repeated; null ids are kept. Whole texts are read when they
+are scored, very long words in overlapping parts; training reads the first _LONGEST_WORD characters of a word. A labelled id
+that repeats counts once, with its smallest text and its highest label. Ties between strings, words and margins go by the
+string. A column of the input that has the score's name is replaced by it; others are kept.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from .common import as_strings, crc_mod, sample_by_id, slices, table
 SAMPLE = 2000  # of each class
 DECAY, SPAN = 0.7, 7
 LANDMARKS = 160
+# Bounds of the fit, whatever the sample: strings that may become witnesses, frequent and other clean words, toxic words.
+_STRINGS, _FREQUENT, _RARE, _TOXIC = 5000, 2000, 3000, 3000
 ROUNDS = 3
 THRESHOLD = 0.7
 _ALPHABET = 64
@@ -182,7 +187,7 @@ def _witnesses(toxic: list[set[str]], clean: list[set[str]], most: int) -> list[
     for i, b in enumerate(bags):
         for s in b & holds.keys():
             holds[s].append(i)
-    holds = {s: np.array(own) for s, own in sorted(holds.items(), key=lambda x: (-len(x[1]), -len(x[0]), x[0]))[:5000]}
+    holds = {s: np.array(own) for s, own in sorted(holds.items(), key=lambda x: (-len(x[1]), -len(x[0]), x[0]))[:_STRINGS]}
     need, chosen = np.full(len(toxic), 3), []
     while holds and len(chosen) < most:
         s = max(holds, key=lambda s: ((need[holds[s]] > 0).sum(), len(s), s))
@@ -258,7 +263,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     rng = np.random.default_rng(7)
     witness = [{w for w in s if w not in common and any(c in w for c in chosen)} for s in toxic]
     rare = sorted(common)
-    negative = set(frequent[:2000]) | {rare[i] for i in rng.choice(len(rare), min(3000, len(rare)), replace=False)}
+    negative = set(frequent[:_FREQUENT]) | {rare[i] for i in rng.choice(len(rare), min(_RARE, len(rare)), replace=False)}
     model = Model(None, 0.0)
     for _ in range(ROUNDS):
         # each toxic text has one vote, shared by its witnesses
@@ -266,7 +271,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         for own in witness:
             for w in own:
                 votes[w] += 1 / len(own)
-        pos, neg = [w for w, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0]))[:3000]], sorted(negative)
+        pos, neg = [w for w, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0]))[:_TOXIC]], sorted(negative)
         if not pos:
             return Model(None, 0.0)
         weight = np.array([max(0.2, votes[w]) for w in pos])
