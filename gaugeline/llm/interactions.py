@@ -19,6 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -28,25 +29,31 @@ _SPACE = "[\\x20\\x09-\\x0D]+"
 _CELLS = 1 << len(FILTERS)
 
 
-def failures(text: Column, words: Column, copy: Column) -> list[Column]:
-    """The five conditions of a text, its words and whether it is a later copy."""
+def failures(text: Column, words: Column) -> list[Column]:
+    """The conditions A to D of a text and its words."""
     n, capitals = F.size(words), F.length(F.regexp_replace(text, "[^A-Z]+", ""))
-    return [n < 200, 100 * F.size(F.array_distinct(words)) < 50 * n, 100 * capitals > 2 * F.length(text), text.rlike("[#$%&*|]"), copy]
+    return [n < 200, 100 * F.size(F.array_distinct(words)) < 50 * n, 100 * capitals > 2 * F.length(text), text.rlike("[#$%&*|]")]
 
 
 def cells(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
     """part, mask, n, good, toxic: how many documents of a part fail exactly the filters of a mask (A is its lowest bit)."""
     text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    split = text.withColumn("words", F.filter(F.split("text", _SPACE), lambda w: w != ""))
+    words = text.withColumn("words", F.filter(F.split("text", _SPACE), lambda w: w != ""))
     bits = lambda conditions: sum((F.when(c, 1 << k).otherwise(0) for k, c in conditions), F.lit(0))
-    own = [*enumerate(failures(F.col("text"), F.col("words"), F.lit(False)))][:-1]
+    own = [*enumerate(failures(F.col("text"), F.col("words")))]
     # a few dozen bytes for each document: from here on no text is moved
-    rows = stored(split.select("id", "part", bits(own).alias("mask"), F.unhex(F.sha2("text", 256)).alias("digest")))
-    first = rows.groupBy("digest").agg(F.min("id").alias("first"))
-    rows = rows.join(first, "digest").withColumn("mask", F.col("mask") + bits([(len(own), F.coalesce(F.col("id") > F.col("first"), F.lit(False)))]))
+    rows = stored(words.select("id", "part", bits(own).alias("mask"), F.unhex(F.sha2("text", 256)).alias("digest")))
     said = labels.groupBy(F.col(id_col).alias("id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    one = lambda c: F.sum(F.coalesce(c, F.lit(0)).cast("long"))
-    return rows.select("id", "part", "mask").join(said, "id", "left").groupBy("part", "mask").agg(F.count("*").alias("n"), one("good").alias("good"), one("toxic").alias("toxic"))
+    # a text's copies are added up before they meet, by what is said of them: a hot text is a few rows of each task
+    each = rows.join(said, "id", "left").groupBy("digest", "id", "part", "mask", "good", "toxic").agg(F.count("*").alias("n"))
+    some = each.groupBy("digest", "part", "mask", "good", "toxic").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(0)).alias("unnamed"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "n"))).alias("first"))
+    smallest = F.min("first.id").over(W.partitionBy("digest"))
+    own_first = F.when(F.col("first.id") == smallest, F.col("first.n")).otherwise(0)
+    split = some.withColumn("sound", F.coalesce(own_first, F.lit(0)) + F.col("unnamed"))
+    both = F.array(F.struct(F.col("sound").alias("n"), F.lit(0).alias("copy")), F.struct((F.col("n") - F.col("sound")).alias("n"), F.lit(1 << len(own)).alias("copy")))
+    cell = split.select("part", "mask", "good", "toxic", F.explode(both).alias("x")).filter("x.n > 0").select("part", (F.col("mask") + F.col("x.copy")).alias("mask"), F.col("x.n").alias("n"), "good", "toxic")
+    marked = lambda c: F.sum(F.when(F.col(c) == 1, F.col("n")).otherwise(0))
+    return cell.groupBy("part", "mask").agg(F.sum("n").alias("n"), marked("good").alias("good"), marked("toxic").alias("toxic"))
 
 
 def swaps(n: int):
