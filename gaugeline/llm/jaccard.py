@@ -3,15 +3,16 @@
 Shingles are five consecutive lower-cased words; a text of one to four words has one shingle, all its words. Two
 documents are linked if the Jaccard similarity of their shingle sets is at least `threshold`.
 
-Documents with the same shingle set form one class, whose smallest id represents it. Classes that share a band (a run of
-MinHash values, hashed into one key) are candidates. This is banding, not an LSH forest: the length of a band is worked
+Documents with the same lower-cased words in the same order form one class (told by 128 bits of BLAKE2 of the words), whose
+smallest id represents it. Classes that share a band (a run of MinHash values, hashed into one key) are candidates; hashes
+only propose: the shingles that are compared are the words themselves. This is banding, not an LSH forest: the length of a band is worked
 out from the threshold alone, longer prefixes are not looked at, and there are as many bands as it takes for a pair at
 the threshold to share one with at least the target recall. Candidates' components are verified all against all: components
 larger than a block in pairs of blocks, so no candidate is capped or dropped, and no pair of rows is ever emitted: each
 block returns a count of links for each class and a spanning forest.
 
 Texts that are null or have no word link with nothing. Rows with a null id are left out. Rows that repeat an id are one
-document; if their texts differ, the one whose shingle set has the smallest digest counts, and those without a word don't.
+document; if their texts differ, the one whose words have the smallest digest counts, and those without a word don't.
 Whole texts are read, however long; other columns are not looked at.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, slices, table
 from .groups import blocks, components, forest
-from .words import Words, mix
+from .words import SHINGLE, Words, mix
 
 THRESHOLD, RECALL = 0.8, 0.9999995  # of two million pairs at the threshold one is missed
 TREES, DEPTH, FIRST = 20, 8, 0.999
@@ -50,24 +51,39 @@ def bands(threshold: float, recall: float) -> tuple[int, int]:
     return length, TREES if met >= 1 else max(TREES, math.ceil(math.log(1 - recall) / math.log(1 - met)))
 
 
-def _digest(shingles: np.ndarray) -> bytes:
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def shingle_sets(texts: list[list[bytes]]) -> list[np.ndarray]:
+    """Of each list of words the set of its shingles, as numbers that all the lists share: equal numbers are equal words."""
+    number: dict[bytes, int] = {}
+    out = []
+    for words in texts:
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.append(0, ends[:-1] + 1)[: max(1, len(words) - SHINGLE + 1)]
+        stops = ends[SHINGLE - 1 :] if len(words) >= SHINGLE else ends[-1:]
+        own = {joined[i:j] for i, j in zip(starts.tolist(), stops.tolist(), strict=False)}
+        out.append(np.array(sorted(number.setdefault(x, len(number)) for x in own), np.int64))
+    return out
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, length: int, trees: int) -> DataFrame:
-    """id, set_key (digest of the shingle set), nodes (the key of each of `trees` bands of this length)."""
+    """id, set_key (digest of the words), nodes (the key of each of `trees` bands of this length)."""
     rng = np.random.default_rng(5)
     factors = rng.integers(1, 1 << 63, trees * length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
         for batch in slices(batches, 128):
             keys, nodes = [], []
-            for s in Words(batch.column(1), lower=True).shingles():
+            words = Words(batch.column(1), lower=True)
+            for i, s in enumerate(words.shingles()):
                 if not len(s):
                     keys.append(None)
                     nodes.append(None)
                     continue
-                keys.append(_digest(s))
+                keys.append(_digest(words.words_of(i)))
                 low = np.full(len(factors), 0xFFFFFFFFFFFFFFFF, np.uint64)
                 for at in range(0, len(s), 2048):
                     np.minimum(low, (s[at : at + 2048, None] * factors).min(0), out=low)
@@ -115,15 +131,16 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
 
     def verify(batch: pa.Table) -> pa.Table:
-        sets = Words(batch.column("text").combine_chunks(), lower=True).shingles()
-        # of rows that repeat an id, one with the shingles that count for it
+        read = Words(batch.column("text").combine_chunks(), lower=True)
+        # of rows that repeat an id, one with the words that count for it
         place: dict[int, int] = {}
+        texts = {}
         for i, (node, key) in enumerate(zip(batch.column("node").to_pylist(), batch.column("set_key").to_pylist(), strict=True)):
-            if _digest(sets[i]) == key:
-                place.setdefault(node, i)
+            if node not in place and _digest(own := read.words_of(i)) == key:
+                place[node], texts[i] = i, own
         if not place:
             return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        batch, sets = batch.take(list(place.values())), [sets[i] for i in place.values()]
+        batch, sets = batch.take(list(place.values())), shingle_sets([texts[i] for i in place.values()])
         nodes, side, copies = (batch.column(c).to_numpy() for c in ("node", "side", "copies"))
         match = similar(sets, threshold)
         # both sides meet only across; a block with itself meets wholly; no document is linked with itself

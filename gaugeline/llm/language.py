@@ -5,10 +5,11 @@ n-grams, longest first: the first length of which some n-gram is known gives the
 with a penalty for each length given up. A text's score is the softmax of the languages' sums over all its words.
 
 Training: word counts come from a sample of labelled rows, bounded by `sample` for each language (chosen by a hash of the
-id), so that a language is learned however rare it is beside others; the `vocabulary` most frequent (language, word) and
-`ngrams` most frequent (language, n-gram) pairs are kept; ties go by language and string. Words are runs of letters (by
-Unicode category: superscripts, fractions and Roman numerals are none), lower-cased; those of more than LONGEST_WORD
-letters are looked up whole, but give no n-grams to learn from.
+id), so that a language is learned however rare it is beside others. Of each language its most frequent words and n-grams
+are kept, as many as an equal share of `vocabulary` and `ngrams` allows and LEAST_EACH at least, so that a language with few
+words beside one with very many still has them; ties go by string. Words are runs of letters (by Unicode category:
+superscripts, fractions and Roman numerals are none), lower-cased; those of more than LONGEST_WORD letters are looked up
+whole, but give no n-grams to learn from. A language whose texts hold no letter is not learned.
 
 Null or letterless texts, and all texts where nothing was learned, give `und` with score 0. Ties between languages go to
 the first by name. One row out for each row in; repeated rows are repeated; a null id is kept. Whole texts are read.
@@ -23,6 +24,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import as_strings, crc_mod, sample_of_each, slices, table, unused
@@ -32,6 +34,7 @@ SAMPLE = 1500  # of each language
 LONGEST_WORD = 64
 VOCABULARY = 120_000
 NGRAMS = 60_000
+LEAST_EACH = 1000  # words and n-grams of a language, however many languages there are
 LONGEST = 4
 PENALTY = math.log(0.4)
 UNDETERMINED = "und"
@@ -50,7 +53,7 @@ class Model:
     """Log frequencies by language. Scores of words are kept as rows of a matrix, bounded in number."""
 
     def __init__(self, words: list[tuple[str, str, int]], grams: list[tuple[str, str, int]]):
-        self.langs = sorted({lang for lang, _, _ in words})
+        self.langs = sorted({lang for lang, _, _ in [*words, *grams]})
         place = {lang: i for i, lang in enumerate(self.langs)}
 
         def logs(counted):
@@ -126,7 +129,13 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     marked = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
     grams = words.filter(F.length("word") <= LONGEST_WORD).select("lang", "n", marked.alias("w"), F.explode(F.sequence(F.lit(1), F.lit(LONGEST))).alias("k")).filter(F.length("w") >= F.col("k"))
     grams = grams.select("lang", "n", F.explode(F.expr("transform(sequence(1, length(w) - k + 1), i -> substring(w, i, k))")).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = lambda df, s, k: [tuple(r) for r in df.select("lang", s, "n").orderBy(F.desc("n"), "lang", s).limit(k).collect()]
+    langs = words.select("lang").distinct().count()
+
+    def top(df, s, most):
+        # a language's strings are those of its sample: a bounded group
+        rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), s))
+        return [tuple(r) for r in df.withColumn("rank", rank).filter(F.col("rank") <= max(LEAST_EACH, most // max(1, langs))).select("lang", s, "n").collect()]
+
     model = Model(top(words, "word", vocabulary), top(grams, "gram", ngrams))
     words.unpersist()
     return model

@@ -1,13 +1,12 @@
 """Line dedup: an exact set-similarity join of lines.
 
-A line is the set of its lower-cased words (runs of what is not ASCII white space), at least `least` of them; shorter
-lines always stay (op2_lines keeps the floor of 3 that its SQL has; with 1, as in the pipeline, only blank lines are
-exempt). A line is removed if an earlier one (by document id, then line number) has a Jaccard similarity of
+A line is the set of its lower-cased words (runs of what is not ASCII white space), at least `least` of them; with 1, the
+default, only blank lines are exempt. A line is removed if an earlier one (by document id, then line number) has a Jaccard similarity of
 at least `threshold` with it, whether that one is itself removed or not.
 
-Lines with the same set (128 bits of word hashes and the number of words) form a class, found at its first place; only
-classes are joined, and of these only the ones with enough words for another set to be similar enough (n / (n + 1) is the
-most that is possible: 4 words at 0.8). Words are ordered by rarity: all words of all documents are counted in TABLE
+Lines with the same words in the same order form a class, found at its first place (told by 128 bits of BLAKE2 of the
+words; of lines too short for another set to be similar enough, of their set); only classes are joined, and of these only
+the ones with enough words (n / (n + 1) is the most that is possible: 4 words at 0.8). Hashes of words only propose. Words are ordered by rarity: all words of all documents are counted in TABLE
 buckets of their hashes, at every size of the input, and a word comes by its bucket's logarithmic count before its hash.
 A bucket tells words apart that make up more than a millionth of the input. Rarer ones share ranks, but a line has few of
 them and they all come first; how long its prefix's lists are is decided by the more frequent words behind them.
@@ -31,6 +30,8 @@ whole. Other columns are kept; names that begin with __line_ or __n_ are this mo
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,7 +42,7 @@ from .common import cut, slices, stored, table
 from .words import Words, mix
 
 THRESHOLD = 0.8
-LEAST = 3
+LEAST = 1
 LED, LEADERS, OFTEN = 4, 8, 16
 TABLE, MARKS = 1 << 20, 1 << 23
 _SLICE = 128
@@ -87,6 +88,18 @@ def _sets(column: pa.Array, ranks: np.ndarray):
     return own[there], there - begins[own[there]], first, hashes
 
 
+def _keys(column: pa.Array, text: np.ndarray, no: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """128 bits for each of the lines given by text and number: of their words, or where size is 0 of the set of them."""
+    out, now, lines = bytearray(), -1, []
+    texts = pc.utf8_lower(column.cast(pa.large_string())).cast(pa.large_binary())
+    for i, k, n in zip(text.tolist(), no.tolist(), size.tolist(), strict=True):
+        if i != now:
+            now, lines = i, texts[i].as_py().split(b"\n")
+        words = lines[k].split()
+        out += hashlib.blake2b(b" ".join(words if n else sorted(set(words))), digest_size=16).digest()
+    return np.frombuffer(bytes(out), "<i8").reshape(-1, 2)
+
+
 def prefix_size(n, threshold: float):
     """How many of a set's n words are enough to share one with every similar set; 0 if only equal sets are similar."""
     n = np.asarray(n)
@@ -104,10 +117,10 @@ def line_sets(texts: DataFrame, ranks: np.ndarray, threshold: float, least: int)
             n = np.diff(np.append(first, len(hashes)))
             if not len(n):
                 continue
-            k1, k2 = (np.add.reduceat(mix(hashes ^ np.uint64(salt)), first).view(np.int64) for salt in (0x1B03738712FAD5C9, 0x6A09E667F3BCC908))
             bit, high = np.uint64(1) << (hashes >> np.uint64(58)), (hashes >> np.uint64(57)) & np.uint64(1) > 0
             b1, b2 = (np.bitwise_xor.reduceat(np.where(own, bit, np.uint64(0)), first).view(np.int64) for own in (~high, high))
             size = prefix_size(n, threshold)
+            keys = _keys(batch.column(1), text, no, size)
             place = np.arange(len(hashes)) - np.repeat(first, n)
             # 32 bits of each word: words that these take for the same only propose pairs
             words = (hashes[place < np.repeat(size, n)] >> np.uint64(20)).astype(np.uint32).view(np.int32)
@@ -118,7 +131,7 @@ def line_sets(texts: DataFrame, ranks: np.ndarray, threshold: float, least: int)
             common &= so_far - np.repeat(so_far[first] - common[first], n) <= LED
             leads = np.add.reduceat(common.astype(np.int32), first)
             lead = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(leads)).astype(np.int32)), pa.array(place[common].astype(np.int32)))
-            out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(no.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(b1), pa.array(b2), prefix, lead], ["id", "no", "n", "k1", "k2", "b1", "b2", "prefix", "lead"])
+            out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(no.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(b1), pa.array(b2), prefix, lead], ["id", "no", "n", "k1", "k2", "b1", "b2", "prefix", "lead"])
             yield out.filter(pa.array(n >= least))
 
     return texts.mapInArrow(run, _LINE)
@@ -295,7 +308,7 @@ def op2_lines(spark, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS no FROM documents WHERE text IS NOT NULL),
 t AS (SELECT *, list_distinct(regexp_extract_all(lower(line), '[^ \\t\\r\\f\\x0B\\n]+')) AS w FROM l),
-s AS (SELECT doc_id, no, list_sort(w) AS w, len(w) AS n FROM t WHERE len(w) >= 3),
+s AS (SELECT doc_id, no, list_sort(w) AS w, len(w) AS n FROM t WHERE len(w) >= 1),
 c AS (SELECT w, n, min({'d': doc_id, 'k': no}) AS spot FROM s GROUP BY w, n),
 x AS (SELECT spot, n, unnest(w) AS word FROM c),
 f AS (SELECT word, count(*) AS df FROM x GROUP BY word),

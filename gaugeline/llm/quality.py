@@ -31,7 +31,7 @@ BITS = 18
 PRIOR = 1 << BITS
 SPREAD = 1.5
 SHORTEST, REPEATED = 50, 50
-BROADCAST_IDS = 1_000_000  # trusted ids are broadcast up to so many (8 MB), joined beyond
+BROADCAST_IDS = 200_000  # trusted ids are broadcast up to so many (about 14 MB), joined beyond
 _SYMBOLS = b"#*$%&|<>"
 _BINS = 1000  # to one unit of a score, where its quantiles are looked up
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -13,8 +13,9 @@ anchor anything? The chunk then sends the full windows around anchors with the s
 bit again: does a smaller id have it elsewhere? A hash as common as a third of all documents is one entry for each
 chunk. The texts are shuffled once; the hashes take about three bytes a word, the answers a bit.
 
-Anchors use 32 bits beside the bucket (a false one costs a comparison); full windows use 64 bits beside a bucket that
-is chosen by other bits, and the number of buckets grows with the words, so a false match stays improbable at any size.
+Anchors use 32 bits of a quick hash beside the bucket: a false one costs a comparison and no more. Full windows are held
+against each other by 128 bits of BLAKE2 of their words, joined by single spaces, so that no two different windows that
+anyone can write down are taken for the same.
 
 Words are runs of what is not ASCII white space. Null texts have no words. A row with a null id is never changed and
 removes nothing. Rows that repeat an id don't remove each other's words. Texts shorter than a window are unchanged.
@@ -37,7 +38,6 @@ from .words import Words, mix
 WIDTH = 13
 CHUNK = 4_000_000
 BUCKET_WORDS = 3_000_000
-_OTHER = 0xC2B2AE3D27D4EB4F | 1
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -51,7 +51,7 @@ def _unpack(data: bytes, dtype) -> np.ndarray:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T).tobytes()
 
 
 def _unplanes(data: bytes, dtype) -> np.ndarray:
@@ -81,21 +81,36 @@ class _Chunk:
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
         self.at = np.arange(len(self.words)) - self.first[self.doc]
 
-    def windows(self, width: int, of: np.ndarray | None = None, multiplier: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and first word of every window within one named document, or of those of the first words given."""
-        n = len(self.words) - width + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def places(self, width: int, of: np.ndarray | None = None) -> np.ndarray:
+        """The first word of every window within one named document, or of those of the first words given."""
+        n = max(0, len(self.words) - width + 1)
         at = np.arange(n) if of is None else of[of < n]
-        at = at[(self.doc[at] == self.doc[at + width - 1]) & self.named[self.doc[at]]]
+        return at[(self.doc[at] == self.doc[at + width - 1]) & self.named[self.doc[at]]]
+
+    def hashed(self, width: int, at: np.ndarray) -> np.ndarray:
+        """A quick hash of each window."""
         total = np.zeros(len(at), np.uint64)
         for k in range(width):
-            total = total * np.uint64(multiplier) + self.words[at + k]
-        return mix(total), at
+            total = total * np.uint64(0xD6E8FEB86659FD93) + self.words[at + k]
+        return mix(total)
+
+    def digests(self, width: int, at: np.ndarray) -> np.ndarray:
+        """128 bits of the words of each window (ascending places), as two columns of 64."""
+        out = bytearray()
+        for doc, a, b in _by_bucket(self.doc[at]):
+            words = (self.batch.column("text")[doc].as_py() or "").encode().split()
+            joined = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            first = self.at[at[a:b]]
+            starts = np.where(first > 0, ends[first - 1], 0)
+            for i, j in zip(starts.tolist(), (ends[first + width - 1] - 1).tolist(), strict=True):
+                out += hashlib.blake2b(joined[i:j], digest_size=16).digest()
+        return np.frombuffer(bytes(out), "<u8").reshape(-1, 2)
 
     def probes(self, buckets: int):
         """For each bucket its sorted probe hashes (32 bits), flags (1: reference block, 2: in several documents), and the probes' words and places."""
-        hashes, at = self.windows(self.block)
+        at = self.places(self.block)
+        hashes = self.hashed(self.block, at)
         bucket = (hashes >> np.uint64(32)) % np.uint64(buckets)
         key = (bucket << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
         unique, place = np.unique(key, return_inverse=True)
@@ -108,22 +123,22 @@ class _Chunk:
         return unique, reference | (low < high).astype(np.uint8) * np.uint8(2), at, place
 
     def around(self, anchors: np.ndarray, buckets: int):
-        """For the full windows that hold an anchored probe: sorted keys by bucket, smallest ids, and the windows' words and places."""
+        """For the full windows that hold an anchored probe: sorted digests by bucket, smallest ids, and the windows' words and places."""
         near = np.zeros(len(self.words) + 1, np.int64)
         np.add.at(near, np.maximum(anchors - (self.width - self.block), 0), 1)
         np.add.at(near, anchors + 1, -1)
-        hashes, at = self.windows(self.width, np.flatnonzero(np.cumsum(near[:-1]) > 0))
-        other, _ = self.windows(self.width, at, _OTHER)
-        bucket = (other >> np.uint64(20)) % np.uint64(buckets)
-        order = np.lexsort((hashes, bucket))
+        at = self.places(self.width, np.flatnonzero(np.cumsum(near[:-1]) > 0))
+        digests = self.digests(self.width, at)
+        bucket = digests[:, 1] % np.uint64(buckets)
+        order = np.lexsort((digests[:, 1], digests[:, 0], bucket))
         new = np.ones(len(order), bool)
-        new[1:] = (np.diff(hashes[order]) != 0) | (np.diff(bucket[order]) != 0)
+        new[1:] = (np.diff(digests[order], axis=0) != 0).any(1)
         place = np.empty(len(order), np.int64)
         place[order] = np.cumsum(new) - 1
         first = order[new]
         low = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(low, place, self.ids[self.doc[at]])
-        return hashes[first], bucket[first], low, at, place
+        return digests[first], bucket[first], low, at, place
 
 
 def _by_bucket(bucket: np.ndarray) -> list[tuple[int, int, int]]:
@@ -188,16 +203,23 @@ def _repeats(docs, id_col, text_col, width, chunk_bytes, bucket_words, digest):
 
     def send_windows(key, batch, answers):
         chunk = _Chunk(batch, width)
-        hashes, bucket, low, _, _ = chunk.around(anchored(chunk, answers), buckets)
-        return _sent(key[0].as_py(), [(b, _pack(hashes[s:e]), _planes(low[s:e])) for b, s, e in _by_bucket(bucket)])
+        digests, bucket, low, _, _ = chunk.around(anchored(chunk, answers), buckets)
+        return _sent(key[0].as_py(), [(b, _pack(digests[s:e, 0]), _planes(digests[s:e, 1]) + _planes(low[s:e])) for b, s, e in _by_bucket(bucket)])
 
     def find_repeats(batch):
-        hashes = [_unpack(x, np.uint64) for x in batch.column("hashes").to_pylist()]
-        low = np.concatenate([_unplanes(x, np.int64) for x in batch.column("more").to_pylist()])
-        _, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        least = np.full(int(place.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+        high = [_unpack(x, np.uint64) for x in batch.column("hashes").to_pylist()]
+        more = batch.column("more").to_pylist()
+        rest = np.concatenate([_unplanes(x[: len(x) // 2], np.uint64) for x in more])
+        low = np.concatenate([_unplanes(x[len(x) // 2 :], np.int64) for x in more])
+        every = np.concatenate(high)
+        order = np.lexsort((rest, every))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(every[order]) != 0) | (np.diff(rest[order]) != 0)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        least = np.full(int(new.sum()), np.iinfo(np.int64).max)
         np.minimum.at(least, place, low)
-        return _reply(batch, hashes, least[place] < low)
+        return _reply(batch, high, least[place] < low)
 
     names = [id_col, "n_words", "n_removed", "kept_sha256" if digest else "kept"]
 
@@ -205,8 +227,8 @@ def _repeats(docs, id_col, text_col, width, chunk_bytes, bucket_words, digest):
         chunk = _Chunk(batch, width)
         first = answers.filter(pa.compute.equal(answers.column("round"), 1))
         second = answers.filter(pa.compute.equal(answers.column("round"), 2))
-        hashes, bucket, low, at, place = chunk.around(anchored(chunk, first), buckets)
-        elsewhere = _answers(second, len(hashes), _by_bucket(bucket))
+        digests, bucket, low, at, place = chunk.around(anchored(chunk, first), buckets)
+        elsewhere = _answers(second, len(digests), _by_bucket(bucket))
         hit = at[elsewhere[place] | (low[place] < chunk.ids[chunk.doc[at]])]
         cover = np.zeros(len(chunk.words) + 1, np.int64)
         cover[: len(chunk.words)] += np.bincount(hit, minlength=len(chunk.words))[: len(chunk.words)]

@@ -6,8 +6,8 @@ and id, and each is compared with at least the WINDOW before it. The order is a
 strings are split like any others. Verified pairs of all passes are united into components. Hashes are taken of unit
 vectors less their label's mean, so that a direction that a label shares costs no bits. The number of passes of a label
 follows from how crowded the sorted keys of a sample of it are: as many as meet a pair at the threshold with the target
-recall. Labels of a few blocks, and labels with so many passes that this costs less, are compared wholly. The windows
-bound what one pass sees of a large group; the exact way for the rest is that afterwards all vectors of a component are
+recall; a label of one window needs one pass. Only labels so crowded that more than MOST passes would be needed are compared
+wholly, in pairs of blocks. The windows bound what one pass sees of a large group; the exact way for the rest is that afterwards all vectors of a component are
 compared with each other, in pairs of blocks, which gives every link inside it.
 
 Null labels, null or zero vectors, and vectors with null or non-finite components link with nothing; vectors of
@@ -23,13 +23,14 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, slices, table
 from .groups import blocks, components, forest
 
 THRESHOLD, RECALL = 0.93, 0.9999
-BITS, WINDOW, BLOCK = 32, 64, 512
+BITS, WINDOW, BLOCK, MOST = 32, 64, 512, 512
 _FEW, _SAMPLE, _PILOT, _LAG = 4, 4096, 8, 16
 
 
@@ -96,44 +97,38 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     # vectors of another length are of another label
     good = every.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & sound).select("id", F.concat_ws(":", F.size("v"), "label").alias("label"), "v")
     good = cut(good.groupBy("id").agg(F.min(F.struct("label", "v")).alias("x")).select("id", "x.label", "x.v"))
-    sizes = good.groupBy("label").count().filter(F.col("count") > 8 * BLOCK)
-    sample = good.join(F.broadcast(sizes), "label").filter(F.pmod(F.xxhash64("id", F.lit(9)), F.col("count")) < _SAMPLE)
-    block, span = BLOCK, WINDOW
+    sizes = good.groupBy("label").count().filter(F.col("count") > 1)
+    sample = good.join(sizes, "label").filter(F.pmod(F.xxhash64("id", F.lit(9)), F.col("count")) < _SAMPLE)
+    span = WINDOW
 
     def measure(batch: pa.Table) -> pa.Table:
         size, unit = batch.column("count")[0].as_py(), _unit(_matrix(batch.column("v")))
         mean = unit.mean(0)
-        n = max(passes(size, threshold, recall, span), crowded(unit - mean, size, threshold, recall, span))
-        # a member of a label that is compared wholly is copied once for each block, otherwise twice for each pass
-        return pa.table({"label": batch.column("label")[:1], "n": pa.array([0 if n * block >= size else n], pa.int32()), "mean": pa.array([mean.tolist()])})
+        n = 1 if size <= span else max(passes(size, threshold, recall, span), crowded(unit - mean, size, threshold, recall, span))
+        return pa.table({"label": batch.column("label")[:1], "n": pa.array([n if n <= MOST else 0], pa.int32()), "mean": pa.array([mean.tolist()])})
 
-    # at most one row for every eight blocks of vectors
-    plan = cut(sample.select("label", "count", "v").groupBy("label").applyInArrow(measure, "label string, n int, mean array<double>").filter("n > 0"))
-    by_label = {r["label"]: (r["n"], np.array(r["mean"])) for r in plan.collect()}
+    # a row for each label; a label's sample is a bounded group
+    plan = cut(sample.select("label", "count", "v").groupBy("label").applyInArrow(measure, "label string, n int, mean array<double>"))
 
     def keys(batches):
         for batch in slices(batches, 4096):
             labels = np.array(batch.column(1).to_pylist())
             for label in np.unique(labels):
-                if label not in by_label:
-                    continue
-                n, mean = by_label[label]
                 own = batch.filter(pa.array(labels == label))
-                x = _unit(_matrix(own.column(2))) - mean
-                for turn in range(n):
+                x = _unit(_matrix(own.column(2))) - _matrix(own.column(4).slice(0, 1))
+                for turn in range(own.column(3)[0].as_py()):
                     yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.full(len(x), turn, np.int32)), pa.array(_keys(x, turn))], ["id", "label", "pass", "key"])
 
     order = ["pass", "label", "key", "id"]
-    ranked = good.mapInArrow(keys, "id long, label string, pass int, key long").repartitionByRange(*order).sortWithinPartitions(*order)
+    turned = good.join(plan.filter("n > 0"), "label").select("id", "label", "v", "n", "mean")
+    ranked = turned.mapInArrow(keys, "id long, label string, pass int, key long").repartitionByRange(*order).sortWithinPartitions(*order)
     ranked = cut(ranked.select("id", F.monotonically_increasing_id().alias("at")))
+    # where each partition's places begin: a row for each partition
     part = F.shiftright("at", 33)
-    counts = dict(ranked.groupBy(part.alias("p")).count().collect())  # one number for each partition
-    offsets, total = [], 0
-    for p in sorted(counts):
-        offsets += [F.lit(p), F.lit(total)]
-        total += counts[p]
-    window = F.floor(((F.create_map(*offsets)[part] if offsets else F.lit(0)) + F.col("at").bitwiseAND((1 << 33) - 1)) / WINDOW).cast("long")
-    windows = ranked.select("id", F.explode(F.array(window, window + 1)).alias("window"))
+    before = W.partitionBy(F.lit(0)).orderBy("p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    window = F.floor((F.col("offset") + F.col("at").bitwiseAND((1 << 33) - 1)) / WINDOW).cast("long")
+    windows = ranked.join(F.broadcast(offsets), part == F.col("p")).select("id", F.explode(F.array(window, window + 1)).alias("window"))
 
     def compare(batch: pa.Table) -> pa.Table:
         ids, labels = batch.column("id").to_numpy(), np.array(batch.column("label").to_pylist())
@@ -155,11 +150,10 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         roots = forest(nodes, *np.nonzero(np.triu(match)))
         return pa.table({"a": nodes[roots != nodes], "b": roots[roots != nodes]})
 
-    whole = good.select("id", "label").join(F.broadcast(plan.select("label")), "label", "left_anti")
+    # labels for which passes would be too many
+    whole = good.select("id", "label").join(plan.filter("n = 0").select("label"), "label", "left_semi")
     whole = blocks(whole, "label", "id", BLOCK).select("id", "block_pair", "side").join(good.select("id", "v"), "id")
-    edges = whole.groupBy("block_pair").applyInArrow(across, "a long, b long")
-    if by_label:
-        edges = edges.unionByName(windows.join(good, "id").groupBy("window").applyInArrow(compare, "a long, b long"))
+    edges = whole.groupBy("block_pair").applyInArrow(across, "a long, b long").unionByName(windows.join(good, "id").groupBy("window").applyInArrow(compare, "a long, b long"))
     group = cut(components(edges))
 
     def count(batch: pa.Table) -> pa.Table:

@@ -65,12 +65,12 @@ class Words:
 
     def words_of(self, text: int) -> list[bytes]:
         """The words of one text."""
-        own = slice(self.first_word[text], self.first_word[text] + self.counts[text])
-        return [bytes(self.raw[a:b]) for a, b in zip(self.starts[own], self.ends[own], strict=True)]
+        return self.raw[self.offsets[text] : self.offsets[text + 1]].tobytes().split()
 
     def hashes(self) -> np.ndarray:
         """64 bits of each word: every eight bytes are mixed with a number of their place, the results summed and mixed
-        with the length. Mixing is not linear, so no pattern of letters makes two words meet other than by chance."""
+        with the length. Long words with equal hashes can be made on purpose, so this may propose what is alike but never
+        decide it."""
         size = self.ends - self.starts
         padded = np.zeros(len(self.raw) + 8, np.uint8)
         padded[: len(self.raw)] = self.raw

@@ -107,7 +107,7 @@ def test_registered_bands(spark, docs):
     assert got.filter("n_links = 1 and class_id = doc_id - doc_id % 2").count() == len(rows)
 
 
-def brute_lines(rows, threshold=0.8, least=3):
+def brute_lines(rows, threshold=0.8, least=1):
     every = [(i, k, frozenset(line.lower().replace("\t", " ").split(" ")) - {""}) for i, t in rows if t is not None and i is not None for k, line in enumerate(t.split("\n"))]
     every = sorted(x for x in every if len(x[2]) >= least)
     return {(i, k) for n, (i, k, s) in enumerate(every) if any(len(s & o) >= threshold * len(s | o) - 1e-9 for _, _, o in every[:n])}
@@ -219,8 +219,7 @@ def test_vectors(spark, monkeypatch):
     assert V.near_duplicates(df.limit(0)).count() == 0 and V.passes(10**6) > V.passes(10**4) >= V.passes(10)
 
 
-def test_vectors_of_one_direction(spark, monkeypatch):
-    monkeypatch.setattr(V, "BLOCK", 8)  # so that passes are cheaper than comparing the label wholly
+def test_vectors_of_one_direction(spark):
     rng = np.random.default_rng(4)
     n, dim, turn = 4000, 64, 2 * np.pi / 360 * 20.7  # cosine 0.935
     own = rng.standard_normal((n, dim)) / 8 + 2 * np.eye(dim)[0]  # mean cosine 0.8
@@ -237,3 +236,43 @@ def test_vectors_of_one_direction(spark, monkeypatch):
         got[r.vec_id] = r.n_links
     assert want.sum() >= 800 and 0.75 < cosine.mean() < 0.85
     assert (got != want).sum() <= 2
+
+
+def test_vectors_in_whole_labels(spark, monkeypatch):
+    """Labels too crowded for passes are compared in blocks; a cosine of exactly the threshold links."""
+    monkeypatch.setattr(V, "MOST", 0)
+    monkeypatch.setattr(V, "BLOCK", 3)
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.6, 0.8], i % 3) for i in range(30)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in V.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold=0.6).collect()}
+    assert got == {i: (9, i % 3) for i in range(30)}
+    apart = V.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold=0.61).collect()
+    assert {r.n_links for r in apart} == {4}
+
+
+# words of sixteen letters that the quick hash takes for the same
+ALIKE = ("nmspanheeoqczcva", "kgbqzfpxo!#0m4r%")
+
+
+def test_hashes_only_propose(spark, docs):
+    from gaugeline.llm.words import Words
+    import pyarrow as pa
+
+    one, two = Words(pa.array(ALIKE)).hashes()
+    rows = [(1, " ".join([ALIKE[0]] * 13)), (2, " ".join([ALIKE[1]] * 13))]
+    made = docs(rows)
+    assert {r.n_removed for r in S.mark_repeats(made).collect()} == {0}
+    assert {r.doc_id: r.text for r in N.dedup_lines(made).collect()} == dict(rows)
+    assert {r.n_links for r in J.links(made).collect()} == {0}
+    assert one == two  # or this test shows nothing
+
+
+def test_lines_of_one_set_in_another_order(spark, docs):
+    rows = [(1, "a b c d e f"), (2, "f e d c b a"), (3, "x y"), (4, "y  x x"), (5, "y"), (6, "x y z")]
+    got = {r.doc_id: r.text for r in N.dedup_lines(docs(rows)).collect()}
+    assert got == {1: "a b c d e f", 2: "", 3: "x y", 4: "", 5: "y", 6: "x y z"}
+
+
+def test_links_of_one_set_in_another_order(spark, docs):
+    a, b = "p q r s t u v", "k l m n o p0 q0"
+    rows = [(1, f"{a} {b} {a} {b}"), (2, f"{a} {b} {a} {b} {a} {b}"), (3, f" {a.upper()}\n{b} {a} {b}"), (4, "z")]
+    assert {r.doc_id: (r.class_id, r.n_links) for r in J.links(docs(rows)).collect()} == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 0)}
