@@ -59,14 +59,19 @@ def to_number(raw: Column) -> Column:
 
 
 def first_number(attrs: Column, *keys: str) -> Column:
-    """The first value that reads as a finite number."""
-    return F.coalesce(*[to_number(get(attrs, k)) for k in keys])
+    """The first value that reads as a finite number. Each is read in a lambda: its expression stands in a plan once."""
+    return F.get(F.filter(F.transform(F.array(*[get(attrs, k) for k in keys]), to_number), lambda n: n.isNotNull()), F.lit(0))
 
 
 def subset(bag: Column, prefixes: tuple[str, ...], longest: int = 500, total: int = 4000) -> Column:
-    """JSON of the attributes with these prefixes, in order, values cut with an ellipsis, up to the first that would exceed the total."""
+    """JSON of the attributes with these prefixes, in order, values cut with an ellipsis, up to the first that would exceed the total.
+
+    A repeated key stands where it came first, with the value that came last.
+    """
     keep = F.lit(False)
-    own = F.filter(bag, lambda x: _starts(x["key"], prefixes))
+    named = F.filter(bag, lambda x: _starts(x["key"], prefixes))
+    last = lambda key: F.element_at(F.filter(named, lambda y: y["key"] == key), -1)["value"]
+    own = F.transform(F.array_distinct(F.transform(named, lambda x: x["key"])), lambda key: F.struct(key.alias("key"), last(key).alias("value")))
     own = F.transform(own, lambda x: F.struct(x["key"].alias("key"), F.when(F.char_length(x["value"]) > longest, F.concat(F.substring(x["value"], 1, longest), F.lit("…"))).otherwise(x["value"]).alias("value")))
     start = F.struct(F.lit(0).alias("size"), keep.alias("full"), F.array().cast(BAG).alias("kept"))
 
@@ -76,10 +81,8 @@ def subset(bag: Column, prefixes: tuple[str, ...], longest: int = 500, total: in
         return F.struct(size.alias("size"), full.alias("full"), F.when(full, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x))).alias("kept"))
 
     kept = F.aggregate(own, start, step, lambda acc: acc["kept"])
-    # JSON by hand keeps the order and allows a repeated key: the later one is dropped
-    unique = F.filter(kept, lambda x, i: ~F.exists(F.slice(kept, F.lit(1), i), lambda y: y["key"] == x["key"]))
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), '^\\{"v":(.*)\\}$', 1)
-    return F.concat(F.lit("{"), F.array_join(F.transform(unique, lambda x: F.concat(quoted(x["key"]), F.lit(":"), quoted(x["value"]))), ","), F.lit("}"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(kept, lambda x: F.concat(quoted(x["key"]), F.lit(":"), quoted(x["value"]))), ","), F.lit("}"))
 
 
 def _starts(key: Column, prefixes: tuple[str, ...]) -> Column:

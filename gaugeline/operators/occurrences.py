@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.instants import utc_minute
 from ..schemas import METRIC_KEY, SEVERITIES
 
 
@@ -72,7 +73,7 @@ def browser_usage(events: DataFrame) -> DataFrame:
     bad = as_severity(F.col("severity"), default_severity(kind)).isin("fatal", "error")
     one = lambda c: F.when(c, 1).otherwise(0).cast("long")
     rows = events.filter((kind != "track_event") | (F.coalesce(name, F.lit("")) != "")).select(
-        "org_id", "repository_id", "service", "environment", F.coalesce("release", F.lit("")).alias("release"), route.alias("route"), F.date_trunc("minute", "occurred_at").alias("bucket_at"),
+        "org_id", "repository_id", "service", "environment", F.coalesce("release", F.lit("")).alias("release"), route.alias("route"), utc_minute(F.col("occurred_at")).alias("bucket_at"),
         one(kind != "session_start").alias("request_count"), one(~kind.isin("session_start", "track_event") & bad).alias("error_count"), F.lit(0.0).alias("duration_sum_ms"), one(kind == "session_start").alias("session_count"),
     )
     return merge_usage(rows)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.instants import utc_partition
 from ..schemas import LAYOUT, TABLES
 
 PARTITION, WRITE = "event_date", "write_id"
@@ -60,7 +61,7 @@ def append(df: DataFrame, path: str, table: str, tenant: dict[str, str] | None =
     A write's rows lie in folders of their own. A write that names itself replaces what an earlier try of it left there.
     """
     keys, at, form = LAYOUT[table]
-    rows = conform(df, table, tenant).withColumn(PARTITION, F.date_format(at, form))
+    rows = conform(df, table, tenant).withColumn(PARTITION, utc_partition(F.col(at), form))
     # one shuffle by partition and tenant; a large day is split by adaptive execution
     rows = rows.hint("rebalance", PARTITION, "org_id").sortWithinPartitions(PARTITION, *keys)
     rows = rows.withColumn(WRITE, F.lit(write_id or uuid.uuid4().hex))
@@ -68,9 +69,12 @@ def append(df: DataFrame, path: str, table: str, tenant: dict[str, str] | None =
 
 
 def read(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """All rows; files written before a column was added give its default."""
+    """All rows of live parts (plans.parts); files written before a column was added give its default."""
+    from .parts import read_live, unmerged
+
     stored = T.StructType([*schema(table).fields, T.StructField(PARTITION, T.StringType()), T.StructField(WRITE, T.StringType())])
-    df = spark.read.schema(stored).parquet(f"{path}/{table}")
+    # nothing was ever merged: the folder as a whole, also where its files lie otherwise
+    df = spark.read.schema(stored).parquet(f"{path}/{table}") if unmerged(spark, path, table) else read_live(spark, path, table)
     return df.select(*[F.coalesce(c, _default(d).cast(k)).alias(c) if d is not None else F.col(c) for c, k, d in TABLES[table]], PARTITION)
 
 
@@ -79,14 +83,14 @@ def for_tenant(df: DataFrame, table: str, org: str, repository: str, start: Colu
     _, at, form = LAYOUT[table]
     out = df.filter((F.col("org_id") == org) & (F.col("repository_id") == repository))
     if start is not None:
-        out = out.filter((F.col(at) >= start) & (F.col(PARTITION) >= F.date_format(start, form)))
+        out = out.filter((F.col(at) >= start) & (F.col(PARTITION) >= utc_partition(start, form)))
     if end is not None:
-        out = out.filter((F.col(at) < end) & (F.col(PARTITION) <= F.date_format(end, form)))
+        out = out.filter((F.col(at) < end) & (F.col(PARTITION) <= utc_partition(end, form)))
     return out
 
 
 def unexpired(df: DataFrame, at: str, days: int, as_of: Column) -> DataFrame:
-    return df.filter(F.col(at) + F.make_interval(days=F.lit(days)) > as_of)
+    return df.filter(F.col(at) + F.make_dt_interval(F.lit(days)) > as_of)
 
 
 def expired_partitions(spark: SparkSession, path: str, table: str, days: int, as_of: str) -> list[str]:

@@ -138,11 +138,11 @@ _KEYS = [("key0", "org0", "repo0", "server", []), ("key1", "org1", "repo1", "cli
 
 @query("auth_gate", """WITH k AS (SELECT * FROM (VALUES ('key0', 'org0', 'server', CAST([] AS VARCHAR[])), ('key1', 'org1', 'client', CAST([] AS VARCHAR[])), ('key2', 'org2', 'client', ['https://a.test'])) k(key, org_id, scope, origins)),
 r AS (SELECT event_id AS request_id, CASE WHEN user_id % 5 = 4 THEN NULL ELSE concat('key', user_id % 5) END AS key, CASE WHEN event_id % 2 = 0 THEN 'otlp' ELSE 'browser' END AS surface, CASE WHEN event_id % 3 = 0 THEN 'https://a.test' END AS origin, ts FROM events),
-c AS (SELECT r.*, org_id, scope, CASE WHEN key IS NULL THEN 'missing ingest key' WHEN org_id IS NULL THEN 'invalid ingest key' WHEN scope = 'client' AND surface <> 'browser' THEN 'client keys cannot send OTLP'
+c AS (SELECT r.*, org_id, scope, CASE WHEN key IS NULL THEN 'missing ingest key' WHEN org_id IS NULL THEN 'invalid ingest key' WHEN scope = 'client' AND surface <> 'browser' THEN 'client keys cannot send OTLP — use a server key'
  WHEN scope = 'client' AND len(origins) > 0 AND NOT coalesce(list_contains(origins, origin), FALSE) THEN 'origin not allowed for this key' END AS no FROM r LEFT JOIN k USING (key)),
 w AS (SELECT *, row_number() OVER (PARTITION BY key, no IS NULL, date_trunc('minute', ts) ORDER BY ts, request_id) AS n FROM c),
 x AS (SELECT request_id, org_id, coalesce(no, CASE WHEN n > CASE WHEN scope = 'client' THEN 1 ELSE 2 END THEN 'rate limit exceeded' END) AS reason FROM w)
-SELECT request_id, org_id, reason, CASE reason WHEN 'missing ingest key' THEN 401 WHEN 'invalid ingest key' THEN 401 WHEN 'rate limit exceeded' THEN 429 WHEN 'client keys cannot send OTLP' THEN 403 WHEN 'origin not allowed for this key' THEN 403 ELSE 202 END AS status FROM x""")
+SELECT request_id, org_id, reason, CASE reason WHEN 'missing ingest key' THEN 401 WHEN 'invalid ingest key' THEN 401 WHEN 'rate limit exceeded' THEN 429 WHEN 'client keys cannot send OTLP — use a server key' THEN 403 WHEN 'origin not allowed for this key' THEN 403 ELSE 202 END AS status FROM x""")
 def auth_gate(spark, d):
     u = F.col("user_id") % 5
     r = V.table(spark, d, "events").select(F.col("event_id").alias("request_id"), F.when(u != 4, F.concat(F.lit("key"), u.cast("string"))).alias("key"), F.when(F.col("event_id") % 2 == 0, "otlp").otherwise("browser").alias("surface"), F.when(F.col("event_id") % 3 == 0, "https://a.test").alias("origin"), F.col("ts").alias("at"))
@@ -246,14 +246,23 @@ def relay_sanitize(spark, d):
     return sanitize(e.select("event_id", value.alias("value"))).select("event_id", "clean")
 
 
-@query("sink_envelopes")
+@query("sink_envelopes", f"""WITH {_O}, {_U[_U.index("r AS (SELECT org_id"):]}, {_C},
+w AS (SELECT org_id, repository_id, count(*) AS n FROM (SELECT org_id, repository_id FROM o UNION ALL SELECT org_id, repository_id FROM u UNION ALL SELECT 'org0', 'repo0' FROM c) GROUP BY ALL),
+p AS (SELECT org_id, repository_id, concat('{{"service":"', service, '","environment":"', environment, '","release":"', release, '","route":"', route, '","bucket_at":"', strftime(bucket_at, '%Y-%m-%dT%H:%M:%S.000Z'), '","request_count":', request_count,
+ ',"error_count":', error_count, ',"duration_sum_ms":0.0,"session_count":', session_count, '}}') AS row, bucket_at AS t FROM u),
+h AS (SELECT *, CAST(concat('0x', substring(md5(concat('metrics:', row)), 1, 12)) AS BIGINT) % CAST(ceil(n / 500.0) AS BIGINT) AS part FROM p JOIN w USING (org_id, repository_id))
+SELECT org_id, repository_id, substring(sha256(concat('replay-1', chr(0), org_id, chr(0), repository_id, chr(0), part)), 1, 32) AS batch_id, count(*) AS metrics, min(t) AS first, max(t) AS last, md5(string_agg(row, ',' ORDER BY row)) AS metrics_md5 FROM h GROUP BY org_id, repository_id, part""")
 def sink_envelopes(spark, d):
     from .streaming.sink import envelopes
 
     found = store.conform(_found(spark, d), "error_occurrences").drop("ingested_at")
     usage = occurrences.browser_usage(V.browser_events(spark, d))
     made = calls.extract_calls(V.call_spans(spark, d))
-    return envelopes(found, usage, made, "replay-1")
+    got = envelopes(found, usage, made, "replay-1")
+    # of each body the metrics, as they stand in it; parts without any have none to show
+    inner = F.regexp_extract("body", '"metrics":\\[(.*)\\],"llmCalls":', 1)
+    each = got.select("org_id", "repository_id", "batch_id", inner.alias("inner"), F.explode(F.from_json(F.concat(F.lit("["), inner, F.lit("]")), "array<struct<bucket_at:timestamp>>")).alias("m"))
+    return each.groupBy("org_id", "repository_id", "batch_id", F.md5(F.col("inner").cast("binary")).alias("metrics_md5")).agg(F.count("*").alias("metrics"), F.min("m.bucket_at").alias("first"), F.max("m.bucket_at").alias("last"))
 
 
 @query("streaming_rollup", SQL["browser_rollup_1m"])
@@ -261,7 +270,7 @@ def streaming_rollup(spark, d):
     """The stored partial sums of a stream over the same events, read back."""
     from .streaming.jobs import append_usage
 
-    from .request_queries import folder as new_folder
+    from .plans.staging import folder as new_folder
 
     folder = new_folder(spark, "rollup")
     V.browser_events(spark, d).write.parquet(f"{folder}/in")

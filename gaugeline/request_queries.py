@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,19 +12,10 @@ from . import adapters as V
 from .functions import text as T
 from .operators import calls, gate, occurrences, sampling, traces
 from .plans import store
-from .queries import _C as _CALLS
-from .queries import _O, query
-from .queries import _U as _U_WHOLE
+from .plans.staging import folder
+from .queries import query
 from .sources import browser, requests
-from .streaming import jobs, sink
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under the session's checkpoint folder, a local one only in local mode."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{shared}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=f"{name}-")
+from .streaming import jobs
 
 
 def _pair(key: str, **value: Column) -> Column:
@@ -289,20 +278,6 @@ def stored_calls(spark, d):
 # Streams of spans and occurrences.
 
 
-@query("stream_tails", """WITH t AS (SELECT concat(user_id, '-', dayofmonth(ts)) AS trace_id, event_id AS span_id, event_type = 'error' AND event_id % 7 = 0 AS bad FROM events)
-SELECT trace_id, span_id, TRUE AS tail_retained FROM t WHERE trace_id IN (SELECT trace_id FROM t WHERE bad)""")
-def stream_tails(spark, d):
-    """A user's events of a day as a trace in one micro-batch, its root still open: all spans of those with an error are kept, and marked."""
-    at = folder(spark, "tails")
-    bad = (F.col("event_type") == "error") & (F.col("event_id") % 7 == 0)
-    e = V.table(spark, d, "events")
-    rows = e.select(_text(F.col("user_id"), "-", F.dayofmonth("ts")).alias("trace_id"), F.col("event_id").alias("span_id"), F.lit("p").alias("parent_span_id"), bad.alias("is_error"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ended_at"))
-    rows.write.parquet(f"{at}/in")
-    kept = jobs.retain_tails(spark.readStream.schema(rows.schema).parquet(f"{at}/in"))
-    kept.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/out").select("trace_id", "span_id", "tail_retained")
-
-
 @query("stream_dedupe", f"WITH {_PAYLOADS} SELECT occurrence_id, message FROM i")
 def stream_dedupe(spark, d):
     """Every occurrence delivered twice, kept once."""
@@ -405,20 +380,6 @@ def head_sampling_keeps_models(spark, d):
 # Sink and gate.
 
 
-def _queue(spark, d) -> DataFrame:
-    e = V.table(spark, d, "events")
-    return e.select(F.col("event_id").alias("seq"), _text("org", F.col("user_id") % 5).alias("org_id"), (F.floor("value") + F.col("user_id") % 5 * 40 + 1).cast("long").alias("bytes"))
-
-
-@query("sink_evictions", """WITH q AS (SELECT event_id AS seq, concat('org', user_id % 5) AS org_id, CAST(floor(value) + user_id % 5 * 40 + 1 AS BIGINT) AS bytes FROM events),
-r AS (SELECT *, sum(bytes) OVER (PARTITION BY org_id ORDER BY seq DESC) AS held FROM q WHERE bytes <= 20000),
-k AS (SELECT *, row_number() OVER (ORDER BY held DESC, seq) AS k, sum(bytes) OVER (ORDER BY held DESC, seq) - bytes AS freed, sum(bytes) OVER () AS total, count(*) OVER () AS n FROM r)
-SELECT seq, CASE WHEN n - k + 1 > 200 THEN 'too many batches' ELSE 'too many bytes' END AS reason FROM k WHERE n - k + 1 > 200 OR (total - freed > 20000 AND n - k + 1 > 1)
-UNION ALL SELECT seq, 'larger than the buffer' FROM q WHERE bytes > 20000""")
-def sink_evictions(spark, d):
-    return sink.evictions(_queue(spark, d), 20000, 200).select("seq", "reason")
-
-
 @query("sink_outcomes", """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'delivered' WHEN event_id % 7 IN (1, 2) THEN 'permanent' WHEN user_id % 14 >= 12 THEN 'gave_up' ELSE 'retry' END AS outcome FROM events""")
 def sink_outcomes(spark, d):
     status = F.element_at(F.array(*map(F.lit, (204, 400, 413, 408, 429, 500, 503))), (F.col("event_id") % 7 + 1).cast("int"))
@@ -436,45 +397,36 @@ def relay_addresses(spark, d):
 
 
 @query("gate_keys", """SELECT concat('k', event_id) AS key, concat('o', user_id) AS org_id, CASE WHEN event_id % 2 = 0 THEN 'client' ELSE 'server' END AS scope, CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS origins FROM events WHERE event_id % 5 > 1
-UNION ALL SELECT '' AS key, concat('o', user_id), 'server', 0 FROM events WHERE event_id % 5 = 1""")
+UNION ALL SELECT '' AS key, max(concat('o', user_id)), 'server', 0 FROM events WHERE event_id % 5 = 1""")
 def gate_keys(spark, d):
-    """Key files of one entry each: numbers are no keys, an empty text is one."""
+    """Key files that name a key twice: the last entry counts. Numbers are no keys, an empty text is one, here of many files."""
     n = F.col("event_id")
     key = F.when(n % 5 == 0, n.cast("string")).when(n % 5 == 1, '""').otherwise(_text('"k', n, '"'))
     scope = F.when((n % 2 == 0) & (n % 5 > 1), ',"scope":"client"').otherwise("")
     origins = F.when((n % 4 == 0) & (n % 5 > 1), ',"allowedOrigins":["https://a.test"]').otherwise("")
-    value = _text('[{"key":', key, ',"orgId":"o', F.col("user_id"), '","repositoryId":"r"', scope, origins, "}]")
+    value = _text('[{"key":', key, ',"orgId":"first","repositoryId":"r"},{"key":', key, ',"orgId":"o', F.col("user_id"), '","repositoryId":"r"', scope, origins, "}]")
     got = gate.parse_keys(V.table(spark, d, "events").select(value.alias("value")))
     return got.select("key", "org_id", "scope", F.size("allowed_origins").alias("origins"))
 
 
-@query("sink_counters", """WITH r AS (SELECT event_id AS seq, CASE WHEN event_id % 7 = 0 THEN 'permanent' WHEN event_id % 11 = 0 THEN 'gave_up' ELSE 'delivered' END AS outcome, user_id % 4 + 1 AS attempts FROM events),
-l AS (SELECT max(seq) FILTER (outcome = 'delivered') AS last FROM r)
-SELECT count(*) FILTER (outcome = 'delivered') AS delivered, CAST(sum(attempts - 1) AS BIGINT) AS retried, count(*) FILTER (outcome <> 'delivered') AS dropped_permanent, count(*) FILTER (outcome <> 'delivered' AND seq > last) AS consecutive_failures,
- arg_max(outcome || seq, seq) FILTER (outcome <> 'delivered') AS last_failure_reason, (SELECT count(*) FROM events WHERE user_id % 5 = 0) AS dropped_overflow FROM r, l""")
-def sink_counters(spark, d):
-    n = F.col("event_id")
-    outcome = F.when(n % 7 == 0, "permanent").when(n % 11 == 0, "gave_up").otherwise("delivered")
-    e = V.table(spark, d, "events")
-    rows = e.select(n.alias("seq"), outcome.alias("outcome"), (F.col("user_id") % 4 + 1).alias("attempts"), F.concat(outcome, n.cast("string")).alias("reason"))
-    return sink.counters(rows, e.filter("user_id % 5 = 0"))
-
-
 @query("key_refresh", """WITH c AS (SELECT c_custkey AS k, concat('key', c_custkey) AS key FROM customer),
-r AS (SELECT k, key, CASE WHEN k % 5 = 0 THEN 'static' WHEN k % 3 = 0 AND k % 2 = 0 THEN 'cached' WHEN k % 7 <> 0 THEN CASE WHEN k % 4 = 1 THEN NULL ELSE 'asked' END WHEN k % 3 = 0 THEN 'cached' END AS org_id FROM c)
-SELECT key, org_id, CASE WHEN org_id = 'asked' AND k % 4 = 2 THEN 'client' ELSE 'server' END AS scope FROM r WHERE org_id IS NOT NULL""")
+r AS (SELECT k, key, CASE WHEN k % 5 = 0 THEN 'static' WHEN k % 3 = 0 AND k % 2 = 0 THEN 'cached' WHEN k % 7 <> 0 THEN CASE WHEN k % 4 = 1 THEN NULL ELSE 'asked' END WHEN k % 3 = 0 THEN 'cached' END AS org_id,
+ CASE WHEN k % 5 <> 0 AND k % 7 <> 0 AND NOT (k % 3 = 0 AND k % 2 = 0) THEN TIMESTAMP '2024-01-01 12:01:00' WHEN k % 3 = 0 AND k % 2 = 0 THEN TIMESTAMP '2024-01-01 12:01:30' WHEN k % 3 = 0 THEN TIMESTAMP '2024-01-01 11:00:00' END AS expires_at FROM c)
+SELECT key, org_id, CASE WHEN org_id = 'asked' AND k % 4 = 2 THEN 'client' WHEN org_id IS NOT NULL THEN 'server' END AS scope, expires_at FROM r WHERE org_id IS NOT NULL OR expires_at IS NOT NULL""")
 def key_refresh(spark, d):
-    """Keys of which some are static, some cached and fresh, some cached and expired, some unknown, with a validator that some calls don't reach."""
+    """Keys of which some are static, some cached and fresh, some cached and expired, some unknown, with a validator that some calls
+    don't reach: their tenants, and until when the cache then holds them."""
     k = F.col("c_custkey")
     c = V.table(spark, d, "customer").select("c_custkey", _text("key", k).alias("key"))
     tenant = lambda org, scope: (F.lit(org).alias("org_id"), F.lit("r").alias("repository_id"), scope.alias("scope"), F.array().cast("array<string>").alias("allowed_origins"))
     now = F.lit("2024-01-01 12:00:00").cast("timestamp")
     static = c.filter("c_custkey % 5 = 0").select("key", *tenant("static", F.lit("server")))
-    expires = F.when(k % 2 == 0, F.lit("2024-01-01 12:01:00")).otherwise(F.lit("2024-01-01 11:00:00")).cast("timestamp")
+    expires = F.when(k % 2 == 0, F.lit("2024-01-01 12:01:30")).otherwise(F.lit("2024-01-01 11:00:00")).cast("timestamp")
     cached = c.filter("c_custkey % 3 = 0").select("key", *tenant("cached", F.lit("server")), expires.alias("expires_at"))
     org = F.when(k % 4 != 1, "asked")
     answers = c.select("key", (k % 7 != 0).alias("reachable"), org.alias("org_id"), F.lit("r").alias("repository_id"), F.when(k % 4 == 2, "client").alias("scope"), F.lit(None).cast("array<string>").alias("allowed_origins"))
-    return gate.resolve_keys(c.select("key"), static, cached, answers, now)[0].select("key", "org_id", "scope")
+    resolved, renewed = gate.resolve_keys(c.select("key"), static, cached, answers, now)
+    return resolved.select("key", "org_id", "scope").join(renewed.select("key", "expires_at"), "key", "full")
 
 
 _RULES = ("version", "service", "type", "timestamp", "severity", "message", "line", "context", "events", "none")
@@ -492,20 +444,3 @@ def payload_rules(spark, d):
     many = F.when(k == _RULES.index("events"), F.array_join(F.array_repeat(event, 51), ",")).otherwise(event)
     value = _text('{"version":', pick("version", "1", "2"), ',"service":', pick("service", '"web"', '""'), ',"environment":"p","events":[', many, "]}")
     return browser.parse(V.table(spark, d, "events").select("event_id", value.alias("value"))).select("event_id", "valid")
-
-
-_USAGE = _U_WHOLE[_U_WHOLE.index("\nr AS") + 1 :]  # without the events, which _O has
-
-
-@query("sink_batches", f"""WITH {_O}, {_USAGE}, {_CALLS},
-p AS (SELECT org_id, repository_id, 'o' AS kind, occurred_at AS t FROM o UNION ALL SELECT org_id, repository_id, 'm', bucket_at FROM u UNION ALL SELECT 'org0', 'repo0', 'c', started_at FROM c)
-SELECT org_id, repository_id, substring(sha256(concat('replay-1', chr(0), org_id, chr(0), repository_id, chr(0), 0)), 1, 32) AS batch_id, count(*) FILTER (kind = 'o') AS occurrences, count(*) FILTER (kind = 'm') AS metrics,
- count(*) FILTER (kind = 'c') AS calls, min(t) AS signals_from, max(t) AS signals_to FROM p GROUP BY ALL""")
-def sink_batches(spark, d):
-    """One body for each tenant: its id, how many signals of each kind it holds, and their range."""
-    events = V.browser_events(spark, d)
-    found = occurrences.identify(occurrences.browser_occurrences(events).withColumn("batch_index", F.lit(0)))
-    made = calls.extract_calls(V.call_spans(spark, d))
-    got = sink.envelopes(store.conform(found, "error_occurrences").drop("ingested_at"), occurrences.browser_usage(events), made, "replay-1", rows=1 << 40)
-    count = lambda kind: F.json_array_length(F.get_json_object("body", f"$.{kind}")).cast("long")
-    return got.select("org_id", "repository_id", "batch_id", count("occurrences").alias("occurrences"), count("metrics").alias("metrics"), count("llmCalls").alias("calls"), "signals_from", "signals_to")

@@ -1,36 +1,38 @@
-"""Deliveries to a webhook: envelopes made on the cluster, sent at least once from each partition."""
+"""Envelopes for a webhook, made on the cluster, and how one is sent. Queueing and retries are in `delivery`."""
 
 from __future__ import annotations
 
-import time
 import urllib.error
 import urllib.request
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.instants import utc_text
+
 VERSION = 1
-_ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
 def _instants(df: DataFrame) -> list:
-    return [F.date_format(c, _ISO).alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes if c not in ("org_id", "repository_id")]
+    return [utc_text(F.col(c)).alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes if c not in ("org_id", "repository_id")]
 
 
 def envelopes(occurrences: DataFrame, metrics: DataFrame, calls: DataFrame, delivery: str, rows: int = 500) -> DataFrame:
     """One JSON body for each tenant and part: batch_id, org_id, repository_id, body, bytes, signals_from, signals_to.
 
-    The id is derived from the delivery's name, the tenant and the part, so a repeated delivery has the same one. Parts
-    bound what one body holds, however many signals a tenant sent.
+    The id is derived from the delivery's name, the tenant and the part, so a repeated delivery has the same one. A tenant has
+    as many parts as its signals need for `rows` in each on average; a signal's part follows from the MD5 of its kind and JSON.
+    Only the rows that go into bodies are moved, each once, by tenant and part; the tenants' sizes are counted before.
     """
-    parts = []
+    signals = []
     for name, df, at in (("occurrences", occurrences, "occurred_at"), ("metrics", metrics, "bucket_at"), ("llmCalls", calls, "started_at")):
         row = F.to_json(F.struct(*_instants(df)))
-        parts.append(df.select("org_id", "repository_id", F.lit(name).alias("kind"), row.alias("row"), F.col(at).alias("at")))
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    sizes = every.groupBy("org_id", "repository_id").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
-    every = every.join(sizes, ["org_id", "repository_id"]).withColumn("part", F.pmod(F.xxhash64("kind", "row"), F.col("parts")).cast("int"))
+        signals.append(df.select("org_id", "repository_id", F.lit(name).alias("kind"), row.alias("row"), F.col(at).alias("at")))
+    every = signals[0].unionByName(signals[1]).unionByName(signals[2])
+    sizes = [df.groupBy("org_id", "repository_id").agg(F.count("*").alias("n")) for df in (occurrences, metrics, calls)]
+    sizes = sizes[0].unionByName(sizes[1]).unionByName(sizes[2]).groupBy("org_id", "repository_id").agg(F.ceil(F.sum("n") / rows).cast("long").alias("parts"))
+    hashed = F.conv(F.substring(F.md5(F.concat("kind", F.lit(":"), "row").cast("binary")), 1, 12), 16, 10).cast("long")
+    every = every.join(sizes, ["org_id", "repository_id"]).withColumn("part", (hashed % F.col("parts")).cast("int"))
     own = lambda kind: F.array_join(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("row")))), ",")
     got = every.groupBy("org_id", "repository_id", "part").agg(own("occurrences").alias("o"), own("metrics").alias("m"), own("llmCalls").alias("c"), F.min("at").alias("signals_from"), F.max("at").alias("signals_to"))
     got = got.withColumn("batch_id", F.substring(F.sha2(F.concat_ws("\u0000", F.lit(delivery), "org_id", "repository_id", "part"), 256), 1, 32))
@@ -39,47 +41,6 @@ def envelopes(occurrences: DataFrame, metrics: DataFrame, calls: DataFrame, deli
     return got.withColumn("body", body).select("batch_id", "org_id", "repository_id", "body", F.octet_length("body").alias("bytes"), "signals_from", "signals_to")
 
 
-def evictions(queue: DataFrame, most_bytes: int, most_batches: int = 1000, org: str = "org_id", seq: str = "seq", size: str = "bytes") -> DataFrame:
-    """The batches that a full buffer gives up, with the reason: those that are larger than the buffer, which are never admitted;
-    of the rest always the oldest of the org that holds the most bytes, until no more than `most_batches` are left and fit.
-
-    The buffer's bounds are its size: the queue has few batches more than `most_batches`. Orgs are dealt out; what each can
-    lose is worked out where it lies, as steps of its remaining bytes after each of its oldest batches. All steps in falling
-    order of the bytes held before them are the order of eviction, of which as many are taken as the bounds need.
-    """
-    older = W.partitionBy(org).orderBy(seq)
-    alone = queue.filter(F.col(size) > most_bytes).withColumn("reason", F.lit("larger than the buffer"))
-    queue = queue.filter(F.col(size) <= most_bytes)
-    held = queue.withColumn("_before", F.sum(size).over(W.partitionBy(org)) - F.sum(size).over(older) + F.col(size))
-    # the org that holds the most bytes comes first; of equals the one whose oldest batch came first
-    order = W.partitionBy("_all").orderBy(F.desc("_before"), seq)
-    all_ = held.withColumn("_all", F.lit(1))
-    gone = all_.withColumn("_k", F.row_number().over(order)).withColumn("_freed", F.sum(size).over(order) - F.col(size))
-    total = queue.agg(F.sum(size).alias("_bytes"), F.count("*").alias("_count"))
-    gone = gone.join(F.broadcast(total))
-    over_count = F.col("_count") - F.col("_k") + 1 > most_batches
-    over_bytes = (F.col("_bytes") - F.col("_freed") > most_bytes) & (F.col("_count") - F.col("_k") + 1 > 1)
-    reason = F.when(over_count, "too many batches").otherwise("too many bytes")
-    return alone.unionByName(gone.filter(over_count | over_bytes).withColumn("reason", reason).select(*alone.columns))
-
-
-def counters(outcomes: DataFrame, evicted: DataFrame) -> DataFrame:
-    """What a sink reports of deliveries (outcome, attempts, reason, seq) and evictions: one row of counts, with the failures
-    since the last delivery and the last one's reason."""
-    number = lambda c: F.count(F.when(c, True))
-    kind, bad = F.col("outcome"), F.col("outcome") != "delivered"
-    last = outcomes.agg(F.max(F.when(kind == "delivered", F.col("seq"))).alias("_last"))
-    own = outcomes.crossJoin(F.broadcast(last))  # one row
-    got = own.agg(
-        number(kind == "delivered").alias("delivered"),
-        F.coalesce(F.sum(F.col("attempts") - 1), F.lit(0)).alias("retried"),
-        number(bad).alias("dropped_permanent"),
-        number(bad & (F.col("seq") > F.coalesce("_last", F.lit(-1)))).alias("consecutive_failures"),
-        F.max_by(F.when(bad, F.col("reason")), F.when(bad, F.col("seq"))).alias("last_failure_reason"),
-    )
-    return got.crossJoin(F.broadcast(evicted.agg(F.count("*").alias("dropped_overflow"))))
-
-
 def failure_reason(error: BaseException) -> str:
     if isinstance(error, TimeoutError):
         return "timeout"
@@ -96,42 +57,3 @@ def post(url: str, token: str | None, body: str, timeout: float = 10.0) -> int:
             return answer.status
     except urllib.error.HTTPError as error:
         return error.code
-
-
-def deliver(batches: DataFrame, send, *, attempts: int = 12, base: float = 1.0, cap: float = 60.0, sleep=time.sleep) -> DataFrame:
-    """Sends each body (send(body) gives a status or raises), with retries: batch_id, outcome, attempts, reason.
-
-    4xx but 408 and 429 are permanent. Waits double up to the cap, from half of it at random by the batch's id.
-    A partition sends one after the other; the number of partitions is the concurrency.
-    """
-
-    def run(batches):
-        import random
-
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = []
-            for id_, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                jitter, outcome, reason, n = random.Random(id_), "gave_up", None, 0
-                while n < attempts:
-                    n += 1
-                    try:
-                        status = send(body)
-                        reason = f"http_{status}"
-                        if 200 <= status < 300:
-                            outcome, reason = "delivered", None
-                            break
-                        if status < 500 and status not in (408, 429):
-                            outcome = "permanent"
-                            break
-                    except Exception as error:  # any failure to send is retried
-                        reason = failure_reason(error)
-                    if n < attempts:
-                        wait = min(cap, base * 2 ** (n - 1))
-                        sleep(wait / 2 + jitter.random() * wait / 2)
-                rows.append((id_, outcome, n, reason))
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], ["batch_id", "outcome", "attempts", "reason"])
-
-    return batches.select("batch_id", "body").mapInArrow(run, "batch_id string, outcome string, attempts int, reason string")

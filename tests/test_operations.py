@@ -5,7 +5,7 @@ from gaugeline.config import Settings, positive_int
 from gaugeline.operators import gate, sampling
 from gaugeline.operators import occurrences as O  # noqa: E741
 from gaugeline.plans import store
-from gaugeline.streaming import jobs, sink
+from gaugeline.streaming import jobs, sink, state
 
 
 def test_settings():
@@ -15,7 +15,7 @@ def test_settings():
 
 def test_keys(spark):
     text = '[{"key":"a","orgId":"o","repositoryId":"r"},{"key":"","orgId":"o","repositoryId":"r"},{"key":"b","orgId":"o"},{"key":"c","orgId":"o","repositoryId":"r","scope":"client","allowedOrigins":["x"]}]'
-    got = gate.parse_keys(spark.createDataFrame([(text,), ("no",)], "value string")).collect()
+    got = gate.parse_keys(spark.createDataFrame([(text,), ("no",)], "value string")).orderBy(F.desc(F.col("key") == "a"), "key").collect()
     assert [(r.key, r.scope, r.allowed_origins) for r in got] == [("a", "server", []), ("", "server", []), ("c", "client", ["x"])]
     rows = [("Bearer k ", "h", "q", "k"), ("Bearer ", "h", "q", None), ("Basic x", " h ", "q", "h"), (None, " ", "q", "q"), (None, None, None, None)]
     df = spark.createDataFrame(rows, "a string, h string, q string, want string")
@@ -116,53 +116,14 @@ def test_envelopes(spark):
     assert json.loads(got[0].body)["occurrences"][0]["occurred_at"].endswith("Z")
 
 
-def test_evictions(spark):
-    rows = [(1, "a", 40), (2, "a", 40), (3, "b", 30), (4, "a", 20), (5, "c", 500)]
-    queue = spark.createDataFrame(rows, "seq int, org_id string, bytes int")
-    assert {r.seq: r.reason for r in sink.evictions(queue, 100).collect()} == {1: "too many bytes", 5: "larger than the buffer"}
-    assert sink.evictions(queue.filter("seq < 5"), 1000).count() == 0
-    assert {r.seq: r.reason for r in sink.evictions(queue.filter("seq < 5"), 1000, 2).collect()} == {1: "too many batches", 2: "too many batches"}
-    small = spark.range(1200).selectExpr("id AS seq", "concat('o', id % 3) AS org_id", "1 AS bytes")
-    assert sink.evictions(small, 10**6).count() == 200 and sink.evictions(queue.limit(0), 10).count() == 0
-
-
-@pytest.mark.parametrize("seed", range(3))
-def test_evictions_one_by_one(spark, seed):
-    import random
-
-    rng = random.Random(seed)
-    rows = [(i, rng.choice("abc"), rng.randint(1, 30)) for i in range(60)]
-    left, gone = list(rows), []
-    while len(left) > 20 or (sum(r[2] for r in left) > 250 and len(left) > 1):
-        held = {}
-        for r in left:
-            held[r[1]] = held.get(r[1], 0) + r[2]
-        first = {o: min(r[0] for r in left if r[1] == o) for o in held}
-        org = max(held, key=lambda o: (held[o], -first[o]))
-        at = next(r for r in left if r[1] == org)
-        left.remove(at)
-        gone.append(at[0])
-    got = sink.evictions(spark.createDataFrame(rows, "seq int, org_id string, bytes int"), 250, 20)
-    assert {r.seq for r in got.collect()} == set(gone)
-
-
-def test_delivery(spark):
-    def send(body):
-        if body == "bad":
-            return 400
-        if body == "down":
-            raise OSError("refused")
-        return 503 if body == "busy" else 200
-
-    df = spark.createDataFrame([("1", "ok"), ("2", "bad"), ("3", "down"), ("4", "busy")], "batch_id string, body string")
-    got = {r.batch_id: (r.outcome, r.attempts, r.reason) for r in sink.deliver(df, send, attempts=3, sleep=lambda s: None).collect()}
-    assert got == {"1": ("delivered", 1, None), "2": ("permanent", 1, "http_400"), "3": ("gave_up", 3, "connection_error"), "4": ("gave_up", 3, "http_503")}
-
-
 def finish(writer):
     assert writer.trigger(availableNow=True).start().awaitTermination(60)
 
 
+def finish_state(spark, writer):
+    assert state.start(writer.trigger(availableNow=True), spark).awaitTermination(120)
+
+
 def test_streaming_dedupe(spark, tmp_path):
     rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:05"), ("b", "2024-01-01 00:00:01")]
     df = spark.createDataFrame(rows, "occurrence_id string, t string").select("occurrence_id", F.col("t").cast("timestamp").alias("occurred_at"))
@@ -177,8 +138,8 @@ def test_streaming_tails(spark, tmp_path):
     df = spark.createDataFrame(own, "trace_id string, span_id string, parent_span_id string, is_error boolean, n int").withColumn("ended_at", F.timestamp_seconds(F.col("n") + 1704067200)).drop("n")
     df = df.withColumn("note", F.concat(F.lit("n-"), "span_id"))
     df.write.parquet(f"{tmp_path}/in")
-    stream = jobs.retain_tails(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))
-    finish(stream.writeStream.format("memory").queryName("tails").option("checkpointLocation", f"{tmp_path}/c"))
+    stream = state.retain_tails(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))
+    finish_state(spark, stream.writeStream.format("memory").queryName("tails").option("checkpointLocation", f"{tmp_path}/c"))
     got = spark.table("tails").collect()
     assert sorted(r.span_id for r in got) == ["a", "b", "c", "f"]
     assert all(r.tail_retained and r.note == f"n-{r.span_id}" for r in got)
@@ -187,8 +148,8 @@ def test_streaming_tails(spark, tmp_path):
 def test_captured_errors_rescue(spark, tmp_path):
     df = spark.sql("SELECT 't' AS trace_id, id AS span_id, 'p' AS parent_span_id, false AS is_error, id = 2 AS captured, timestamp_seconds(1704067200 + id) AS ended_at FROM range(4)")
     df.write.parquet(f"{tmp_path}/in")
-    stream = jobs.retain_tails(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), captured="captured", most=1)
-    finish(stream.writeStream.format("memory").queryName("captured").option("checkpointLocation", f"{tmp_path}/c"))
+    stream = state.retain_tails(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), captured="captured", most=1)
+    finish_state(spark, stream.writeStream.format("memory").queryName("captured").option("checkpointLocation", f"{tmp_path}/c"))
     assert sorted(r.span_id for r in spark.table("captured").collect()) == [0, 2, 3]
 
 
