@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapters as V
 from . import request_queries as Q
+from .config import Settings
 from .operators import gate, occurrences, ranks
-from .plans import parts, store
+from .plans import parts, sketches, store, traces_layout
 from .plans.staging import folder
-from .queries import _U, SQL, query
+from .queries import SQL, query
+from .sources.bodies import read_bodies
 from .sources.issues import with_issues
 from .streaming import delivery, ingest, jobs, state
-from .config import Settings
 
 
 def dealt(df: DataFrame, path: str, batch, batches: int) -> DataFrame:
@@ -236,3 +239,61 @@ def stream_tails(spark, d):
     stream = dealt(spans, f"{at}/in", F.col("span_id").cast("long") % 4, 4)
     kept = finished(spark, state.retain_tails(stream, seconds=30, most=3), at)
     return kept.select(F.col("span_id").cast("long").alias("span_id"), F.substring("trace_id", 2, 9).cast("long").alias("trace_id"), "tail_retained")
+
+
+# Sketches, compressed bodies, repeated deliveries, traces in buckets.
+
+
+@query("sketched_percentiles", f"""WITH {V.SPANS_SQL} SELECT concat('/', substring(trace_id, 1, 1)) AS route, count(*) AS sampled, {sketches.RANK_ERROR} AS rank_error, TRUE AS p50_within, TRUE AS p95_within, TRUE AS p99_within, TRUE AS distinct_within FROM s GROUP BY ALL""")
+def sketched_percentiles(spark, d):
+    """Percentiles and numbers of traces out of stored sketches of each route and day, merged on read: whether each is within the
+    bound that the sketches state, by the exact ranks of what they say."""
+    at = folder(spark, "sketches")
+    day = F.timestamp_seconds(F.lit(1704067200) + F.unix_date(F.col("started_at").cast("date")) % 10 * 86400)  # ten days of spans
+    rows = V.spans(spark, d).withColumns({"route": F.concat(F.lit("/"), F.substring("trace_id", 1, 1)), "started_at": day}).select("org_id", "repository_id", "route", "started_at", "duration_ms", "trace_id")
+    sketches.append(sketches.route_sketches(rows), at, "all")
+    said = sketches.read(spark.read.parquet(f"{at}/route_sketches"), "route")
+    count = lambda c: F.count(F.when(c, 1))
+    pairs = [(p, n) for p in ("p50", "p95", "p99") for n in ("below", "up_to")]
+    ranks_ = rows.join(said, "route").groupBy("route").agg(
+        F.first("sampled").alias("sampled"), F.first("distinct").alias("said"), F.countDistinct("trace_id").alias("n"),
+        *[count(F.col("duration_ms") < F.col(p) if n == "below" else F.col("duration_ms") <= F.col(p)).alias(f"{p}_{n}") for p, n in pairs],
+    )
+    within = lambda p, q: sketches.rank_within(F.col(f"{p}_below"), F.col(f"{p}_up_to"), F.col("sampled"), q).alias(f"{p}_within")
+    near = (F.abs(F.col("said") - F.col("n")) <= sketches.COUNT_ERROR * F.col("n")).alias("distinct_within")
+    return ranks_.select("route", "sampled", F.lit(sketches.RANK_ERROR).alias("rank_error"), within("p50", 0.5), within("p95", 0.95), within("p99", 0.99), near)
+
+
+@query("stream_bodies", """WITH b AS (SELECT event_id // 100 AS n, count(*) * 20 AS k FROM events GROUP BY ALL), t AS (SELECT n, concat('{"n":', n, ',"pad":"', repeat('p', CAST(k + n % 7 * 100 AS INT)), '"}') AS body FROM b)
+SELECT n, CASE WHEN length(body) + 1 > 2300 THEN 'payload too large' END AS fault, CASE WHEN length(body) + 1 <= 2300 THEN md5(body) END AS body_md5 FROM t""")
+def stream_bodies(spark, d):
+    """A stream of files that are plain, gzip or deflate: bodies up to a bound, the rest refused."""
+    at = folder(spark, "bodies")
+    e = V.table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 100).alias("n")).agg((F.count("*") * 20).alias("k"))
+    made = e.select("n", F.concat(F.lit('{"n":'), F.col("n").cast("string"), F.lit(',"pad":"'), F.repeat(F.lit("p"), (F.col("k") + F.col("n") % 7 * 100).cast("int")), F.lit('"}')).alias("value"))
+    for k, codec in enumerate(("none", "gzip", "deflate")):
+        made.filter(F.col("n") % 3 == k).repartition("n").write.option("compression", codec).partitionBy("n").text(f"{at}/in/{codec}")
+    stream = read_bodies(spark, f"{at}/in", 2300, streaming=True)
+    stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(stream.schema).parquet(f"{at}/out")
+    return rows.select(F.regexp_extract("path", "/n=([0-9]+)/", 1).cast("long").alias("n"), "fault", F.md5(F.regexp_replace("body", "\n$", "").cast("binary")).alias("body_md5"))
+
+
+@query("stored_once", f"WITH {Q._PAYLOADS} SELECT occurrence_id, message FROM i")
+def stored_once(spark, d):
+    """Every occurrence stored, a third of them delivered again by a later write, and all of them by one that ran twice."""
+    at = folder(spark, "once")
+    found = occurrences.identify(occurrences.browser_occurrences(occurrences.browser_events(Q.browser.parse(Q.payloads(spark, d)))))
+    part = F.pmod(F.crc32(F.col("occurrence_id").cast("binary")), F.lit(3)) == 0
+    for name, rows in (("first", found.filter(~part)), ("second", found.filter(part)), ("third", found.filter(part)), ("all", found), ("all", found)):
+        store.append(store.not_stored(rows, at, name), at, "error_occurrences", write_id=name)
+    return store.read(spark, at, "error_occurrences").select("occurrence_id", "message")
+
+
+@query("bucketed_errors_in_traces", SQL["errors_in_traces"])
+def bucketed_errors_in_traces(spark, d):
+    """errors_in_traces over tables in the same buckets by trace: neither side is moved."""
+    rows, name = V.spans(spark, d).select("trace_id", "span_id", "is_error"), f"t{uuid.uuid4().hex}"
+    traces_layout.save(rows, f"{name}_spans", 8)
+    traces_layout.save(rows.filter("is_error"), f"{name}_occurrences", 8)
+    return traces_layout.errors_in_traces(spark, f"{name}_occurrences", f"{name}_spans").groupBy("trace_id").agg(F.count("*").alias("spans"))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.instants import utc_partition
 from ..schemas import LAYOUT, TABLES
+from .staging import exists
 
 PARTITION, WRITE = "event_date", "write_id"
 _CUT = {"message": 4000, "stack": 32000, "name": 500}
@@ -65,7 +66,27 @@ def append(df: DataFrame, path: str, table: str, tenant: dict[str, str] | None =
     # one shuffle by partition and tenant; a large day is split by adaptive execution
     rows = rows.hint("rebalance", PARTITION, "org_id").sortWithinPartitions(PARTITION, *keys)
     rows = rows.withColumn(WRITE, F.lit(write_id or uuid.uuid4().hex))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(PARTITION, WRITE).parquet(f"{path}/{table}")
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+    if table == "error_occurrences":
+        writer = writer.option("parquet.bloom.filter.enabled#occurrence_id", "true")  # for lookups of single ids
+    writer.partitionBy(PARTITION, WRITE).parquet(f"{path}/{table}")
+
+
+def not_stored(df: DataFrame, path: str, write_id: str, id_: str = "occurrence_id") -> DataFrame:
+    """The occurrences that no other write has stored, each once: for deliveries that are repeated long after the first.
+
+    An occurrence's id holds its instant, so a repeated one lies in its own day's partition: no others are read. The names of
+    the batch's days come to the driver. What an earlier try of this very write has left doesn't count as stored.
+    """
+    _, at, form = LAYOUT["error_occurrences"]
+    once = df.dropDuplicates([id_])
+    if not exists(df.sparkSession, f"{path}/error_occurrences"):
+        return once
+    days = [r[0] for r in df.select(utc_partition(F.col(at), form)).distinct().collect()]
+    from .parts import read_live
+
+    stored = read_live(df.sparkSession, path, "error_occurrences").filter(F.col(PARTITION).isin(days) & (F.col(WRITE) != write_id))
+    return once.join(stored.select(id_), id_, "left_anti")
 
 
 def read(spark: SparkSession, path: str, table: str) -> DataFrame:

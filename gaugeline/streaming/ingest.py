@@ -94,10 +94,11 @@ class Gatekeeper:
             rows.unpersist()
 
 
-def ingest_requests(stream: DataFrame, path: str, checkpoint: str, *, static: DataFrame | None = None, validator: Validator | None = None, settings: Settings | None = None, cache_seconds: int = 60, count_hours: int = 1, job: str = "requests", every: str | None = None, after: jobs.After | None = None):
+def ingest_requests(stream: DataFrame, path: str, checkpoint: str, *, static: DataFrame | None = None, validator: Validator | None = None, settings: Settings | None = None, cache_seconds: int = 60, count_hours: int = 1, once: bool = False, job: str = "requests", every: str | None = None, after: jobs.After | None = None):
     """Starts the job. `static`: keys as `gate.parse_keys` gives them. `validator` takes keys and gives key, reachable and the
     tenant (nulls: invalid); what it raises means that it can't be reached. A minute's counts are kept until `count_hours` before
-    the latest request of a batch. `after` gets the occurrences and usage of a batch
+    the latest request of a batch. With `once` an occurrence that an earlier batch has stored is not stored again, however long
+    ago that was. `after` gets the occurrences and usage of a batch
     when they are stored, and its epoch."""
     spark = stream.sparkSession
     settings = settings or Settings()
@@ -122,7 +123,8 @@ def ingest_requests(stream: DataFrame, path: str, checkpoint: str, *, static: Da
             points = R.span_usage(spans, from_spans).unionByName(R.metric_usage(metrics)).unionByName(O.browser_usage(events))
             usage = O.merge_usage(points)
             refusals = decided.filter(F.col("reason").isNotNull()).select("request_id", "reason", F.lit(None).cast(f"array<{ISSUE}>").alias("issues")).unionByName(bad)
-            for table, rows in (("error_occurrences", found), ("spans", spans), ("metrics_1m", usage), ("llm_calls", C.extract_calls(spans, vendor))):
+            new = store.not_stored(found, path, name) if once else found
+            for table, rows in (("error_occurrences", new), ("spans", spans), ("metrics_1m", usage), ("llm_calls", C.extract_calls(spans, vendor))):
                 store.append(rows, path, table, write_id=name)
             told = refusals.select(F.col("request_id").cast("string").alias("request_id"), G.status_of(F.col("reason")).cast("int").alias("status"), "reason", "issues")
             told.withColumn(store.WRITE, F.lit(name)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(store.WRITE).parquet(f"{path}/refusals")
