@@ -96,14 +96,24 @@ def severity_breakdown(spark, d):
     return readers.by_severity(_found(spark, d))
 
 
-@query("hotspot_frames", f"WITH {_O} SELECT first_frame, count(*) AS occurrences, count(DISTINCT fingerprint) AS issues FROM o WHERE first_frame <> '' GROUP BY ALL")
+@query("hotspot_frames", f"WITH {V.EVENTS_SQL}, o AS (SELECT concat('at f', event_id % 9, ' (https://app.test/a', CAST(substring(session_id, 2) AS BIGINT) % 4, '.js') AS first_frame, type, event_id FROM e WHERE type IN ('exception', 'unhandled_rejection', 'message') AND event_id % 9 < 7) SELECT first_frame, count(*) AS occurrences, count(DISTINCT type) AS issues FROM o GROUP BY ALL")
 def hotspot_frames(spark, d):
-    return readers.hotspots(_found(spark, d))
+    """First frames of stacks of many places; some have none that is one. Defects differ by type."""
+    n = F.col("event_id")
+    frame = F.concat(F.lit("    at f"), (n % 9).cast("string"), F.lit(" (https://app.test/a"), (F.substring("session_id", 2, 9).cast("long") % 4).cast("string"), F.lit(".js?v="), n.cast("string"), F.lit(":10:"), n.cast("string"), F.lit(")"))
+    stack = F.when(n % 9 < 7, F.concat(F.lit("Error: x\n"), frame)).when(n % 9 == 7, "Error without places")
+    events = V.browser_events(spark, d).withColumns({"stack": stack, "message": F.lit("m"), "error_type": F.lit(None).cast("string"), "route": F.lit("/")})
+    return readers.hotspots(occurrences.identify(occurrences.browser_occurrences(events).withColumn("batch_index", F.lit(0))))
 
 
-@query("errors_by_endpoint", f"WITH {_O} SELECT route_normalized, '' AS method, count(*) AS occurrences FROM o GROUP BY ALL")
+@query("errors_by_endpoint", f"WITH {V.EVENTS_SQL} SELECT concat('/shops/', CASE WHEN event_id % 4 = 3 THEN 'all' ELSE ':id' END, '/p', event_id % 6) AS route_normalized, CASE event_id % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE '' END AS method, count(*) AS occurrences FROM e WHERE type IN ('exception', 'unhandled_rejection', 'message') GROUP BY ALL")
 def errors_by_endpoint(spark, d):
-    return readers.by_endpoint(_found(spark, d))
+    """Routes with numbers and names, of three methods, one of them absent."""
+    n = F.col("event_id")
+    shop = F.when(n % 4 == 3, "all").otherwise(n.cast("string"))
+    events = V.browser_events(spark, d).withColumn("route", F.concat(F.lit("/shops/"), shop, F.lit("/p"), (n % 6).cast("string"), F.lit("?q="), n.cast("string")))
+    found = occurrences.identify(occurrences.browser_occurrences(events).withColumn("batch_index", F.lit(0)))
+    return readers.by_endpoint(found.withColumn("method", F.when(n % 3 == 0, "GET").when(n % 3 == 1, "POST")))
 
 
 @query("release_regression", f"WITH {_O} SELECT fingerprint, min({{'t': occurred_at, 'r': release}}).t AS first_seen, min({{'t': occurred_at, 'r': release}}).r AS first_release FROM o GROUP BY ALL")
@@ -237,13 +247,57 @@ def payload_validate(spark, d):
     return parse(e.select("event_id", value.alias("value"))).select("event_id", "valid")
 
 
-@query("relay_sanitize", """SELECT event_id, concat('{"version":1,"service":"web","environment":"production","events":[{"type":"message","timestamp":"t","message":"m', event_id, '","route":"/a"}]}') AS clean FROM events""")
+_HEAD = '{"version":1,"service":"web","environment":"production"'
+
+
+@query("relay_sanitize", f"""SELECT event_id, CASE event_id % 10 WHEN 0 THEN concat('{_HEAD},"events":[{{"type":"message","timestamp":"t","message":"m', event_id, '","route":"/a"}}]}}')
+ WHEN 1 THEN concat('{_HEAD},"release":"r', event_id, '","events":[]}}') WHEN 2 THEN concat('{{"version":1,"sessionId":"', repeat('s', 100), '","service":"web","environment":"production","events":[{{"type":"session_start","timestamp":"t","message":""}}]}}')
+ WHEN 3 THEN concat('{_HEAD},"events":[{{"type":"exception","timestamp":"t","severity":"fatal","message":"x","name":"n","errorType":"', repeat('E', 200), '","filename":"/f.js","line":', event_id, ',"column":2}}]}}')
+ WHEN 4 THEN concat('{_HEAD},"events":[{{"type":"track_event","timestamp":"t","message":"","name":"buy","context":{{"id":', event_id, '}}}},{{"type":"message","timestamp":"u","message":"', repeat('m', 4000), '"}}]}}') END AS clean FROM events""")
 def relay_sanitize(spark, d):
+    """Ten shapes of payloads: five that pass with what is listed of them, five that don't (a service that is no text, another
+    version, an unknown type, too many events, no JSON)."""
     from .sources.browser import sanitize
 
-    e = V.table(spark, d, "events")
-    value = F.concat(F.lit('{"version":1,"cookie":"x","service":"web","environment":"production","release":7,"events":[{"type":"message","severity":"loud","dom":[1],"timestamp":"t","message":"m'), F.col("event_id").cast("string"), F.lit('","route":"/a?b=1"}]}'))
-    return sanitize(e.select("event_id", value.alias("value"))).select("event_id", "clean")
+    n = F.col("event_id")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    event = '{"type":"message","timestamp":"t"}'
+    shapes = (
+        text('{"version":1,"cookie":"x","service":"web","environment":"production","release":7,"events":[{"type":"message","severity":"loud","dom":[1],"timestamp":"t","message":"m', n, '","route":"/a?b=1"}]}'),
+        text('{"environment":"production","service":"web","version":1.0,"release":"r', n, '","events":[]}'),
+        text('{"version":1,"service":"web","sessionId":"', F.repeat(F.lit("s"), 120), '","environment":"production","events":[{"type":"session_start","timestamp":"t","message":5}]}'),
+        text('{"version":1,"service":"web","environment":"production","events":[{"column":2,"line":', n, ',"filename":"/f.js?x","errorType":"', F.repeat(F.lit("E"), 300), '","name":"n","stack":9,"message":"x","severity":"fatal","type":"exception","timestamp":"t"}]}'),
+        text('{"version":1,"service":"web","environment":"production","events":[{"type":"track_event","timestamp":"t","name":"buy","context":{"id":', n, '}},{"type":"message","timestamp":"u","context":"no","message":"', F.repeat(F.lit("m"), 4100), '"}]}'),
+        text('{"version":1,"service":5,"environment":"production","events":[]}'),
+        text('{"version":2,"service":"web","environment":"production","events":[]}'),
+        text('{"version":1,"service":"web","environment":"production","events":[{"type":"click","timestamp":"t"}]}'),
+        text('{"version":1,"service":"web","environment":"production","events":[', F.array_join(F.array_repeat(F.lit(event), 51), ","), "]}"),
+        text('{"version":1,', n),
+    )
+    value = F.element_at(F.array(*shapes), (n % 10 + 1).cast("int"))
+    return sanitize(V.table(spark, d, "events").select("event_id", value.alias("value"))).select("event_id", "clean")
+
+
+@query("stored_browser_occurrences", """SELECT event_id, concat('r', user_id) AS release, concat('Error: x', chr(10), '    at f (a.js:', event_id, ':2)') AS stack, concat('{"filename":"/a.js","line":', event_id, CASE WHEN event_id % 2 = 0 THEN ',"column":7' ELSE '' END, CASE WHEN event_id % 3 = 0 THEN concat(',"context":{"user":', user_id, '}') ELSE '' END, '}') AS attributes,
+ 4000 AS length, md5(substring(concat(repeat('m', 3990), event_id * 1000003), 1, 4000)) AS message_md5 FROM events WHERE event_type = 'error' AND length(CAST(event_id * 1000003 AS VARCHAR)) >= 10""")
+def stored_browser_occurrences(spark, d):
+    """Payloads with places, contexts, stacks and releases, stored and read back; messages longer than the store takes are cut."""
+    from .plans.staging import folder
+    from .sources.browser import parse
+
+    n = F.col("event_id")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    e = V.table(spark, d, "events").filter("event_type = 'error' AND length(CAST(event_id * 1000003 AS STRING)) >= 10")
+    context = F.when(n % 3 == 0, text(',"context":{"user":', F.col("user_id"), "}")).otherwise("")
+    event = text('{"type":"exception","timestamp":"2024-01-01T00:00:00Z","message":"m","filename":"/a.js?v=1","line":', n, F.when(n % 2 == 0, ',"column":7').otherwise(""), context, ',"stack":"Error: x\\n    at f (a.js:', n, ':2)"}')
+    value = text('{"version":1,"service":"web","environment":"p","release":"r', F.col("user_id"), '","sessionId":"', n, '","events":[', event, "]}")
+    payloads = parse(e.select(value.alias("value"), F.lit("o").alias("org_id"), F.lit("r").alias("repository_id")))
+    found = occurrences.identify(occurrences.browser_occurrences(occurrences.browser_events(payloads)))
+    at = folder(spark, "stored")
+    long = F.concat(F.repeat(F.lit("m"), 3990), (F.col("session_id").cast("long") * 1000003).cast("string"))
+    store.append(found.withColumn("message", long), at, "error_occurrences")
+    rows = store.read(spark, at, "error_occurrences")
+    return rows.select(F.col("session_id").cast("long").alias("event_id"), "release", "stack", "attributes", F.length("message").alias("length"), F.md5(F.col("message").cast("binary")).alias("message_md5"))
 
 
 @query("sink_envelopes", f"""WITH {_O}, {_U[_U.index("r AS (SELECT org_id"):]}, {_C},
