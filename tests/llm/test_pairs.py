@@ -242,10 +242,10 @@ def test_vectors_in_whole_labels(spark, monkeypatch):
     """Labels too crowded for passes are compared in blocks; a cosine of exactly the threshold links."""
     monkeypatch.setattr(V, "MOST", 0)
     monkeypatch.setattr(V, "BLOCK", 3)
-    rows = [(i, [1.0, 0.0] if i % 2 else [0.6, 0.8], i % 3) for i in range(30)]
-    got = {r.vec_id: (r.n_links, r.component_id) for r in V.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold=0.6).collect()}
+    rows = [(i, [1.0, 1.0, 1.0, 1.0] if i % 2 else [1.0, 1.0, 1.0, -1.0], i % 3) for i in range(30)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in V.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold=0.5).collect()}
     assert got == {i: (9, i % 3) for i in range(30)}
-    apart = V.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold=0.61).collect()
+    apart = V.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold=0.51).collect()
     assert {r.n_links for r in apart} == {4}
 
 
