@@ -231,7 +231,7 @@ def test_queries_and_pipeline_names(spark):
     import corpus_pipeline
     from gaugeline.llm import queries
 
-    assert {int(q[2:].split("_")[0]) for q in queries.QUERIES} == set(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
+    assert {int(q[2:].split("_")[0]) for q in queries.QUERIES} == set(range(1, 14)) and set(queries.SQL) <= set(queries.QUERIES)
     assert len(corpus_pipeline.STAGES) == 5
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = docs
