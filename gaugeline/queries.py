@@ -315,8 +315,10 @@ def sink_envelopes(spark, d):
     got = envelopes(found, usage, made, "replay-1")
     # of each body the metrics, as they stand in it; parts without any have none to show
     inner = F.regexp_extract("body", '"metrics":\\[(.*)\\],"llmCalls":', 1)
-    each = got.select("org_id", "repository_id", "batch_id", inner.alias("inner"), F.explode(F.from_json(F.concat(F.lit("["), inner, F.lit("]")), "array<struct<bucket_at:timestamp>>")).alias("m"))
-    return each.groupBy("org_id", "repository_id", "batch_id", F.md5(F.col("inner").cast("binary")).alias("metrics_md5")).agg(F.count("*").alias("metrics"), F.min("m.bucket_at").alias("first"), F.max("m.bucket_at").alias("last"))
+    times = F.transform(F.from_json(F.concat(F.lit("["), inner, F.lit("]")), "array<struct<bucket_at:timestamp>>"), lambda m: m["bucket_at"])
+    # looked at body by body: exploded, each metric would carry its body along
+    each = got.select("org_id", "repository_id", "batch_id", F.md5(inner.cast("binary")).alias("metrics_md5"), times.alias("times"))
+    return each.filter(F.size("times") > 0).select("org_id", "repository_id", "batch_id", "metrics_md5", F.size("times").cast("long").alias("metrics"), F.array_min("times").alias("first"), F.array_max("times").alias("last"))
 
 
 @query("streaming_rollup", SQL["browser_rollup_1m"])
