@@ -25,10 +25,21 @@ def _number_text(c: Column) -> Column:
     return F.when((c == F.floor(c)) & (F.abs(c) < 1e15), c.cast("decimal(20,0)").cast("string")).otherwise(c.cast("string"))
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _once(bag: Column, repeated) -> Column:
+    """The bag itself if no key is repeated in it, which is seen in linear time; else `repeated` of it."""
+    keys = F.transform(bag, lambda x: x["key"])
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), bag).otherwise(repeated(bag))
+
+
 def lookup(bag: Column) -> Column:
     """A map of the bag; of repeated keys the last counts."""
-    last = F.filter(bag, lambda x, i: ~F.exists(F.slice(bag, i + 2, F.size(bag)), lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(last)
+    last = lambda own: F.filter(own, lambda x, i: ~F.exists(F.slice(own, i + 2, F.size(own)), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(_let(bag, lambda own: _once(own, last)))
 
 
 def with_lookup(df: DataFrame, **bags: Column) -> DataFrame:
@@ -63,26 +74,32 @@ def first_number(attrs: Column, *keys: str) -> Column:
     return F.get(F.filter(F.transform(F.array(*[get(attrs, k) for k in keys]), to_number), lambda n: n.isNotNull()), F.lit(0))
 
 
-def subset(bag: Column, prefixes: tuple[str, ...], longest: int = 500, total: int = 4000) -> Column:
-    """JSON of the attributes with these prefixes, in order, values cut with an ellipsis, up to the first that would exceed the total.
+def subset(bag: Column, prefixes: tuple[str, ...], longest: int = 500, total: int | None = 4000) -> Column:
+    """JSON of the attributes with these prefixes, in order, values cut with an ellipsis, up to the first that would exceed the
+    total (None: all of them).
 
-    A repeated key stands where it came first, with the value that came last.
+    A repeated key stands where it came first, with the value that came last. Attributes without a value are left out.
     """
-    keep = F.lit(False)
-    named = F.filter(bag, lambda x: _starts(x["key"], prefixes))
-    last = lambda key: F.element_at(F.filter(named, lambda y: y["key"] == key), -1)["value"]
-    own = F.transform(F.array_distinct(F.transform(named, lambda x: x["key"])), lambda key: F.struct(key.alias("key"), last(key).alias("value")))
-    own = F.transform(own, lambda x: F.struct(x["key"].alias("key"), F.when(F.char_length(x["value"]) > longest, F.concat(F.substring(x["value"], 1, longest), F.lit("…"))).otherwise(x["value"]).alias("value")))
-    start = F.struct(F.lit(0).alias("size"), keep.alias("full"), F.array().cast(BAG).alias("kept"))
-
-    def step(acc, x):
-        size = acc["size"] + F.char_length(x["key"]) + F.char_length(x["value"])
-        full = acc["full"] | (size > total)
-        return F.struct(size.alias("size"), full.alias("full"), F.when(full, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x))).alias("kept"))
-
-    kept = F.aggregate(own, start, step, lambda acc: acc["kept"])
-    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), '^\\{"v":(.*)\\}$', 1)
-    return F.concat(F.lit("{"), F.array_join(F.transform(kept, lambda x: F.concat(quoted(x["key"]), F.lit(":"), quoted(x["value"]))), ","), F.lit("}"))
+    named = F.filter(bag, lambda x: _starts(x["key"], prefixes) & x["value"].isNotNull())
+
+    def last(own: Column) -> Column:
+        value = lambda key: F.element_at(F.filter(own, lambda y: y["key"] == key), -1)["value"]
+        return F.transform(F.array_distinct(F.transform(own, lambda x: x["key"])), lambda key: F.struct(key.alias("key"), value(key).alias("value")))
+
+    def short(own: Column) -> Column:
+        cut = lambda v: F.when(F.char_length(v) > longest, F.concat(F.substring(v, 1, longest), F.lit("…"))).otherwise(v)
+        return F.transform(own, lambda x: F.struct(x["key"].alias("key"), cut(x["value"]).alias("value")))
+
+    def fitting(own: Column) -> Column:
+        def step(acc, x):
+            size = acc["size"] + F.char_length(x["key"]) + F.char_length(x["value"])
+            return F.struct(size.alias("size"), F.when(size > total, acc["n"]).otherwise(acc["n"] + 1).alias("n"))
+
+        # sizes only grow: none fits behind the first that doesn't
+        return F.slice(own, 1, F.aggregate(own, F.struct(F.lit(0).alias("size"), F.lit(0).alias("n")), step, lambda acc: acc["n"]))
+
+    own = short(_let(named, lambda n: _once(n, last)))
+    return F.to_json(F.map_from_entries(own if total is None else _let(own, fitting)))
 
 
 def _starts(key: Column, prefixes: tuple[str, ...]) -> Column:
