@@ -44,8 +44,18 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: at | ?[\[(]at[\])] ?)[A-Za-z0-9-]{1,63}(?:(?: dot | ?[\[(]dot[\])] ?|\.)[A-Za-z0-9-]{1,63}){1,4}", re.I)
 _LOOSE_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{2,5}\)?(?:[ .-][0-9]{2,5}){2,4}(?![0-9])")
 _IDENTITY = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-# What every match of some pattern holds: a digit, an @, or the spelled-out at (the separator after that may be a plain dot).
-_GATE = r"[0-9@]| [aA][tT] |[\[(][aA][tT][\])]"
+# What every match of a kind holds somewhere, for Arrow's matcher: a text without it is not scanned for the kind. (Where case
+# is ignored, four letters beyond ASCII count as i, k and s.)
+_NAME = r"[A-Za-z0-9\x{130}\x{131}\x{17F}\x{212A}-]"
+_GATES = {
+    "email": "@",
+    "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]",
+    "card": r"[0-9](?:[ -]?[0-9]){12}",
+    "phone": r"\+[0-9]",
+    "email_text": rf"(?i)(?: at |[\[(]at[\])] ?){_NAME}{{1,63}}(?: dot | ?[\[(]dot[\])] ?|\.){_NAME}",
+    "phone_text": r"[0-9]{2}\)?[ .-][0-9]{2,5}[ .-][0-9]{2}",
+    "id_number": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+}
 # Gazetteers.
 _TOP_LEVEL = frozenset("com org net edu gov io de fr es uk it nl eu info biz ch at be us ca".split())
 _CALLING = tuple("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 61 62 63 64 65 66 81 82 84 86 90 91 92 351 352 353 358 420".split())
@@ -77,9 +87,9 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
-def base_spans(text: str) -> list[Candidate]:
-    """The base spans, by kind as listed, then start."""
-    out, last, at = [], 0, text.find("@")
+def base_spans(text: str, among=KINDS) -> list[Candidate]:
+    """The base spans of the kinds among these, by kind as listed, then start."""
+    out, last, at = [], 0, text.find("@") if "email" in among else -1
     while at >= 0:
         start = at
         while start > last and text[start - 1] in _LOCAL:
@@ -89,21 +99,22 @@ def base_spans(text: str) -> list[Candidate]:
             out.append(Candidate("email", start, last := m.end()))
         at = text.find("@", last if m else at + 1)
     # the length is looked at first: int() of a long run of digits would be slow
-    out += [Candidate("ip", *m.span()) for m in _IP.finditer(text) if all(len(p := g.lstrip("0")) <= 3 and int(p or "0") <= 255 for g in m.groups())]
-    for m in _CARD.finditer(text):
-        if 13 <= len(d := _digits(m[0])) <= 19 and _luhn(d):
-            out.append(Candidate("card", *m.span()))
-    out += [Candidate("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
+    if "ip" in among:
+        out += [Candidate("ip", *m.span()) for m in _IP.finditer(text) if all(len(p := g.lstrip("0")) <= 3 and int(p or "0") <= 255 for g in m.groups())]
+    if "card" in among:
+        out += [Candidate("card", *m.span()) for m in _CARD.finditer(text) if 13 <= len(d := _digits(m[0])) <= 19 and _luhn(d)]
+    if "phone" in among:
+        out += [Candidate("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     return out
 
 
-def candidates(text: str) -> list[Candidate]:
-    """Base spans, then looser ones that overlap no base span."""
-    base = base_spans(text)
+def candidates(text: str, among=KINDS) -> list[Candidate]:
+    """Base spans, then looser ones that overlap no base span; of the kinds among these."""
+    base = base_spans(text, among)
     taken = sorted((c.start, c.end) for c in base)
     more = []
     for kind, pattern in (("email_text", _SPELLED), ("phone_text", _LOOSE_PHONE), ("id_number", _IDENTITY)):
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(text) if kind in among else ():
             if kind == "phone_text" and not 9 <= len(_digits(m[0])) <= 15:
                 continue
             if kind == "email_text" and "@" in m[0]:
@@ -198,12 +209,20 @@ def fit(rows: np.ndarray, counts: np.ndarray) -> Model:
     return Model(w, theta)
 
 
+def possible(column: pa.Array) -> list[list[str]]:
+    """For each text of a column without nulls, the kinds that may be found in it."""
+    out: list[list[str]] = [[] for _ in range(len(column))]
+    for kind, gate in _GATES.items():
+        for i in np.flatnonzero(pc.match_substring_regex(column, gate).to_numpy(zero_copy_only=False)).tolist():
+            out[i].append(kind)
+    return out
+
+
 def _texts(batches, at: int):
-    """Batches in slices, with the texts that can hold a candidate by their place."""
+    """Batches in slices, with the texts that may hold a candidate: place, text and the kinds to look for."""
     for batch in slices(batches, 512):
         column = pc.fill_null(batch.column(at).cast(pa.large_string()), "")
-        places = np.flatnonzero(pc.match_substring_regex(column, _GATE).to_numpy(zero_copy_only=False))
-        yield batch, [(int(i), column[int(i)].as_py()) for i in places]
+        yield batch, [(i, column[i].as_py(), kinds) for i, kinds in enumerate(possible(column)) if kinds]
 
 
 def train(docs: DataFrame, *, text_col: str = "text") -> Model:
@@ -215,8 +234,8 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Model:
 
         seen: Counter = Counter()
         for _, texts in _texts(batches, 0):
-            for _, text in texts:
-                seen.update(features(text, c) for c in candidates(text))
+            for _, text, kinds in texts:
+                seen.update(features(text, c) for c in candidates(text, kinds))
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([*(pa.array([k[j] for k in keys], pa.int32()) for j in range(9)), pa.array(list(seen.values()), pa.int64())], [*names, "n"])
 
@@ -234,8 +253,8 @@ def find(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     def run(batches):
         for batch, texts in _texts(batches, 1):
             out: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for i, text in texts:
-                found = candidates(text)
+            for i, text, kinds in texts:
+                found = candidates(text, kinds)
                 loose = [c for c in found if c.kind not in BASE]
                 if loose:
                     keep = sent.value.probability(np.array([features(text, c) for c in loose])) >= accept
