@@ -37,9 +37,9 @@ def _once(bag: Column, repeated) -> Column:
 
 
 def lookup(bag: Column) -> Column:
-    """A map of the bag; of repeated keys the last counts."""
+    """A map of the bag; of repeated keys the last counts. Entries without a key are left out."""
     last = lambda own: F.filter(own, lambda x, i: ~F.exists(F.slice(own, i + 2, F.size(own)), lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(_let(bag, lambda own: _once(own, last)))
+    return F.map_from_entries(_let(F.filter(bag, lambda x: x["key"].isNotNull()), lambda own: _once(own, last)))
 
 
 def with_lookup(df: DataFrame, **bags: Column) -> DataFrame:

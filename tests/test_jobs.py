@@ -304,6 +304,25 @@ def test_repeated_attribute_keys(spark):
     bag = [("ai.a", "1"), ("x", "0"), ("ai.b", "2"), ("ai.a", "3")]
     df = spark.createDataFrame([(bag,), ([],)], f"bag {A.BAG}")
     assert [r[0] for r in df.select(A.subset(F.col("bag"), ("ai.",))).collect()] == ['{"ai.a":"3","ai.b":"2"}', "{}"]
+    assert [r[0] for r in df.select(A.lookup(F.col("bag"))).collect()] == [dict(bag), {}]
+
+
+def test_attributes_without_key_or_value(spark):
+    from gaugeline.functions import attributes as A
+
+    df = spark.createDataFrame([(0, [("ai.a", None), (None, "1"), ("ai.b", "é\"\n"), (None, "2")]), (1, None)], f"id int, bag {A.BAG}").orderBy("id")
+    got = df.select(A.lookup(F.col("bag")), A.subset(F.col("bag"), ("ai.",)), A.subset(F.col("bag"), ("ai.",), total=None)).collect()
+    assert got[0][0] == {"ai.a": None, "ai.b": "é\"\n"} and got[1][0] is None
+    assert got[0][1] == got[0][2] == '{"ai.b":"é\\"\\n"}' and got[1][1] is None and got[1][2] is None
+
+
+def test_subset_ends_with_the_first_that_does_not_fit(spark):
+    from gaugeline.functions import attributes as A
+
+    bag = [("ai.a", "x" * 6), ("ai.b", "y" * 60), ("ai.c", "z")]
+    df = spark.createDataFrame([(bag,)], f"bag {A.BAG}")
+    some, every, cut = df.select(A.subset(F.col("bag"), ("ai.",), 99, 20), A.subset(F.col("bag"), ("ai.",), 99, None), A.subset(F.col("bag"), ("ai.",), 2, 18)).first()  # cut, they take 7, 7 and 5
+    assert some == '{"ai.a":"xxxxxx"}' and every.count("ai.") == 3 and cut == '{"ai.a":"xx…","ai.b":"yy…"}'
 
 
 def test_jobs_that_run_on(spark, tmp_path):
