@@ -192,3 +192,14 @@ def test_entry(spark):
 
     assert e.entry(spark).limit(1).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_hotspot_frames_counts_whole_defects(spark):
+    import __spark_entry__ as e
+    from gaugeline.queries import _found
+
+    d = "/root/testdata/sf0.001"
+    found = _found(spark, d)
+    got = e.queries()["hotspot_frames"](spark, d).collect()
+    assert sum(r.occurrences for r in got) == found.filter("first_frame != ''").count() == found.count()
+    assert {r.first_frame: r.issues for r in got} == {r[0]: r[1] for r in found.groupBy("first_frame").agg(F.countDistinct("fingerprint")).collect()}
