@@ -131,3 +131,22 @@ def test_protobuf(spark):
     assert [r.request is None for r in got.collect()] == [False, True, True]
     row = R.span_rows(got.filter("request is not null").drop("value")).first()
     assert (row.trace_id, row.span_id, row.kind, row.status, row.duration_ms, row.service, row.bag[0].value) == ("ab" * 16, "01ff", "server", "error", 250.0, "svc", "-5")
+
+
+def test_spans_carry_no_more_than_their_own_parts(spark):
+    attributes = [("http.route", "/a"), ("http.route", ""), ("http.route", None), ("http.method", "GET"), ("vendor.x", "é" * 501)]
+    kv = [{"key": k, "value": {"stringValue": v} if v is not None else {}} for k, v in attributes]
+    times = [("1704067200000000001", "1704067200001000001"), ("18446744073709551615", "18446744073709551615"), ("999999.5", " 3000000 "), ("x", "1")]
+    spans = [{"traceId": "A", "spanId": "B", "startTimeUnixNano": a, "endTimeUnixNano": b, "attributes": kv if i == 0 else []} for i, (a, b) in enumerate(times)]
+    resource = {"attributes": [{"key": "service.name", "value": {"stringValue": v}} for v in ("old", "new")]}
+    text = json.dumps({"resourceSpans": [{"resource": resource, "scopeSpans": [{"spans": spans}]}, {"scopeSpans": [{"spans": spans[:1]}]}]})
+    df = R.span_rows(Q.parse_json(frame(spark, text), "traces").drop("value"))
+    rows = df.orderBy("place").collect()
+    assert [r.service for r in rows] == ["new"] * 4 + ["unknown"] and rows[0].route == "" and rows[0].method == "GET"
+    assert json.loads(rows[0].attributes) == {"http.route": "", "http.method": "GET", "vendor.x": "é" * 500 + "…"}
+    assert [r.duration_ms for r in rows[:4]] == [1.0, 0.0, 2.0, 0.0]
+    assert [r.t for r in df.select(F.unix_millis("started_at").alias("t"), "place").orderBy("place").collect()] == [1704067200000, 18446744073709, 1, None, 1704067200000]
+    plan = df.select("span_id", "service", "route")._jdf.queryExecution().optimizedPlan().toString()
+    generators = [line for line in plan.split("\n") if "Generate explode" in line]
+    # the resource is looked up below the spans, and no whole span is carried along behind them
+    assert len(generators) == 2 and "span#" not in generators[0].split("[")[0] and plan.index("service.name") > plan.index("posexplode(s#")
