@@ -294,6 +294,7 @@ def stored_once(spark, d):
 def bucketed_errors_in_traces(spark, d):
     """errors_in_traces over tables in the same buckets by trace: neither side is moved."""
     rows, name = V.spans(spark, d).select("trace_id", "span_id", "is_error"), f"t{uuid.uuid4().hex}"
-    traces_layout.save(rows, f"{name}_spans", 8)
-    traces_layout.save(rows.filter("is_error"), f"{name}_occurrences", 8)
+    buckets = traces_layout.buckets_for(V.table(spark, d, "lineitem").count())
+    traces_layout.save(rows, f"{name}_spans", buckets)
+    traces_layout.save(rows.filter("is_error"), f"{name}_occurrences", buckets)
     return traces_layout.errors_in_traces(spark, f"{name}_occurrences", f"{name}_spans").groupBy("trace_id").agg(F.count("*").alias("spans"))

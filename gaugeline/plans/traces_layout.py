@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 BUCKETS = 64
+#: A bucket is written and read by one task: so many rows are some hundred MB at most.
+BUCKET_ROWS = 500_000
+
+
+def buckets_for(rows: int) -> int:
+    """Buckets for so many rows, a power of two and eight at least, as tables are joined that have equally many."""
+    return max(8, 1 << max(0, -(-rows // BUCKET_ROWS) - 1).bit_length())
 
 
 def save(df: DataFrame, table: str, buckets: int = BUCKETS) -> None:

@@ -336,3 +336,10 @@ def test_jobs_that_run_on(spark, tmp_path):
         assert query.isActive and seen == [1, 2]
     finally:
         query.stop()
+
+
+def test_buckets_hold_so_many_rows(spark):
+    from gaugeline.plans import traces_layout as L
+
+    assert [L.buckets_for(n) for n in (0, 4_000_000, 4_000_001, 216_000_000)] == [8, 8, 16, 512]
+    assert all(n / L.buckets_for(n) <= L.BUCKET_ROWS for n in range(1, 10**8, 999_999))
