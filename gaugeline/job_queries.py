@@ -19,11 +19,18 @@ from .sources.issues import with_issues
 from .streaming import delivery, ingest, jobs, state
 
 
+#: Rows of a batch for each of its files: a few MB of what the jobs read, so that no task writes or reads a whole batch.
+FILE_ROWS = 50_000
+
+
 def dealt(df: DataFrame, path: str, batch, batches: int) -> DataFrame:
-    """The rows as a stream of so many micro-batches: one file for each value of `batch` from 0 on, in that order."""
+    """The rows as a stream of so many micro-batches: as many files for each value of `batch`, from 0 on, in that order."""
+    sizes = dict(df.groupBy(batch.cast("int").alias("k")).count().collect())
+    files = max(1, min(sizes.get(k, 0) for k in range(batches)) // FILE_ROWS)
     for k in range(batches):
-        df.filter(batch == k).coalesce(1).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows = df.filter(batch == k)
+        (rows.repartition(files) if files > 1 else rows.coalesce(1)).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def finished(spark: SparkSession, stream: DataFrame, at: str) -> DataFrame:
@@ -171,7 +178,7 @@ def stream_delivery(spark, d):
     n = F.col("event_id")
     made = V.table(spark, d, "events").select(n.cast("string").alias("batch_id"), Q._text("org", F.col("user_id") % 3).alias("org_id"), Q._text("body:", n).alias("body"), F.lit(5).cast("long").alias("bytes"), F.col("ts").cast("timestamp").alias("signals_from"), F.col("ts").cast("timestamp").alias("signals_to"))
     queue = delivery.Queue(spark, f"{at}/sink", _consumer, attempts=4, base=30.0)
-    delivery.deliver_stream(dealt(made, f"{at}/in", n % 4, 4), queue, f"{at}/progress", _clock).awaitTermination()
+    delivery.deliver_stream(dealt(made, f"{at}/in", F.col("batch_id").cast("long") % 4, 4), queue, f"{at}/progress", _clock).awaitTermination()
     for epoch in range(4, 12):
         queue.deliver(_clock(epoch), epoch)
     return queue.state().select("batch_id", "outcome", "attempts", "reason")

@@ -338,6 +338,24 @@ def test_jobs_that_run_on(spark, tmp_path):
         query.stop()
 
 
+def test_batches_are_dealt_into_files(spark, tmp_path, monkeypatch):
+    from gaugeline import job_queries as J
+
+    monkeypatch.setattr(J, "FILE_ROWS", 10)
+    df = spark.range(0, 330, 1, 3).withColumn("text", F.repeat(F.lit("x"), 9))
+    stream = J.dealt(df, f"{tmp_path}/in", F.when(F.col("id") < 300, F.col("id") % 3), 3)
+    files = spark.read.parquet(f"{tmp_path}/in").groupBy(F.input_file_name()).agg(F.count("*").alias("n"), F.countDistinct(F.col("id") % 3).alias("batches")).collect()
+    assert len(files) == 30 and max(r.n for r in files) < 30 and {r.batches for r in files} == {1}
+    seen = []
+    jobs.run(stream, lambda batch, epoch: seen.append((epoch, batch.count(), batch.agg(F.collect_set(F.col("id") % 3)).first()[0])), f"{tmp_path}/c").awaitTermination()
+    assert seen == [(k, 100, [k]) for k in range(3)]
+    # too few rows of one batch: one file for each
+    few = J.dealt(df.filter("id < 25"), f"{tmp_path}/few", F.when(F.col("id") < 24, 0).otherwise(1), 2)
+    sizes = []
+    jobs.run(few, lambda batch, epoch: sizes.append(batch.count()), f"{tmp_path}/d").awaitTermination()
+    assert sizes == [24, 1]
+
+
 def test_buckets_hold_so_many_rows(spark):
     from gaugeline.plans import traces_layout as L
 
