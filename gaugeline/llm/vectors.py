@@ -31,6 +31,7 @@ from .groups import blocks, components, forest
 
 THRESHOLD, RECALL = 0.93, 0.9999
 BITS, WINDOW, BLOCK, MOST = 32, 64, 512, 512
+ROUND, _STRIDE = 32, 128
 _FEW, _SAMPLE, _PILOT, _LAG = 4, 4096, 8, 16
 
 
@@ -46,6 +47,16 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _binary(a: np.ndarray, size: int) -> pa.Array:
+    """Each vector as its bytes, so many for each number."""
+    offsets = (np.arange(len(a) + 1) * a.shape[1] * size).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(a, f"f{size}"))])
+
+
+def _found(a: np.ndarray, b: np.ndarray, part: int, kind: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), part, np.int32)), pa.array(np.full(len(a), kind, np.int32))], ["a", "b", "p", "kind"])
+
+
 def _unit(a: np.ndarray) -> np.ndarray:
     unit = a / np.abs(a).max(1, keepdims=True)
     unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
@@ -92,7 +103,10 @@ def crowded(x: np.ndarray, size: int, threshold: float, recall: float, window: i
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row for each id: n_links, component_id, kept."""
-    every = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    # single precision is moved as it is and compared in double precision
+    single = vectors.schema[vector_col].dataType.elementType.typeName() == "float"
+    kind, size = ("array<float>", 4) if single else ("array<double>", 8)
+    every = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(kind).alias("v"))
     sound = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     # vectors of another length are of another label
     good = every.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & sound).select("id", F.concat_ws(":", F.size("v"), "label").alias("label"), "v")
@@ -110,25 +124,44 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     # a row for each label; a label's sample is a bounded group
     plan = cut(sample.select("label", "count", "v").groupBy("label").applyInArrow(measure, "label string, n int, mean array<double>"))
 
-    def keys(batches):
+    def keys_of(start: int):
+        def keys(batches):
+            for batch in slices(batches, 4096):
+                labels = np.array(batch.column(1).to_pylist())
+                for label in np.unique(labels):
+                    own = batch.filter(pa.array(labels == label))
+                    a = _matrix(own.column(2))
+                    x, raw = _unit(a) - _matrix(own.column(4).slice(0, 1)), _binary(a, size)
+                    for turn in range(start, min(own.column(3)[0].as_py(), start + ROUND)):
+                        yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.full(len(x), turn, np.int32)), pa.array(_keys(x, turn)), raw], ["id", "label", "pass", "key", "v"])
+
+        return keys
+
+    def neighbours(batches):
+        """Of a sorted partition the links of each vector with the WINDOW before it; kind 1: what lies at its ends, with places; kind 2: its size."""
+        at, part, last = 0, 0, []
         for batch in slices(batches, 4096):
-            labels = np.array(batch.column(1).to_pylist())
-            for label in np.unique(labels):
-                own = batch.filter(pa.array(labels == label))
-                x = _unit(_matrix(own.column(2))) - _matrix(own.column(4).slice(0, 1))
-                for turn in range(own.column(3)[0].as_py()):
-                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.full(len(x), turn, np.int32)), pa.array(_keys(x, turn))], ["id", "label", "pass", "key"])
-
-    order = ["pass", "label", "key", "id"]
-    turned = good.join(plan.filter("n > 0"), "label").select("id", "label", "v", "n", "mean")
-    ranked = turned.mapInArrow(keys, "id long, label string, pass int, key long").repartitionByRange(*order).sortWithinPartitions(*order)
-    ranked = cut(ranked.select("id", F.monotonically_increasing_id().alias("at")))
-    # where each partition's places begin: a row for each partition
-    part = F.shiftright("at", 33)
-    before = W.partitionBy(F.lit(0)).orderBy("p").rowsBetween(W.unboundedPreceding, -1)
-    offsets = ranked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    window = F.floor((F.col("offset") + F.col("at").bitwiseAND((1 << 33) - 1)) / WINDOW).cast("long")
-    windows = ranked.join(F.broadcast(offsets), part == F.col("p")).select("id", F.explode(F.array(window, window + 1)).alias("window"))
+            part, ids = batch.column(0)[0].as_py(), batch.column(1).to_numpy()
+            run = np.array([f"{turn}:{label}" for turn, label in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
+            raw = batch.column(4).to_pylist()
+            first = np.arange(max(0, min(len(ids), span - at)))
+            yield _found(ids[first], at + first, part, 1)
+            whole = [*last, *zip(ids.tolist(), run.tolist(), raw, strict=True)]
+            nodes, run = np.array([w[0] for w in whole]), np.array([w[1] for w in whole])
+            for begin in range(len(last), len(whole), _STRIDE):
+                low, high = max(0, begin - span), min(len(whole), begin + _STRIDE)
+                for label in np.unique(run[begin:high]):
+                    own = low + np.flatnonzero(run[low:high] == label)
+                    if len(own) > 1:
+                        a = np.stack([np.frombuffer(whole[i][2], f"f{size}") for i in own]).astype(np.float64)
+                        left, right = np.nonzero(np.triu(linked(a, threshold) & (nodes[own][:, None] != nodes[own][None, :])))
+                        roots = forest(nodes[own], left, right)
+                        yield _found(nodes[own][roots != nodes[own]], roots[roots != nodes[own]], part, 0)
+            last, at = whole[-span:], at + len(ids)
+        if at:
+            end = np.arange(max(span, at - len(last)), at)  # what is among the first was said before
+            yield _found(np.array([w[0] for w in last], np.int64)[len(last) - len(end) :], end, part, 1)
+            yield _found(np.zeros(1, np.int64), np.array([at]), part, 2)
 
     def compare(batch: pa.Table) -> pa.Table:
         ids, labels = batch.column("id").to_numpy(), np.array(batch.column("label").to_pylist())
@@ -150,10 +183,27 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         roots = forest(nodes, *np.nonzero(np.triu(match)))
         return pa.table({"a": nodes[roots != nodes], "b": roots[roots != nodes]})
 
+    order = ["pass", "label", "key", "id"]
+    turned = good.join(plan.filter("n > 0"), "label").select("id", "label", "v", "n", "mean")
+    last_pass, edges = plan.agg(F.max("n")).first()[0] or 0, None
+    for start in range(0, last_pass, ROUND):
+        ranked = turned.filter(F.col("n") > start).mapInArrow(keys_of(start), "id long, label string, pass int, key long, v binary").repartitionByRange(*order).sortWithinPartitions(*order)
+        ranked = ranked.select(F.spark_partition_id().alias("p"), "id", "pass", "label", "v")
+        found = cut(ranked.mapInArrow(neighbours, "a long, b long, p int, kind int"))
+        # where each partition's places begin: a row for each partition
+        before = W.partitionBy(F.lit(0)).orderBy("p").rowsBetween(W.unboundedPreceding, -1)
+        offsets = found.filter("kind = 2").select("p", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("offset"))
+        window = F.floor((F.col("offset") + F.col("b")) / WINDOW).cast("long")
+        ends = found.filter("kind = 1").join(F.broadcast(offsets), "p").select(F.col("a").alias("id"), F.explode(F.array(window, window + 1)).alias("window"))
+        across_parts = ends.distinct().join(good, "id").groupBy("window").applyInArrow(compare, "a long, b long")
+        links = cut(found.filter("kind = 0").select("a", "b").unionByName(across_parts).distinct())
+        edges = links if edges is None else edges.unionByName(links)
+
     # labels for which passes would be too many
     whole = good.select("id", "label").join(plan.filter("n = 0").select("label"), "label", "left_semi")
     whole = blocks(whole, "label", "id", BLOCK).select("id", "block_pair", "side").join(good.select("id", "v"), "id")
-    edges = whole.groupBy("block_pair").applyInArrow(across, "a long, b long").unionByName(windows.join(good, "id").groupBy("window").applyInArrow(compare, "a long, b long"))
+    whole = whole.groupBy("block_pair").applyInArrow(across, "a long, b long")
+    edges = whole if edges is None else edges.unionByName(whole)
     group = cut(components(edges))
 
     def count(batch: pa.Table) -> pa.Table:

@@ -238,6 +238,20 @@ def test_vectors_of_one_direction(spark):
     assert (got != want).sum() <= 2
 
 
+def test_vectors_of_many_passes(spark, monkeypatch):
+    """What is kept of the passes does not grow with their number, and links across the ends of partitions are met."""
+    monkeypatch.setattr(V, "WINDOW", 4)
+    monkeypatch.setattr(V, "crowded", lambda x, size, *_: 60)
+    kept, cut = [], V.cut
+    monkeypatch.setattr(V, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    rng = np.random.default_rng(5)
+    own = np.repeat(rng.standard_normal((40, 16)), 2, 0) + 0.05 * rng.standard_normal((80, 16))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(own)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in V.near_duplicates(df.repartition(7)).collect()}
+    assert got == {i: (1, i // 2 * 2) for i in range(80)}
+    assert max(k.count() for k in kept) < 60 * 80
+
+
 def test_vectors_in_whole_labels(spark, monkeypatch):
     """Labels too crowded for passes are compared in blocks; a cosine of exactly the threshold links."""
     monkeypatch.setattr(V, "MOST", 0)
