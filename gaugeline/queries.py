@@ -193,7 +193,8 @@ b AS (SELECT *, (SELECT min(k) FROM t x WHERE x.trace_id = t.trace_id AND x.is_e
 r AS (SELECT *, (SELECT coalesce(max(k), 0) FROM t x WHERE x.trace_id = b.trace_id AND x.parent_span_id = '' AND NOT x.is_error AND x.k < b.bad) AS cut FROM b)
 SELECT trace_id, span_id FROM r WHERE k > cut AND (k >= bad OR k <= cut + 256) AND bad IS NOT NULL""")
 def tail_retention(spark, d):
-    rows = V.spans(spark, d).select("trace_id", "span_id", "parent_span_id", "is_error", "ended_at").distinct()
+    # moved once, by trace: repeated spans lie together then, as the windows need them
+    rows = V.spans(spark, d).select("trace_id", "span_id", "parent_span_id", "is_error", "ended_at").repartition("trace_id").distinct()
     return sampling.tail_retained(rows).select("trace_id", "span_id")
 
 

@@ -203,3 +203,11 @@ def test_hotspot_frames_counts_whole_defects(spark):
     got = e.queries()["hotspot_frames"](spark, d).collect()
     assert sum(r.occurrences for r in got) == found.filter("first_frame != ''").count() == found.count()
     assert {r.first_frame: r.issues for r in got} == {r[0]: r[1] for r in found.groupBy("first_frame").agg(F.countDistinct("fingerprint")).collect()}
+
+
+def test_tails_are_moved_once(spark):
+    """Rows are parted by trace alone: neither removing repeated spans nor the windows move them again."""
+    import __spark_entry__ as e
+
+    plan = e.queries()["tail_retention"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(trace_id") == 1
