@@ -12,7 +12,7 @@ from . import request_queries as Q
 from .config import Settings
 from .operators import gate, occurrences, ranks
 from .plans import parts, sketches, store, traces_layout
-from .plans.staging import folder
+from .plans.staging import folder, staged
 from .queries import SQL, query
 from .sources.bodies import read_bodies
 from .sources.issues import with_issues
@@ -290,7 +290,8 @@ def stream_bodies(spark, d):
 def stored_once(spark, d):
     """Every occurrence stored, a third of them delivered again by a later write, and all of them by one that ran twice."""
     at = folder(spark, "once")
-    found = occurrences.identify(occurrences.browser_occurrences(occurrences.browser_events(Q.browser.parse(Q.payloads(spark, d)))))
+    # five writes deliver these rows: payloads are made, checked and read for one of them
+    found = staged(occurrences.identify(occurrences.browser_occurrences(occurrences.browser_events(Q.browser.parse(Q.payloads(spark, d))))), "found")
     part = F.pmod(F.crc32(F.col("occurrence_id").cast("binary")), F.lit(3)) == 0
     for name, rows in (("first", found.filter(~part)), ("second", found.filter(part)), ("third", found.filter(part)), ("all", found), ("all", found)):
         store.append(store.not_stored(rows, at, name), at, "error_occurrences", write_id=name)

@@ -361,3 +361,12 @@ def test_buckets_hold_so_many_rows(spark):
 
     assert [L.buckets_for(n) for n in (0, 4_000_000, 4_000_001, 216_000_000)] == [8, 8, 16, 512]
     assert all(n / L.buckets_for(n) <= L.BUCKET_ROWS for n in range(1, 10**8, 999_999))
+
+
+def test_payloads_are_read_once_for_all_writes(spark, monkeypatch):
+    from gaugeline import job_queries
+
+    plans = []
+    monkeypatch.setattr(store, "not_stored", lambda df, *_: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    job_queries.stored_once(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 5 and not any("parse_json" in p.lower() for p in plans)
