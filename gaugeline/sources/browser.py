@@ -14,6 +14,9 @@ from ..schemas import BROWSER, EVENT_TYPES, SEVERITIES
 _PAYLOAD_STRINGS = {"sessionId": (0, 100, False), "service": (1, 200, True), "environment": (1, 100, True), "release": (0, 200, False)}
 _EVENT_STRINGS = {"id": 64, "message": 4000, "name": 200, "stack": 32000, "errorType": 200, "filename": 1000, "route": 1000}
 MOST_EVENTS = 50
+# An object's fields as variants, taken out of it at once; null of what is no object.
+_EVENT = "struct<" + ",".join(f"`{k}`:variant" for k in ("type", "timestamp", "severity", *_EVENT_STRINGS, "line", "column", "context")) + ">"
+_PAYLOAD = "struct<version:variant," + ",".join(f"{k}:variant" for k in _PAYLOAD_STRINGS) + f",events:array<{_EVENT}>>"
 _DATETIME = "^[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])T(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\\.[0-9]+)?Z$"
 
 
@@ -51,27 +54,30 @@ def _count_ok(v: Column) -> Column:
 
 
 def event_valid(e: Column) -> Column:
-    ok = _is(e, "OBJECT") & _one_of(_at(e, "type"), EVENT_TYPES)
-    at = _at(e, "timestamp")
+    """Whether an event (its fields as variants) keeps the rules."""
+    ok = e.isNotNull() & _one_of(e["type"], EVENT_TYPES)
+    at = e["timestamp"]
     ok = ok & _is(at, "STRING") & F.coalesce(F.try_variant_get(at, "$", "string").rlike(_DATETIME), F.lit(False)) & F.try_to_timestamp(F.try_variant_get(at, "$", "string")).isNotNull()
-    ok = ok & (_at(e, "severity").isNull() | _one_of(_at(e, "severity"), SEVERITIES))
+    ok = ok & (e["severity"].isNull() | _one_of(e["severity"], SEVERITIES))
     for key, most in _EVENT_STRINGS.items():
-        ok = ok & _string_ok(_at(e, key), 0, most, False)
+        ok = ok & _string_ok(e[key], 0, most, False)
     for key in ("line", "column"):
-        ok = ok & _count_ok(_at(e, key))
-    context = _at(e, "context")
+        ok = ok & _count_ok(e[key])
+    context = e["context"]
     return ok & (context.isNull() | _is(context, "OBJECT"))
 
 
 def valid(payload: Column) -> Column:
     """Whether a parsed payload (variant; null if it is no JSON) keeps all rules. One bad event makes it invalid."""
-    version = _at(payload, "version")
-    ok = payload.isNotNull() & (_is(version, "BIGINT") | _is(version, "DECIMAL") | _is(version, "DOUBLE")) & F.coalesce(F.try_variant_get(version, "$", "double") == 1, F.lit(False))
-    for key, (least, most, needed) in _PAYLOAD_STRINGS.items():
-        ok = ok & _string_ok(_at(payload, key), least, most, needed)
-    events = F.try_variant_get(payload, "$.events", "array<variant>")
-    each = _once(events, lambda own: (F.size(own) <= MOST_EVENTS) & F.forall(own, event_valid))
-    return F.coalesce(ok & _is(_at(payload, "events"), "ARRAY") & each, F.lit(False))
+
+    def rules(p: Column) -> Column:
+        version, events = p["version"], p["events"]
+        ok = p.isNotNull() & (_is(version, "BIGINT") | _is(version, "DECIMAL") | _is(version, "DOUBLE")) & F.coalesce(F.try_variant_get(version, "$", "double") == 1, F.lit(False))
+        for key, (least, most, needed) in _PAYLOAD_STRINGS.items():
+            ok = ok & _string_ok(p[key], least, most, needed)
+        return F.coalesce(ok & events.isNotNull() & (F.size(events) <= MOST_EVENTS) & F.forall(events, event_valid), F.lit(False))
+
+    return _once(F.try_variant_get(payload, "$", _PAYLOAD), rules)
 
 
 def parse(df: DataFrame, value: str = "value") -> DataFrame:
@@ -88,39 +94,39 @@ def sanitize(df: DataFrame, value: str = "value", largest: int = 64 << 10) -> Da
     cut = lambda v, n: F.substring(text(v), 1, n)
     path = lambda v: F.substring(F.substring_index(text(v), "?", 1), 1, 1000)
     whole = lambda n: F.when(n == F.floor(n), n.cast("long").cast("string")).otherwise(n.cast("string"))
-    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), '^\\{"v":(?s)(.*)\\}$', 1)
+    # of {"v":"..."} what is between the colon and the brace
+    quoted = lambda c: F.rtrim(F.substring(F.to_json(F.struct(c.alias("v"))), 6, 2**31 - 1), F.lit("}"))
     field = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f'"{name}":'), c))
     obj = lambda *fields: F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*fields)), ","), F.lit("}"))
 
     def event(e: Column) -> Column:
-        severity, context = _at(e, "severity"), _at(e, "context")
+        severity, context = e["severity"], e["context"]
         return obj(
-            field("type", quoted(text(_at(e, "type")))), field("timestamp", quoted(text(_at(e, "timestamp")))), F.when(_one_of(severity, SEVERITIES), field("severity", quoted(text(severity)))),
-            field("message", quoted(F.coalesce(cut(_at(e, "message"), 4000), F.lit("")))), *[_optional(field, quoted, cut(_at(e, k), n), k) for k, n in (("name", 200), ("stack", 32000), ("errorType", 200))],
-            _optional(field, quoted, path(_at(e, "filename")), "filename"), *[field(k, whole(number(_at(e, k)))) for k in ("line", "column")], _optional(field, quoted, path(_at(e, "route")), "route"),
+            field("type", quoted(text(e["type"]))), field("timestamp", quoted(text(e["timestamp"]))), F.when(_one_of(severity, SEVERITIES), field("severity", quoted(text(severity)))),
+            field("message", quoted(F.coalesce(cut(e["message"], 4000), F.lit("")))), *[_optional(field, quoted, cut(e[k], n), k) for k, n in (("name", 200), ("stack", 32000), ("errorType", 200))],
+            _optional(field, quoted, path(e["filename"]), "filename"), *[field(k, whole(number(e[k]))) for k in ("line", "column")], _optional(field, quoted, path(e["route"]), "route"),
             F.when(_is(context, "OBJECT") | _is(context, "ARRAY"), field("context", F.to_json(context))),
         )
 
-    good = lambda e: _is(e, "OBJECT") & _one_of(_at(e, "type"), EVENT_TYPES) & _is(_at(e, "timestamp"), "STRING")
+    good = lambda e: e.isNotNull() & _one_of(e["type"], EVENT_TYPES) & _is(e["timestamp"], "STRING")
 
-    def whole_payload(x: Column) -> Column:
-        p, events = x["p"], x["events"]
-        filled = lambda k: F.coalesce(text(_at(p, k)) != "", F.lit(False))
-        ok = F.coalesce(number(_at(p, "version")) == 1, F.lit(False)) & filled("service") & filled("environment")
-        ok = ok & _is(_at(p, "events"), "ARRAY") & (F.size(events) <= MOST_EVENTS) & F.forall(events, good)
+    def whole_payload(p: Column) -> Column:
+        events = p["events"]
+        filled = lambda k: F.coalesce(text(p[k]) != "", F.lit(False))
+        ok = F.coalesce(number(p["version"]) == 1, F.lit(False)) & filled("service") & filled("environment")
+        ok = ok & events.isNotNull() & (F.size(events) <= MOST_EVENTS) & F.forall(events, good)
         clean = obj(
             F.lit('"version":1'),
-            _optional(field, quoted, cut(_at(p, "sessionId"), 100), "sessionId"),
-            field("service", quoted(cut(_at(p, "service"), 200))),
-            field("environment", quoted(cut(_at(p, "environment"), 100))),
-            _optional(field, quoted, cut(_at(p, "release"), 200), "release"),
+            _optional(field, quoted, cut(p["sessionId"], 100), "sessionId"),
+            field("service", quoted(cut(p["service"], 200))),
+            field("environment", quoted(cut(p["environment"], 100))),
+            _optional(field, quoted, cut(p["release"], 200), "release"),
             F.concat(F.lit('"events":['), F.array_join(F.transform(events, event), ","), F.lit("]")),
         )
         return F.when(ok, clean)
 
     parsed = F.when(F.octet_length(F.col(value)) <= largest, F.try_parse_json(F.col(value)))
-    both = _once(parsed, lambda p: F.struct(p.alias("p"), F.try_variant_get(p, "$.events", "array<variant>").alias("events")))
-    return df.withColumn("clean", _once(both, whole_payload))
+    return df.withColumn("clean", _once(F.try_variant_get(parsed, "$", _PAYLOAD), whole_payload))
 
 
 def _optional(field, quoted, c: Column, name: str) -> Column:

@@ -111,3 +111,17 @@ def test_staged(spark):
 def test_texts_of_any_length_are_cut(spark, text):
     row = store.conform(occurrence(spark, 1, "2024-01-01").withColumn("message", F.lit(text)), "error_occurrences").first()
     assert row.message == text[:4000]
+
+
+def test_fields_of_payloads_are_taken_out_at_once(spark):
+    """No field is looked up by a path of its own, nor the kind of a whole event made; null, wrong and odd fields count as before."""
+    from gaugeline.sources import browser
+
+    event = {"type": "message", "timestamp": "2024-01-01T00:00:00Z"}
+    odd = ([event], True), ([{**event, "message": 'a"}'}], True), ([{**event, "name": None}], False), ([7], False), ([event, None], False), ({"a": 1}, False), (None, False), ([event] * 51, False)
+    rows = [(i, json.dumps({"version": 1, "service": "w}", "environment": "p", "events": events})) for i, (events, _) in enumerate(odd)]
+    df = browser.sanitize(browser.parse(spark.createDataFrame(rows, "i int, value string")))
+    got = {r.i: r for r in df.select("i", "valid", "clean").collect()}
+    assert [got[i].valid for i in range(len(odd))] == [ok for _, ok in odd]
+    assert json.loads(got[1].clean)["events"][0]["message"] == 'a"}' and json.loads(got[1].clean)["service"] == "w}"
+    assert "$.type" not in df._jdf.queryExecution().analyzed().toString()
