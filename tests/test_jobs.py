@@ -370,3 +370,13 @@ def test_payloads_are_read_once_for_all_writes(spark, monkeypatch):
     monkeypatch.setattr(store, "not_stored", lambda df, *_: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
     job_queries.stored_once(spark, "/root/testdata/sf0.001")
     assert len(plans) == 5 and not any("parse_json" in p.lower() for p in plans)
+
+
+def test_payloads_are_read_once_for_both_deliveries(spark, monkeypatch):
+    from gaugeline import request_queries
+
+    plans, union = [], type(spark.range(1)).unionByName
+    monkeypatch.setattr(type(spark.range(1)), "unionByName", lambda a, b, *rest, **more: plans.append(a._jdf.queryExecution().optimizedPlan().toString()) or union(a, b, *rest, **more))
+    out = request_queries.stream_dedupe(spark, "/root/testdata/sf0.001")
+    assert plans and not any("parse_json" in p.lower() for p in plans)
+    assert out.count() == out.select("occurrence_id").distinct().count() > 0
