@@ -14,13 +14,15 @@ from .operators import gate, occurrences, ranks
 from .plans import parts, sketches, store, traces_layout
 from .plans.staging import folder, staged
 from .queries import SQL, query
-from .sources.bodies import read_bodies
+from .sources import bodies
 from .sources.issues import with_issues
 from .streaming import delivery, ingest, jobs, state
 
 
 #: Rows of a batch for each of its files: a few MB of what the jobs read, so that no task writes or reads a whole batch.
 FILE_ROWS = 50_000
+#: Files of one row each that a task writes.
+BODIES = 1000
 
 
 def dealt(df: DataFrame, path: str, batch, batches: int) -> DataFrame:
@@ -276,14 +278,17 @@ SELECT n, CASE WHEN length(body) + 1 > 2300 THEN 'payload too large' END AS faul
 def stream_bodies(spark, d):
     """A stream of files that are plain, gzip or deflate: bodies up to a bound, the rest refused."""
     at = folder(spark, "bodies")
-    e = V.table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 100).alias("n")).agg((F.count("*") * 20).alias("k"))
-    made = e.select("n", F.concat(F.lit('{"n":'), F.col("n").cast("string"), F.lit(',"pad":"'), F.repeat(F.lit("p"), (F.col("k") + F.col("n") % 7 * 100).cast("int")), F.lit('"}')).alias("value"))
-    for k, codec in enumerate(("none", "gzip", "deflate")):
-        made.filter(F.col("n") % 3 == k).repartition("n").write.option("compression", codec).partitionBy("n").text(f"{at}/in/{codec}")
-    stream = read_bodies(spark, f"{at}/in", 2300, streaming=True)
-    stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
+    n, codecs = F.col("n"), F.array(*map(F.lit, ("none", "gzip", "deflate")))
+    e = staged(V.table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 100).alias("n")).agg((F.count("*") * 20).alias("k")), "bodies")
+    body = F.concat(F.lit('{"n":'), n.cast("string"), F.lit(',"pad":"'), F.repeat(F.lit("p"), (F.col("k") + n % 7 * 100).cast("int")), F.lit('"}\n'))
+    # said by number: a row is a few bytes and adaptive execution would have one task write all files
+    rows = e.repartition(max(1, e.count() // BODIES))
+    bodies.write_bodies(rows.select(n.cast("string").alias("name"), F.get(codecs, n % 3).alias("codec"), body.alias("body")), f"{at}/in")
+    with bodies.many_files(spark):
+        stream = bodies.read_bodies(spark, f"{at}/in", 2300, streaming=True)
+        stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema(stream.schema).parquet(f"{at}/out")
-    return rows.select(F.regexp_extract("path", "/n=([0-9]+)/", 1).cast("long").alias("n"), "fault", F.md5(F.regexp_replace("body", "\n$", "").cast("binary")).alias("body_md5"))
+    return rows.select(F.regexp_extract("path", "/([0-9]+)$", 1).cast("long").alias("n"), "fault", F.md5(F.regexp_replace("body", "\n$", "").cast("binary")).alias("body_md5"))
 
 
 @query("stored_once", f"WITH {Q._PAYLOADS} SELECT occurrence_id, message FROM i")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,51 @@ from pyspark.sql import functions as F
 TOO_LARGE, BROKEN = "payload too large", "bad request"
 FILES = "path string, modificationTime timestamp, length long, content binary"
 LARGEST = 1 << 20
+#: Tasks for each core that list folders; Spark's default is one for each path, up to 10000, whenever it lists.
+LISTING = 4
+#: What a file counts besides its bytes when files are dealt into tasks: some hundred small ones each.
+OPENING = 1 << 20
+
+
+@contextmanager
+def many_files(spark: SparkSession):
+    """The session's settings for folders of very many small files, put back behind it. A stream lists and reads by the session's
+    settings for as long as it runs, whatever copy of the session it has, so they must hold until it ends."""
+    own = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(LISTING * spark.sparkContext.defaultParallelism), "spark.sql.files.openCostInBytes": str(OPENING)}
+    old = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def write_bodies(rows: DataFrame, path: str) -> None:
+    """A file for each row (name, codec: none, gzip or deflate; body: text) below a folder that driver and executors share.
+
+    Spark's own writers make a folder, a file and its checksum for each row and call `chmod` for them: some 20 ms a file. A task that
+    runs again writes the same files.
+    """
+
+    def run(batches) -> Iterator:
+        import gzip
+
+        import pyarrow as pa
+        from pyarrow.fs import FileSystem
+
+        pack = {"none": bytes, "gzip": gzip.compress, "deflate": zlib.compress}
+        files, below = FileSystem.from_uri(path)
+        for codec in pack:
+            files.create_dir(f"{below}/{codec}")
+        for batch in batches:
+            for name, codec, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                with files.open_output_stream(f"{below}/{codec}/{name}", compression=None) as out:
+                    out.write(pack[codec](body.encode()))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["files"])
+
+    rows.select("name", "codec", "body").mapInArrow(run, "files long").write.format("noop").mode("overwrite").save()
 
 
 def _compressed(data: bytes) -> bool:
@@ -43,7 +89,8 @@ def read_bodies(spark: SparkSession, path: str, largest: int = LARGEST, streamin
     Files that are larger than `largest` as they lie are not opened; empty ones give no row. In tasks a file's own bytes and `largest` more are held.
     """
     reader = (spark.readStream if streaming else spark.read).format("binaryFile").schema(FILES).option("recursiveFileLookup", "true")
-    files = reader.options(**options).load(path)
+    with many_files(spark):  # a batch lists its files here
+        files = reader.options(**options).load(path)
 
     def run(batches) -> Iterator:
         import pyarrow as pa

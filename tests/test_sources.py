@@ -41,6 +41,31 @@ def test_bodies_of_files(spark, tmp_path):
     assert got == {"a": ("plain", None), "b.gz": ("zipped", None), "c": (None, bodies.TOO_LARGE), "d": (None, bodies.BROKEN), "e": (None, bodies.TOO_LARGE)}
 
 
+def test_written_bodies(spark, tmp_path):
+    rows = [("1", "none", "plain\n"), ("2", "gzip", "zipped \u00e9"), ("3", "deflate", "x" * 60), ("4", "none", "y" * 60)]
+    bodies.write_bodies(spark.createDataFrame(rows, "name string, codec string, body string"), f"{tmp_path}/in")
+    assert gzip.decompress((tmp_path / "in/gzip/2").read_bytes()).decode() == "zipped \u00e9"
+    got = {r.path.rpartition("/")[2]: (r.body, r.fault) for r in bodies.read_bodies(spark, f"{tmp_path}/in", 50).collect()}
+    assert got == {"1": ("plain\n", None), "2": ("zipped \u00e9", None), "3": (None, bodies.TOO_LARGE), "4": (None, bodies.TOO_LARGE)}
+
+
+def test_tasks_of_many_small_bodies(spark, tmp_path):
+    """Listing and reading take far fewer tasks than there are files, also in a stream; the settings are put back."""
+    for n in range(120):
+        (tmp_path / f"in/{n}").mkdir(parents=True)
+        (tmp_path / f"in/{n}/body").write_text(f"n{n}")
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    with bodies.many_files(spark):
+        stream = bodies.read_bodies(spark, f"{tmp_path}/in", streaming=True)
+        run = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
+        run.awaitTermination()
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+    assert {r.body for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {f"n{n}" for n in range(120)}
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(str(run.runId)) for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= bodies.LISTING * spark.sparkContext.defaultParallelism
+
+
 def test_issues_in_the_order_of_the_schema(spark):
     """One payload with seven faults gives the first five."""
     event = {"type": "message", "timestamp": "2024-01-01T00:00:00Z"}
