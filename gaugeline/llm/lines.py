@@ -15,7 +15,9 @@ Two sets that are similar enough share one of the first n - ceil(t n) + 1 words
 n - ceil(2 t n / (1 + t)) + 1 of the shorter; pairs that do must also pass the
 length filter, the positional filter and a count of differing bits of two 128-bit parities, and are then verified on the
 words themselves. As one earlier match is enough, each class is first held against the earliest classes of each of its LED
-rarest words that are OFTEN times as frequent as the middle one (no large group shares rarer ones), and of those that pass the filters verified with the likeliest; only classes that this leaves unsettled are
+leading keys (of DRAWN of its words each, those with the least of as many hashes: two sets of similarity s draw the same with
+probability s ** DRAWN, whatever else is edited and however frequent the words have become), and of those that pass the filters verified
+with the likeliest; only classes that this leaves unsettled are
 joined with all earlier ones, so a large group of near copies does not give all its pairs. The join is by word, which
 adaptive execution splits where a word is hot; the earliest classes are found by partial aggregates. What is broadcast are
 the TABLE and, for verification, MARKS bits that tell which lines may be wanted, so that few others are shuffled.
@@ -43,10 +45,10 @@ from .words import Words, mix
 
 THRESHOLD = 0.8
 LEAST = 1
-LED, LEADERS, OFTEN = 4, 8, 16
+LED, DRAWN, LEADERS, OFTEN = 4, 3, 8, 8
 TABLE, MARKS = 1 << 20, 1 << 23
 _SLICE = 128
-_LINE = "id long, no int, n int, k1 long, k2 long, b1 long, b2 long, prefix array<int>, lead array<int>"
+_LINE = "id long, no int, n int, k1 long, k2 long, b1 long, b2 long, prefix array<int>, lead array<long>"
 
 
 def rarity(texts: DataFrame) -> np.ndarray:
@@ -109,7 +111,7 @@ def prefix_size(n, threshold: float):
 def line_sets(texts: DataFrame, ranks: np.ndarray, threshold: float, least: int) -> DataFrame:
     """One row for each line of at least `least` words: place, number of words, class key, parity and prefix."""
     sent = texts.sparkSession.sparkContext.broadcast(ranks)
-    often = (int(np.median(ranks[ranks > 0])) if ranks.any() else 0) + 4 * int(np.log2(OFTEN))
+    factors = mix(np.arange(1, LED * DRAWN + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(batches):
         for batch in slices(batches, _SLICE):
@@ -125,12 +127,11 @@ def line_sets(texts: DataFrame, ranks: np.ndarray, threshold: float, least: int)
             # 32 bits of each word: words that these take for the same only propose pairs
             words = (hashes[place < np.repeat(size, n)] >> np.uint64(20)).astype(np.uint32).view(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(words))
-            # places of words common enough for a group of lines that may be large to share them
-            common = (place < np.repeat(size, n)) & (sent.value[hashes & np.uint64(TABLE - 1)] >= often)
-            so_far = np.cumsum(common)
-            common &= so_far - np.repeat(so_far[first] - common[first], n) <= LED
-            leads = np.add.reduceat(common.astype(np.int32), first)
-            lead = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(leads)).astype(np.int32)), pa.array(place[common].astype(np.int32)))
+            least_of = [np.minimum.reduceat(hashes * f, first) for f in factors]
+            drawn = np.zeros((len(n), LED), np.uint64)
+            for k, low in enumerate(least_of):
+                drawn[:, k % LED] = mix(drawn[:, k % LED] + low)
+            lead = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(size > 0, LED, 0))).astype(np.int32)), pa.array(drawn[size > 0].ravel().view(np.int64)))
             out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(no.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(b1), pa.array(b2), prefix, lead], ["id", "no", "n", "k1", "k2", "b1", "b2", "prefix", "lead"])
             yield out.filter(pa.array(n >= least))
 
@@ -145,11 +146,11 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 _POST = ("id", "no", "meta", "b1", "b2")
 
 
-def _posts(classes: DataFrame, places: Column, settled: Column, t: float) -> DataFrame:
-    """One row for each of the words at these places of each class's prefix. meta: the set's size (from bit 33), the word's place (from bit 2), whether
-    the shorter set of a pair needs this place (bit 1), whether the class is settled (bit 0)."""
-    rows = classes.select("id", "no", "b1", "b2", "n", settled.cast("long").alias("settled"), "prefix", F.explode(places).alias("pos"))
-    rows = rows.withColumn("word", F.get("prefix", F.col("pos")))
+def _posts(classes: DataFrame, settled: Column, t: float, keys: Column | None = None) -> DataFrame:
+    """One row for each word of each class's prefix, or for each of `keys`, which stand for words at the first place. meta: the set's size (from
+    bit 33), the word's place (from bit 2), whether the shorter set of a pair needs this place (bit 1), whether the class is settled (bit 0)."""
+    rows = classes.select("id", "no", "b1", "b2", "n", settled.cast("long").alias("settled"), F.posexplode("prefix" if keys is None else keys).alias("pos", "word"))
+    rows = rows if keys is None else rows.withColumn("pos", F.lit(0))
     short = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9)
     meta = F.shiftleft(F.col("n").cast("long"), 33).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 2)).bitwiseOR(F.when(short, 2).otherwise(0).cast("long")).bitwiseOR(F.col("settled"))
     return rows.select("word", "id", "no", meta.alias("meta"), "b1", "b2")
@@ -236,9 +237,11 @@ def _verified(sound: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
 
 
 def _led(classes: DataFrame, t: float) -> DataFrame:
-    """Of each class the likeliest of the LEADERS ones that have one of its leading words: x and y places. The classes of a word are
-    dealt into as many parts, and the earliest of each leads, so that a large group has several leaders to be near to."""
-    posts = _posts(classes, F.col("lead"), F.lit(0), t)
+    """Of each class the likeliest of the LEADERS ones that have one of its LED leading keys: x and y places. The classes of a key are
+    dealt into as many parts, and the earliest of each leads, so that a large group has several leaders to be near to. Keys that
+    fewer than OFTEN classes have are left to the join: they give few rows for each class, however large the input is."""
+    often = classes.select(F.explode("lead").alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).select("word")
+    posts = stored(_posts(classes, F.lit(0), t, F.col("lead")).join(often, "word", "left_semi"))
     part = F.pmod(F.xxhash64("id", "no"), F.lit(LEADERS)).cast("int")
     leaders = posts.groupBy("word", part.alias("part")).agg(F.min(F.struct(*_POST)).alias("y")).select("word", *[F.col(f"y.{c}").alias(f"y_{c}") for c in _POST])
     led = posts.select("word", *[F.col(c).alias(f"x_{c}") for c in _POST]).join(leaders, "word").filter(_later("x", "y") & _promising(t))
@@ -249,7 +252,7 @@ def _led(classes: DataFrame, t: float) -> DataFrame:
 def _joined(classes: DataFrame, settled: DataFrame, t: float) -> DataFrame:
     """All pairs that pass the filters and of which the later class is not settled: places of the later (x) and earlier (y)."""
     own = classes.join(settled.withColumn("settled", F.lit(1)), ["id", "no"], "left")
-    posts = _posts(own, F.sequence(F.lit(0), F.size("prefix") - 1), F.coalesce("settled", F.lit(0)), t)
+    posts = _posts(own, F.coalesce("settled", F.lit(0)), t)
     x, y = (_side(posts, s, "word", *_POST) for s in "xy")
     # said across both sides, so that no filter is moved to one of them: they stay alike and share one shuffle
     needed = F.when(F.col("x_meta") < 0, F.lit(False)).otherwise(F.col("y_meta").bitwiseAND(2) != 0)

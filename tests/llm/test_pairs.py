@@ -6,12 +6,14 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeline.llm import groups as G
 from gaugeline.llm import jaccard as J
 from gaugeline.llm import lines as N
 from gaugeline.llm import substrings as S
 from gaugeline.llm import vectors as V
+from gaugeline.llm.common import stored
 
 
 def closure(nodes, edges):
@@ -138,6 +140,21 @@ def test_lines(spark, docs):
     assert N.dedup_lines(docs([(1, "p q r"), (1, "p q r")])).filter("text = 'p q r'").count() == 2
 
 
+def test_pairs_of_a_group_whose_words_are_no_more_frequent_than_others(spark, docs):
+    """Most members of a group are settled by leaders, so that it does not give all its pairs (some 30000 here)."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"g{k}" if k != i % 30 else f"v{i % 7}" for k in range(30))) for i in range(250)]
+    rows = [(i, f"{text} w{rng.randrange(40)}") for i, text in rows] + [(1000 + i, " ".join(rng.sample([f"w{k}" for k in range(40)], 12))) for i in range(700)]
+    texts = docs(rows).selectExpr("doc_id AS id", "text")
+    lines = N.line_sets(texts, N.rarity(texts.select("text")), 0.8, 1)
+    classes = stored(lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "no", "n", "b1", "b2", "prefix", "lead")).alias("s")).select("s.*").filter(F.size("prefix") > 0))
+    early = N._verified(texts, stored(N._led(classes, 0.8)), 0.8)
+    group = N._joined(classes, early, 0.8).filter("x_id < 1000")
+    assert group.count() < 10 * 250
+    gone = brute_lines(rows)
+    assert {(r.id, n) for r in N.removed_lines(docs(rows)).collect() for n in r.removed} == set(gone)
+
+
 def test_short_lines(spark, docs):
     import corpus_pipeline
 
