@@ -36,8 +36,8 @@ def many_files(spark: SparkSession):
 def write_bodies(rows: DataFrame, path: str) -> None:
     """A file for each row (name, codec: none, gzip or deflate; body: text) below a folder that driver and executors share.
 
-    Spark's own writers make a folder, a file and its checksum for each row and call `chmod` for them: some 20 ms a file. A task that
-    runs again writes the same files.
+    Spark's own writers make a folder, a file and its checksum for each row, which took some 20 ms a file on local disks. A task that
+    runs again writes the same files. The path is one that pyarrow can open.
     """
 
     def run(batches) -> Iterator:
