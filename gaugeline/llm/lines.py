@@ -4,8 +4,8 @@ A line is the set of its lower-cased words (runs of what is not ASCII white spac
 default, only blank lines are exempt. A line is removed if an earlier one (by document id, then line number) has a Jaccard similarity of
 at least `threshold` with it, whether that one is itself removed or not.
 
-Lines with the same words in the same order form a class, found at its first place (told by 128 bits of BLAKE2 of the
-words; of lines too short for another set to be similar enough, of their set); only classes are joined, and of these only
+Lines that are alike but for case form a class, found at its first place (told by 128 bits of SHA-256 of the
+lower-cased line; of lines too short for another set to be similar enough, of their set); only classes are joined, and of these only
 the ones with enough words (n / (n + 1) is the most that is possible: 4 words at 0.8). Hashes of words only propose. Words are ordered by rarity: all words of all documents are counted in TABLE
 buckets of their hashes, at every size of the input, and a word comes by its bucket's logarithmic count before its hash.
 A bucket tells words apart that make up more than a millionth of the input. Rarer ones share ranks, but a line has few of
@@ -14,16 +14,16 @@ them and they all come first; how long its prefix's lists are is decided by the
 Two sets that are similar enough share one of the first n - ceil(t n) + 1 words of the longer and of the first
 n - ceil(2 t n / (1 + t)) + 1 of the shorter; pairs that do must also pass the
 length filter, the positional filter and a count of differing bits of two 128-bit parities, and are then verified on the
-words themselves. As one earlier match is enough, each class is first held against the earliest classes of each of its LED
-leading keys (of DRAWN of its words each, those with the least of as many hashes: two sets of similarity s draw the same with
-probability s ** DRAWN, whatever else is edited and however frequent the words have become), and of those that pass the filters verified
+words themselves. As one earlier match is enough, each class is first held against the earliest classes of each of its two
+leading keys (of DRAWN of its words each, those with the least hashes and those with the greatest: two sets of similarity s draw the same with
+about probability s ** DRAWN, whatever else is edited and however frequent the words have become), and of those that pass the filters verified
 with the likeliest; only classes that this leaves unsettled are
 joined with all earlier ones, so a large group of near copies does not give all its pairs. The join is by word, which
 adaptive execution splits where a word is hot; the earliest classes are found by partial aggregates. What is broadcast are
 the TABLE and, for verification, MARKS bits that tell which lines may be wanted, so that few others are shuffled.
 
-Words are hashed and ordered in Arrow batches (the native form took twice the time that the check allows, see README);
-classes, posts, joins and results are DataFrame operations.
+All of it are DataFrame operations. The TABLE is written into the plan as a constant, as functions of array elements may not look
+into a subquery.
 
 Null texts have no line and stay null. Rows with a null id are unchanged. Rows that repeat an id count as one document
 (its texts should be the same; a line number removed from one is removed from all). Very long lines and texts are read
@@ -32,110 +32,80 @@ whole. Other columns are kept; names that begin with __line_ or __n_ are this mo
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, stored, table
-from .words import Words, mix
+from .common import stored, table
 
 THRESHOLD = 0.8
 LEAST = 1
-LED, DRAWN, LEADERS, OFTEN = 4, 3, 8, 8
+DRAWN, LEADERS, OFTEN = 3, 8, 8
 TABLE, MARKS = 1 << 20, 1 << 23
-_SLICE = 128
-_LINE = "id long, no int, n int, k1 long, k2 long, b1 long, b2 long, prefix array<int>, lead array<long>"
+_SPACE = "\t\r\f\x0b"
 
 
-def rarity(texts: DataFrame) -> np.ndarray:
-    """A byte for each bucket of word hashes: 1 + four times the binary logarithm of the number of words, 0 if there are none."""
+def _lowered(text: Column) -> Column:
+    """Lower case code point by code point; Spark's own looks at neighbours of a capital sigma and takes a dotted capital I for two."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u03a3"), F.lit("\u03c3")), F.lit("\u0130"), F.lit("i")))
+
 
-    def count(batches):
-        total = np.zeros(TABLE, np.int64)
-        for batch in slices(batches, _SLICE):
-            np.add.at(total, (Words(batch.column(0), lower=True).hashes() & np.uint64(TABLE - 1)).astype(np.int64), 1)
-        own = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total[own])], ["b", "n"])
+def _plain(text: Column) -> Column:
+    """Lower case, with spaces for all other white space but line ends: splitting at one character takes no regular expression."""
+    plain = _lowered(text)
+    for c in _SPACE:
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    return plain
 
-    got = texts.mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()  # TABLE rows at most
+
+def rarity(texts: DataFrame) -> np.ndarray:
+    """A number for each bucket of word hashes: 1 + 3.5 times the binary logarithm of the number of words, 0 if there are none. Words beside
+    other white space than spaces and line ends are counted together with it: that only makes them rare."""
+    words = texts.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w <> ''")
+    got = words.groupBy(F.xxhash64("w").bitwiseAND(TABLE - 1).cast("int").alias("b")).agg(F.count("*").alias("n")).toArrow()  # TABLE rows at most
     out = np.zeros(TABLE, np.uint8)
-    out[got.column("b").to_numpy()] = np.minimum(255, 1 + 4 * np.log2(got.column("n").to_numpy().astype(np.float64)))
+    out[got.column("b").to_numpy()] = np.minimum(127, 1 + 3.5 * np.log2(got.column("n").to_numpy().astype(np.float64)))
     return out
 
 
-def _sets(column: pa.Array, ranks: np.ndarray):
-    """Lines of a column of texts as sets: the text and line number of each, where its words begin, and the words' hashes,
-    of each line the rarest first."""
-    parts = pc.split_pattern(column.cast(pa.large_string()), "\n")
-    own = pc.list_parent_indices(parts).to_numpy()
-    words = Words(pc.list_flatten(parts), lower=True)
-    hashes = words.hashes()
-    rank = ranks[hashes & np.uint64(TABLE - 1)].astype(np.uint64)
-    # one number holds line, rank and the hash's upper bits; where these don't part two words, the whole hash does
-    bits = np.uint64(int(words.n_texts).bit_length())
-    order = (words.text_of.astype(np.uint64) << (np.uint64(64) - bits)) | (rank << (np.uint64(56) - bits)) | (hashes >> (np.uint64(8) + bits))
-    by = np.argsort(order)
-    if ((order[by][1:] == order[by][:-1]) & (hashes[by][1:] != hashes[by][:-1])).any():
-        by = np.lexsort((hashes, rank, words.text_of))
-    hashes, line = hashes[by], words.text_of[by]
-    new = np.ones(len(by), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
-    hashes, line = hashes[new], line[new]
-    there, first = np.unique(line, return_index=True)
-    begins = np.searchsorted(own, np.arange(len(column)))
-    return own[there], there - begins[own[there]], first, hashes
-
-
-def _keys(column: pa.Array, text: np.ndarray, no: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """128 bits for each of the lines given by text and number: of their words, or where size is 0 of the set of them."""
-    out, now, lines = bytearray(), -1, []
-    texts = pc.utf8_lower(column.cast(pa.large_string())).cast(pa.large_binary())
-    for i, k, n in zip(text.tolist(), no.tolist(), size.tolist(), strict=True):
-        if i != now:
-            now, lines = i, texts[i].as_py().split(b"\n")
-        words = lines[k].split()
-        out += hashlib.blake2b(b" ".join(words if n else sorted(set(words))), digest_size=16).digest()
-    return np.frombuffer(bytes(out), "<i8").reshape(-1, 2)
-
-
-def prefix_size(n, threshold: float):
+def _table(ranks: np.ndarray) -> Column:
+    """The ranks as a constant: what is done to each word of an array may look into no table of a query's own."""
+    return F.split(F.lit(",".join(map(str, ranks.tolist()))), ",").cast("array<tinyint>")
+
+
+def _sent(spark: SparkSession, numbers: np.ndarray) -> Column:
+    """An array that every row can look into: the scalar of a table of one row."""
+    return spark.createDataFrame(pa.table({"numbers": pa.array([numbers])})).scalar()
+
+
+def _prefix_size(n: Column, t: float) -> Column:
     """How many of a set's n words are enough to share one with every similar set; 0 if only equal sets are similar."""
-    n = np.asarray(n)
-    return np.where(n >= threshold * (n + 1) - 1e-9, n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1, 0)
+    return F.when(n >= t * (n + 1) - 1e-9, n - F.ceil(n * t - 1e-9) + 1).otherwise(0).cast("int")
 
 
 def line_sets(texts: DataFrame, ranks: np.ndarray, threshold: float, least: int) -> DataFrame:
-    """One row for each line of at least `least` words: place, number of words, class key, parity and prefix."""
-    sent = texts.sparkSession.sparkContext.broadcast(ranks)
-    factors = mix(np.arange(1, LED * DRAWN + 1, dtype=np.uint64)) | np.uint64(1)
-
-    def run(batches):
-        for batch in slices(batches, _SLICE):
-            text, no, first, hashes = _sets(batch.column(1), sent.value)
-            n = np.diff(np.append(first, len(hashes)))
-            if not len(n):
-                continue
-            bit, high = np.uint64(1) << (hashes >> np.uint64(58)), (hashes >> np.uint64(57)) & np.uint64(1) > 0
-            b1, b2 = (np.bitwise_xor.reduceat(np.where(own, bit, np.uint64(0)), first).view(np.int64) for own in (~high, high))
-            size = prefix_size(n, threshold)
-            keys = _keys(batch.column(1), text, no, size)
-            place = np.arange(len(hashes)) - np.repeat(first, n)
-            # 32 bits of each word: words that these take for the same only propose pairs
-            words = (hashes[place < np.repeat(size, n)] >> np.uint64(20)).astype(np.uint32).view(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(words))
-            least_of = [np.minimum.reduceat(hashes * f, first) for f in factors]
-            drawn = np.zeros((len(n), LED), np.uint64)
-            for k, low in enumerate(least_of):
-                drawn[:, k % LED] = mix(drawn[:, k % LED] + low)
-            lead = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(size > 0, LED, 0))).astype(np.int32)), pa.array(drawn[size > 0].ravel().view(np.int64)))
-            out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(no.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(b1), pa.array(b2), prefix, lead], ["id", "no", "n", "k1", "k2", "b1", "b2", "prefix", "lead"])
-            yield out.filter(pa.array(n >= least))
-
-    return texts.mapInArrow(run, _LINE)
+    """One row for each line of at least `least` words: place, number of words, class key, parity, prefix and leading keys."""
+    table_ = _table(ranks)
+    rank = lambda x: F.get(table_, x.bitwiseAND(TABLE - 1).cast("int")).cast("long")
+    lines = texts.select("id", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("no", "line")).filter(F.trim("line") != "")
+    words = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))
+    lines = lines.select("id", "no", "line", F.array_remove(F.array_distinct(words), F.xxhash64(F.lit(""))).alias("h"))
+    # one number holds a word's rank and hash
+    ranked = F.transform("h", lambda x: F.shiftleft(rank(x), 55).bitwiseOR(x.bitwiseAND((1 << 55) - 1)))
+    # 128 bits, each the parity of the number of words that fall to it: one number for half of the words, one for the others
+    half = lambda x: F.shiftrightunsigned(x, 57).bitwiseAND(1)
+    bit = lambda on, x: F.call_function("shiftleft", on, F.shiftrightunsigned(x, 58).cast("int"))
+    b1 = F.aggregate("h", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(half(x).bitwiseXOR(1), x)))
+    b2 = F.aggregate("h", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(half(x), x)))
+    size = _prefix_size(F.size("h"), threshold)
+    words = F.when(size > 0, F.col("line")).otherwise(F.array_join(F.array_sort(F.array_distinct(F.array_remove(F.split("line", " "), ""))), " "))
+    lines = lines.select("id", "no", F.unhex(F.sha2(words, 256)).alias("key"), F.size("h").alias("n"), size.alias("size"), b1.alias("b1"), b2.alias("b2"), F.sort_array("h").alias("h"), F.sort_array(ranked).alias("set"))
+    lead = F.when(F.col("size") > 0, F.array(F.xxhash64(F.slice("h", 1, DRAWN)), F.xxhash64(F.lit(1), F.slice("h", -DRAWN, DRAWN)))).otherwise(F.array().cast("array<long>"))
+    # 31 bits of each word: words that these take for the same only propose pairs
+    prefix = F.transform(F.slice("set", F.lit(1), F.col("size")), lambda x: F.shiftright(x, 20).bitwiseAND((1 << 31) - 1).cast("int"))
+    lines = lines.select("id", "no", "n", F.substring("key", 1, 8).alias("k1"), F.substring("key", 9, 8).alias("k2"), "b1", "b2", prefix.alias("prefix"), lead.alias("lead"))
+    return lines.filter(F.col("n") >= least) if least > 1 else lines
 
 
 def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
@@ -183,61 +153,36 @@ def _side(df: DataFrame, side: str, *columns: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{side}_{c}") for c in columns])
 
 
-def _mark(ids: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+def _mark(id_: str, no: str) -> Column:
     """Which of MARKS bits stands for each line."""
-    return mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + numbers.astype(np.uint64)) & np.uint64(MARKS - 1)
+    return F.xxhash64(id_, no).bitwiseAND(MARKS - 1)
 
 
 def _marked(wanted: DataFrame) -> np.ndarray:
-    """MARKS bits of which those of the wanted lines are set, as bytes. It only spares work: a line that it lets through is joined."""
-
-    def run(batches):
-        for batch in batches:
-            at = np.unique(_mark(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            words, first = np.unique(at >> np.uint64(5), return_index=True)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(31)), first) if len(at) else at
-            yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int32)), pa.array(bits.astype(np.int64))], ["w", "bits"])
-
-    got = wanted.mapInArrow(run, "w int, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()  # MARKS / 32 rows at most
-    out = np.zeros(MARKS // 32, np.uint32)
-    out[got.column("w").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
+    """MARKS bits of which those of the wanted lines are set. It only spares work: a line that it lets through is joined."""
+    at = _mark("id", "no")
+    bit = F.call_function("shiftleft", F.lit(1), at.bitwiseAND(31).cast("int"))
+    got = wanted.groupBy(F.shiftright(at, 5).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()  # MARKS / 32 rows at most
+    out = np.zeros(MARKS // 32, np.int32)
+    out[got.column("w").to_numpy()] = got.column("bits").to_numpy()
     return out
 
 
 def _verified(sound: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     """The places (id, no) of the x lines of pairs whose sets of words are similar enough."""
     wanted = pairs.select(F.col("x_id").alias("id"), F.col("x_no").alias("no")).unionByName(pairs.select(F.col("y_id").alias("id"), F.col("y_no").alias("no")))
-    sent = sound.sparkSession.sparkContext.broadcast(_marked(wanted))
-
-    def lines(batches):
-        marks = sent.value
-        for batch in slices(batches, _SLICE):
-            parts = pc.split_pattern(batch.column(1).cast(pa.large_string()), "\n")
-            text = pc.list_parent_indices(parts).to_numpy()
-            no = np.arange(len(text)) - np.searchsorted(text, text)
-            ids = batch.column(0).to_numpy()[text]
-            at = _mark(ids, no)
-            own = np.flatnonzero((marks[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
-            lower = pc.utf8_lower(pc.list_flatten(parts).take(pa.array(own))).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(no[own].astype(np.int32)), lower], ["id", "no", "line"])
-
-    own = sound.mapInArrow(lines, "id long, no int, line string")
-
-    def similar(batches):
-        for batch in slices(batches, 1024):
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = set(x.encode().split()), set(y.encode().split())
-                both = len(a & b)
-                keep.append(both >= t * (len(a) + len(b) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["id", "no"]).filter(pa.array(keep, pa.bool_()))
-
+    marks, at = _sent(sound.sparkSession, _marked(wanted)), _mark("id", "no")
+    own = sound.select("id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    own = own.filter(F.call_function("shiftright", F.get(marks, F.shiftright(at, 5).cast("int")), at.bitwiseAND(31).cast("int")).bitwiseAND(1) == 1)
+    own = stored(own.select("id", "no", _plain(F.col("line")).alias("line")))
     whole = pairs.join(_side(own, "x", "id", "no", "line"), ["x_id", "x_no"]).join(_side(own, "y", "id", "no", "line"), ["y_id", "y_no"])
-    return stored(whole.select("x_id", "x_no", "x_line", "y_line").mapInArrow(similar, "id long, no int").distinct())
+    whole = whole.select("x_id", "x_no", *[F.array_remove(F.split(f"{s}_line", " "), "").alias(s) for s in "xy"])
+    similar = F.size(F.array_intersect("x", "y")) >= t * F.size(F.array_union("x", "y")) - 1e-9
+    return stored(whole.filter(similar).select(F.col("x_id").alias("id"), F.col("x_no").alias("no")).distinct())
 
 
 def _led(classes: DataFrame, t: float) -> DataFrame:
-    """Of each class the likeliest of the LEADERS ones that have one of its LED leading keys: x and y places. The classes of a key are
+    """Of each class the likeliest of the LEADERS ones that have one of its leading keys: x and y places. The classes of a key are
     dealt into as many parts, and the earliest of each leads, so that a large group has several leaders to be near to. Keys that
     fewer than OFTEN classes have are left to the join: they give few rows for each class, however large the input is."""
     often = classes.select(F.explode("lead").alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).select("word")

@@ -307,3 +307,11 @@ def test_links_of_one_set_in_another_order(spark, docs):
     a, b = "p q r s t u v", "k l m n o p0 q0"
     rows = [(1, f"{a} {b} {a} {b}"), (2, f"{a} {b} {a} {b} {a} {b}"), (3, f" {a.upper()}\n{b} {a} {b}"), (4, "z")]
     assert {r.doc_id: (r.class_id, r.n_links) for r in J.links(docs(rows)).collect()} == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 0)}
+
+
+def test_lines_take_no_python_on_executors(spark, docs, monkeypatch):
+    rows = [(1, "a b c d e f\nx \u0391\u03a3"), (2, "A B C D E F g\n\u03b1\u03c3 X"), (3, "k\u0130 l\nK\u0130\tL")]
+    made = docs(rows)
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(made), name, lambda *_, **__: pytest.fail("Python on the executors"))
+    assert {r.doc_id: r.text for r in N.dedup_lines(made).collect()} == {1: rows[0][1], 2: "", 3: "k\u0130 l"}
