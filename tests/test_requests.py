@@ -165,3 +165,87 @@ def test_lines_are_dealt_into_parts_of_bounded_size(spark, tmp_path, monkeypatch
     sizes = [r["count"] for r in made.groupBy("part").count().collect()]
     assert sum(sizes) == 5000 and max(sizes) * 4 <= 2 * 1000
     assert made.selectExpr("sum(size(split(value, 'traceId')) - 1) AS n").first().n == 20000
+
+
+def test_protobuf_is_read_many_at_once(spark):
+    """What `columns` gives is what `decode` gives, message by message; what is odd is left to that, and has no struct."""
+    import random
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    from gaugeline.schemas import TRACES
+    from gaugeline.sources import wire
+
+    form = to_arrow_type(T._parse_datatype_string(TRACES))
+
+    def whole(x, kind):
+        if x is None:
+            return None
+        if pa.types.is_struct(kind):
+            return {f.name: whole(x.get(f.name), f.type) for f in kind}
+        return [whole(y, kind.value_type) for y in x] if pa.types.is_list(kind) else x
+
+    kv = [{"key": "k", "value": v} for v in ({"stringValue": "é" * 200}, {"intValue": "-5"}, {"boolValue": True}, {"doubleValue": -0.5}, {})]
+    event = {"timeUnixNano": str(2**64 - 1), "name": "exception", "attributes": kv}
+    spans = [{"traceId": "ab" * 16, "spanId": "01ff", "name": "", "kind": i, "startTimeUnixNano": "1", "attributes": kv[: i % 6], "status": {"code": 2} if i % 2 else {}, "events": [event] * (i % 3)} for i in range(20)]
+    resource = {"attributes": kv}
+    sound = [wire.encode({"resourceSpans": [{"resource": resource, "scopeSpans": [{"spans": spans[:i]}, {"spans": spans[i:]}]}] * (i % 3)}, wire.TRACE_REQUEST) for i in range(20)] + [b""]
+    in_span = lambda raw: field(1, field(2, field(2, raw)))
+    odd = [b"\x0a\xff", b"\x08\x01", b"\x0b", in_span(field(6, 1 << 40)), in_span(field(1, 3)), in_span(field(15, field(3, 2)) + field(15, b"")), sound[1][:-1]]
+    # of single fields the last counts, unknown ones are skipped, and what is no UTF-8 is replaced
+    plain = [in_span(field(5, b"a") + field(5, b"b\xff") + field(99, b"?") + field(98, 1 << 63))]
+    random.seed(1)
+    cut = []
+    for _ in range(2000):
+        raw = bytearray(random.choice(sound))
+        for _ in range(random.randint(1, 3)):
+            i = random.randrange(len(raw) + 1)
+            raw[i : i + random.randint(0, 2)] = random.randbytes(random.randint(0, 2))
+        cut.append(bytes(raw))
+    rows = [*sound, *plain, *odd, None, *cut]
+    got, strange = wire.columns(pa.array(rows, pa.binary()).slice(1), wire.TRACE_REQUEST, form)
+    got.validate(full=True)
+    known = len(sound) + len(plain)
+    assert list(strange[: known + len(odd)]) == [False] * (known - 1) + [True] * len(odd) + [False] and 0 < sum(~strange[known + len(odd) :]) < len(cut)
+    for raw, o, x in zip(rows[1:], strange, got.to_pylist()):
+        assert x == (None if o or raw is None else whole(wire.decode(raw, wire.TRACE_REQUEST), form))
+    assert len(wire.columns(pa.array([], pa.binary()), wire.TRACE_REQUEST, form)[0]) == 0
+
+    # both ways together, as requests, equal what JSON of each message gives
+    import pandas as pd
+
+    def as_json(raw):
+        try:
+            return None if raw is None else json.dumps(wire.decode(raw, wire.TRACE_REQUEST))
+        except ValueError:
+            return None
+
+    few = rows[: known + len(odd) + 300]
+    df = spark.createDataFrame(pd.DataFrame({"n": range(len(few)), "value": few, "text": [as_json(x) for x in few]}), "n int, value binary, text string")
+    both = Q.parse_protobuf(df, "traces").withColumn("want", F.from_json("text", TRACES)).cache()
+    assert both.count() == len(few) and both.filter(~F.col("request").eqNullSafe(F.col("want"))).count() == 0
+    assert both.filter("request is null and value is not null").count() > 0
+
+
+def test_protobuf_requests_are_written_by_columns(spark, tmp_path):
+    """The bytes are those that the JSON requests have, one by one, and no Python writes them."""
+    from gaugeline import request_queries as queries
+    from gaugeline.sources import wire
+
+    big = 9 * 10**17
+    spark.range(3000).selectExpr(
+        "IF(id < 1500, id div 4, IF(id < 2900, 7000, id * 900000000000000)) AS l_orderkey", "id * 7 % 1001 AS l_partkey", "id % 30 AS l_suppkey", "CAST(id % 7 AS int) + 1 AS l_linenumber", "CAST(id % 50 AS double) AS l_quantity", "2.0D AS l_extendedprice",
+        "timestamp '2024-01-01' + make_interval(0, 0, 0, CAST(id % 40 AS int)) AS l_shipdate", "IF(id % 3 = 0, 'R', 'N') AS l_returnflag",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{tmp_path}/lineitem.parquet").selectExpr("l_orderkey AS o_orderkey", "l_orderkey % 20 AS o_custkey").distinct().write.parquet(f"{tmp_path}/orders.parquet")
+    texts = {r.request_id: r for r in queries.trace_requests(spark, str(tmp_path)).collect()}
+    got = queries.trace_messages(spark, str(tmp_path))
+    rows = got.collect()
+    assert len(rows) == len(texts) > 300 and max(len(r.value) for r in rows) > 1 << 16 and max(texts) > big
+    for r in rows:
+        text = texts[r.request_id]
+        assert (r.org_id, r.repository_id, bytes(r.value)) == (text.org_id, text.repository_id, wire.encode(json.loads(text.value), wire.TRACE_REQUEST))
+    plan = queries.otlp_protobuf_spans(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and plan.count("MapInArrow") == 1
