@@ -249,3 +249,40 @@ def test_protobuf_requests_are_written_by_columns(spark, tmp_path):
         assert (r.org_id, r.repository_id, bytes(r.value)) == (text.org_id, text.repository_id, wire.encode(json.loads(text.value), wire.TRACE_REQUEST))
     plan = queries.otlp_protobuf_spans(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_occurrences_are_compiled(spark, tmp_path):
+    """The JVM compiles no method of more than 8000 bytes: it would run it step by step, several times slower."""
+    R.span_rows(Q.parse_json(frame(spark, trace(1, code=2)).withColumn("request_id", F.col("n")), "traces").drop("value", "n")).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = R.occurrences(rows)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    made = debug.codegenStringSeq(plan)
+    sizes = [made.apply(i)._3().maxMethodCodeSize() for i in range(made.size())]
+    assert len(sizes) > 2 and max(sizes) < 8000
+
+
+def test_spans_of_a_batch_are_staged_not_cached(spark, tmp_path):
+    """A batch of any size goes through tables, which hold a fraction of what Spark's cache would; they go when it is stored."""
+    import glob
+
+    from gaugeline.plans import store
+    from gaugeline.streaming import jobs
+
+    texts = [trace(2, attrs(http__route="/a"), code=2), trace(1, attrs(gen_ai__request__model="m"), exception=attrs(exception__message="x"))]
+    made = frame(spark, *texts).withColumnRenamed("n", "request_id")
+    made.write.parquet(f"{tmp_path}/in")
+    shared = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/spans-*"
+    seen = []
+    after = lambda found, usage, epoch: seen.append((found.count(), usage.count(), spark.sparkContext._jsc.getPersistentRDDs().size(), len(glob.glob(shared))))
+    parsed = Q.parse_json(spark.readStream.schema(made.schema).parquet(f"{tmp_path}/in"), "traces").drop("value")
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    jobs.ingest_traces(parsed, f"{tmp_path}/store", f"{tmp_path}/progress", after).awaitTermination()
+    assert seen == [(2, 2, cached, 1)] and glob.glob(shared) == []
+    counts = {t: store.read(spark, f"{tmp_path}/store", t).count() for t in ("spans", "error_occurrences", "llm_calls")}
+    assert counts == {"spans": 2, "error_occurrences": 2, "llm_calls": 1}
