@@ -268,7 +268,7 @@ def test_occurrences_are_compiled(spark, tmp_path):
 
 
 def test_spans_of_a_batch_are_staged_not_cached(spark, tmp_path):
-    """A batch of any size goes through tables, which hold a fraction of what Spark's cache would; they go when it is stored."""
+    """A batch of any size goes through tables, not through Spark's cache; they go when it is stored."""
     import glob
 
     from gaugeline.plans import store
